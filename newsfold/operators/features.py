@@ -5,7 +5,7 @@ from collections.abc import Sequence
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer, SQLTransformer
 from pyspark.ml.linalg import Vectors
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsfold import fixed_values as V
@@ -29,43 +29,63 @@ def term_counts(df: DataFrame, text: str = "article_title") -> DataFrame:
 
 
 def vocabulary(df: DataFrame, max_features: int, text: str = "article_title") -> DataFrame:
-    """The ``max_features`` most frequent terms; equal counts go by term."""
-    return term_counts(df, text).orderBy(F.desc("n"), "term").limit(max_features)
+    """The ``max_features`` most frequent terms; equal counts go by term.
 
-
-def _idf(n_docs):
-    return F.log((n_docs + 1.0) / (F.col("docs") + 1.0)) + 1.0
+    How many terms have each count shows which counts can still reach the
+    vocabulary. Rarer terms go before the sort, as most terms are rare.
+    """
+    counts = term_counts(df, text)
+    most_frequent = Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)
+    least = (
+        counts.groupBy("n")
+        .agg(F.count(F.lit(1)).alias("n_terms"))
+        .withColumn("ahead", F.coalesce(F.sum("n_terms").over(most_frequent), F.lit(0)))
+        .filter(F.col("ahead") < max_features)
+        .agg(F.min("n"))
+    )
+    return counts.filter(F.col("n") >= least.scalar()).orderBy(F.desc("n"), "term").limit(max_features)
 
 
 def with_idf(vocab: DataFrame, n_docs: int) -> DataFrame:
     """Add ln((1 + N) / (1 + docs)) + 1."""
-    return vocab.withColumn("idf", _idf(F.lit(n_docs)))
+    return vocab.withColumn("idf", F.log((F.lit(n_docs) + 1.0) / (F.col("docs") + 1.0)) + 1.0)
 
 
 def tfidf(
     df: DataFrame,
-    key: str,
+    keys: str | Sequence[str],
     max_features: int,
     text: str = "article_title",
     fit_on: DataFrame | None = None,
 ) -> DataFrame:
-    """(key, term, tfidf): term count times idf, scaled to length 1 per document.
+    """(keys, term, tfidf): term count times idf, scaled to length 1 per row.
 
     ``fit_on`` gives the rows the vocabulary and idf come from, ``df`` by default.
-    The vocabulary has at most ``max_features`` rows and is broadcast. Documents
-    are shuffled once, by key, before their terms are taken apart.
+    Weights are computed inside each row, so the rows are not shuffled.
     """
-    fitted = df if fit_on is None else fit_on
-    n_docs = fitted.agg(F.count(F.lit(1))).scalar()
-    model = vocabulary(fitted, max_features, text).select("term", _idf(n_docs).alias("idf"))
-    words = df.select(key, text).repartition(key).select(key, F.explode(terms(F.col(text))).alias("term"))
-    weights = (
-        words.join(F.broadcast(model), "term")
-        .groupBy(key, "term")
-        .agg((F.count(F.lit(1)) * F.first("idf")).alias("weight"))
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    model = fit_tfidf_vectors(df if fit_on is None else fit_on, max_features, text, "_vector")
+    names = df.sparkSession.createDataFrame(list(enumerate(vocabulary_terms(model))), "_place int, term string")
+    vectors = model.transform(df.select(*{c: None for c in [*keys, text]}))
+    parts = vectors.select(*keys, sparse_parts("_vector").alias("_parts"))
+    weights = parts.select(
+        *keys, F.inline(F.arrays_zip("_parts.indices", "_parts.values")).alias("_place", "tfidf")
     )
-    length = F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(Window.partitionBy(key)))
-    return weights.select(key, "term", (F.col("weight") / length).alias("tfidf"))
+    return weights.join(F.broadcast(names), "_place").select(*keys, "term", "tfidf")
+
+
+def sparse_parts(vector: str) -> Column:
+    """Indices and values of a sparse ML vector as a struct of two arrays.
+
+    SQL has no accessor for the parts of a vector, but its JSON form has them.
+    """
+    parts = F.from_json(F.to_json(F.struct(F.col(vector).alias("v"))), "v struct<indices: array<int>, values: array<double>>")
+    return parts["v"]
+
+
+def vocabulary_terms(model: PipelineModel) -> list[str]:
+    """Terms of a fitted pipeline, by vector index."""
+    return next(stage.vocabulary for stage in model.stages if isinstance(stage, CountVectorizerModel))
 
 
 def fit_tfidf_vectors(df: DataFrame, max_features: int, text: str = "article_title", out: str = "features") -> PipelineModel:

@@ -186,8 +186,10 @@ def _number_copies(copies: DataFrame, groups: list[str]) -> DataFrame:
     keys = [*groups, "_slice"]
     counts = copies.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     ahead = Window.partitionBy(*groups).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*keys, F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_ahead"))
-    match = [copies[c].eqNullSafe(offsets[c]) for c in keys]
-    joined = copies.join(F.broadcast(offsets), match).select(*[copies[c] for c in copies.columns], "_ahead")
+    offsets = counts.select(
+        *[F.col(c).alias(f"_of{c}") for c in keys], F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_ahead")
+    )
+    match = [F.col(c).eqNullSafe(F.col(f"_of{c}")) for c in keys]
+    joined = copies.join(F.broadcast(offsets), match).drop(*[f"_of{c}" for c in keys])
     local = Window.partitionBy(*keys).orderBy("_row")
     return joined.withColumn("_copy", F.col("_ahead") + F.row_number().over(local)).drop("_ahead", "_slice")

@@ -8,10 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsfold import fixed_values as V
-from newsfold.operators.hash_order import hash_order, mark_smallest, row_digest
-
-# Samples up to this size are taken by a top-n, larger ones by a hash threshold.
-TOP_N_ROWS = 100_000
+from newsfold.operators.hash_order import hash_order, mark_smallest
 
 
 def project(df: DataFrame, items: Sequence[str]) -> DataFrame:
@@ -43,10 +40,12 @@ def dedup_by(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
 
 
 def sample_n(df: DataFrame, n: int, key: str | Sequence[str], seed: int = V.SEED) -> DataFrame:
-    """Exactly n rows (all rows if there are fewer), the same for every run and layout."""
+    """Exactly n rows (all rows if there are fewer), the same for every run and layout.
+
+    A sorted limit would send n rows of every task to one task, so the rows are
+    picked by a hash threshold instead.
+    """
     keys = [key] if isinstance(key, str) else list(key)
-    if n <= TOP_N_ROWS:
-        return df.orderBy(hash_order(seed, *keys), row_digest(df)).limit(n)
     whole = df.withColumn("_all", F.lit(0))
     marked = mark_smallest(whole, ["_all"], {(0,): [n]}, hash_order(seed, *keys), "_part")
     return marked.filter(F.col("_part") == 0).drop("_part", "_all")

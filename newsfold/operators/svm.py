@@ -22,7 +22,7 @@ from newsfold.operators.metrics import macro_prf
 def linear_svm(train: DataFrame, c: float, n_rows: int, features: str = "features", label: str = "is_sarcastic") -> Model:
     """Hinge loss with an L2 penalty of weight 1 / (C n), on the features as they are."""
     return LinearSVC(
-        featuresCol=features, labelCol=label, regParam=1.0 / (c * n_rows), standardization=False, maxIter=100
+        featuresCol=features, labelCol=label, regParam=1.0 / (c * n_rows), standardization=False, maxIter=100, tol=1e-4
     ).fit(train.select(features, F.col(label).cast("double").alias(label)))
 
 
