@@ -63,16 +63,22 @@ SVM_KERNELS = ("linear", "poly", "rbf", "sigmoid")
 SVM_C_RANGE = (0.01, 10.0)
 SVM_DEGREES = (1, 2, 3, 4, 5)
 
-# Treebank word splitting: (pattern, replacement), applied in this order.
+# Treebank word splitting: (pattern, replacement), applied in this order. Text
+# without any match of TREEBANK_NEEDS_ALL is only changed by the rules for
+# periods at the end and for commas.
+TREEBANK_NEEDS_ALL = r"(?i)[^\p{L}\p{N}\s.,_-]|--|\.\.|cannot|gimme|gonna|gotta|lemme|wanna"
+TREEBANK_PERIOD_AND_COMMA = (
+    (r"""([^.])(\.)([\])}>"'»”’ ]*)\s*$""", r"\1 \2 \3 "),
+    (r"([:,])([^\p{Nd}])", r" \1 \2"),
+    (r"([:,])$", r" \1 "),
+)
 TREEBANK_BEFORE_PADDING = (
     (r"([«“‘„]|`+)", r" \1 "),
     (r'^"', "``"),
     (r"(``)", r" \1 "),
     (r"""([ (\[{<])("|'{2})""", r"\1 `` "),
     (r"'([a-ce-lo-ru-zA-CE-LO-RU-Z0-9_\x{C0}-\x{24F}])([^\p{L}\p{N}_]|$)", r"' \1\2"),
-    (r"""([^.])(\.)([\])}>"'»”’ ]*)\s*$""", r"\1 \2 \3 "),
-    (r"([:,])([^\p{Nd}])", r" \1 \2"),
-    (r"([:,])$", r" \1 "),
+    *TREEBANK_PERIOD_AND_COMMA,
     (r"(\.{2,})", r" \1 "),
     (r"([;@#$%&])", r" \1 "),
     (r"""([^.])(\.)([\])}>"']*)\s*$""", r"\1 \2\3 "),

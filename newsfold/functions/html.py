@@ -77,15 +77,15 @@ def guess_publish_date(url: Column, html: Column) -> Column:
     """
     tag = r"""(?is)<(?:meta[^>]*published_time["'][^>]*content|time[^>]*datetime)\s*=\s*["']([^"']*)["']"""
     stamp = F.regexp_extract(html, tag, 1)
-    clock = F.try_to_timestamp(
-        F.replace(F.regexp_extract(stamp, r"^(\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2})", 1), F.lit("T"), F.lit(" ")),
-        F.lit("yyyy-MM-dd HH:mm:ss"),
-    )
-    tag_day = F.try_to_timestamp(F.regexp_extract(stamp, r"^(\d{4}-\d{2}-\d{2})", 1), F.lit("yyyy-MM-dd"))
-    url_day = F.try_to_timestamp(F.regexp_extract(url, r"/(\d{4}/\d{2}/\d{2})/", 1), F.lit("yyyy/MM/dd"))
-    url_month = F.try_to_timestamp(
-        F.concat(F.regexp_extract(url, r"/(\d{4}/\d{2})/", 1), F.lit("/01")), F.lit("yyyy/MM/dd")
-    )
+
+    def parsed(found: Column, pattern: str, layout: str) -> Column:
+        text = F.regexp_extract(found, pattern, 1)
+        return F.when(text != "", F.try_to_timestamp(text, F.lit(layout)))
+
+    clock = parsed(F.replace(stamp, F.lit("T"), F.lit(" ")), r"^(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2})", "yyyy-MM-dd HH:mm:ss")
+    tag_day = parsed(stamp, r"^(\d{4}-\d{2}-\d{2})", "yyyy-MM-dd")
+    url_day = parsed(url, r"/(\d{4}/\d{2}/\d{2})/", "yyyy/MM/dd")
+    url_month = parsed(url, r"/(\d{4}/\d{2})/", "yyyy/MM")
     findings = (
         (clock, "page tag", "datetime"),
         (url_day, "url", "date"),

@@ -64,7 +64,7 @@ def drop_section_pages(
     df: DataFrame, titles: Sequence[str] = V.SECTION_TITLES, title: str = "article_title"
 ) -> DataFrame:
     """Drop pages whose title is the name of a site section; rows without a title stay."""
-    return df.filter(F.col(title).isNull() | ~F.col(title).isin(list(titles)))
+    return df.filter(~F.coalesce(F.col(title).isin(list(titles)), F.lit(False)))
 
 
 def article_rows(fetched: DataFrame, section_titles: Sequence[str] = V.SECTION_TITLES) -> DataFrame:
@@ -73,11 +73,11 @@ def article_rows(fetched: DataFrame, section_titles: Sequence[str] = V.SECTION_T
         "source",
         F.col("url").alias("article_url"),
         H.extract_title(F.col("body")).alias("article_title"),
-        H.trim_media_credit(H.extract_body(F.col("body"))).alias("article_text"),
+        H.extract_body(F.col("body")).alias("_text"),
         H.guess_publish_date(F.col("url"), F.col("body")).alias("_date"),
     )
     return drop_section_pages(pages, section_titles).select(
-        "source", "article_url", "article_title", "article_text", "_date.*"
+        "source", "article_url", "article_title", H.trim_media_credit(F.col("_text")).alias("article_text"), "_date.*"
     )
 
 

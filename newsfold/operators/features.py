@@ -18,23 +18,25 @@ def term_counts(df: DataFrame, text: str = "article_title") -> DataFrame:
     Both come from one pass: a document sends each occurrence once and each
     distinct term once. Hot terms are summed per task before the shuffle.
     """
-    found = terms(F.col(text))
+    found = F.col("_terms")
     events = F.concat(
         F.transform(found, lambda t: F.struct(t.alias("term"), F.lit(1).alias("n"), F.lit(0).alias("docs"))),
         F.transform(
             F.array_distinct(found), lambda t: F.struct(t.alias("term"), F.lit(0).alias("n"), F.lit(1).alias("docs"))
         ),
     )
-    return df.select(F.inline(events)).groupBy("term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    rows = df.select(terms(F.col(text)).alias("_terms")).select(F.inline(events))
+    return rows.groupBy("term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
 def vocabulary(df: DataFrame, max_features: int, text: str = "article_title") -> DataFrame:
     """The ``max_features`` most frequent terms; equal counts go by term.
 
     How many terms have each count shows which counts can still reach the
-    vocabulary. Rarer terms go before the sort, as most terms are rare.
+    vocabulary. Rarer terms go before the sort, as most terms are rare. Both
+    uses of the counts read the same columns, so the shuffle behind them runs once.
     """
-    counts = term_counts(df, text)
+    counts = term_counts(df, text).filter((F.col("docs") > 0) & (F.col("n") > 0))
     most_frequent = Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)
     least = (
         counts.groupBy("n")

@@ -20,10 +20,18 @@ from newsfold.operators.metrics import macro_prf
 
 
 def linear_svm(train: DataFrame, c: float, n_rows: int, features: str = "features", label: str = "is_sarcastic") -> Model:
-    """Hinge loss with an L2 penalty of weight 1 / (C n), on the features as they are."""
-    return LinearSVC(
+    """Hinge loss with an L2 penalty of weight 1 / (C n), on the features as they are.
+
+    The two columns are persisted during the fit, which reads them more than once.
+    """
+    svc = LinearSVC(
         featuresCol=features, labelCol=label, regParam=1.0 / (c * n_rows), standardization=False, maxIter=100, tol=1e-4
-    ).fit(train.select(features, F.col(label).cast("double").alias(label)))
+    )
+    rows = train.select(features, F.col(label).cast("double").alias(label)).persist()
+    try:
+        return svc.fit(rows)
+    finally:
+        rows.unpersist()
 
 
 @dataclass(frozen=True)
@@ -71,11 +79,8 @@ def fit_trial(
         return SvmModel(trial, linear_svm(train, trial.c, n_rows, "features", label))
     kernel = Kernel(trial.kernel, scale_gamma(train) if gamma is None else gamma, trial.degree)
     landmarks = pick_landmarks(train, n_landmarks, key, seed)
-    mapped = kernel_features(train.select("features", label), landmarks, kernel).persist()
-    try:
-        model = linear_svm(mapped, trial.c, n_rows, "kernel_features", label)
-    finally:
-        mapped.unpersist()
+    mapped = kernel_features(train.select("features", label), landmarks, kernel)
+    model = linear_svm(mapped, trial.c, n_rows, "kernel_features", label)
     return SvmModel(trial, model, kernel, landmarks)
 
 
