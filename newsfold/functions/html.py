@@ -75,8 +75,11 @@ def guess_publish_date(url: Column, html: Column) -> Column:
     a page tag with a date only ("date"), year and month in the URL ("partial",
     set to the first of the month). Dates that do not exist are skipped.
     """
-    tag = r"""(?is)<(?:meta[^>]*published_time["'][^>]*content|time[^>]*datetime)\s*=\s*["']([^"']*)["']"""
-    stamp = F.regexp_extract(html, tag, 1)
+    name_first = r"""(?is)<(?:meta[^>]*published_time["'][^>]*content|time[^>]*datetime)\s*=\s*["']([^"']*)["']"""
+    value_first = r"""(?is)<meta[^>]*content\s*=\s*["']([^"']*)["'][^>]*published_time["']"""
+    stamp = F.coalesce(
+        *[F.nullif(F.regexp_extract(html, tag, 1), F.lit("")) for tag in (name_first, value_first)]
+    )
 
     def parsed(found: Column, pattern: str, layout: str) -> Column:
         text = F.regexp_extract(found, pattern, 1)

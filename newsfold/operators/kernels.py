@@ -21,6 +21,8 @@ from newsfold.operators.rows import sample_n
 # Most numbers in one intermediate block of a task.
 BLOCK_NUMBERS = 4_000_000
 MAX_LANDMARKS = 2_000
+# Most numbers in the landmark matrix that is sent to every executor (160 MB).
+MAX_SHARED_NUMBERS = 20_000_000
 
 
 @dataclass(frozen=True)
@@ -108,6 +110,8 @@ def kernel_features(
     width, m = vectors[0].size, len(vectors)
     cells = [(v.indices, v.values) if hasattr(v, "indices") else (np.arange(width), v.toArray()) for v in vectors]
     used = np.unique(np.concatenate([i for i, _ in cells]))
+    if (len(used) + 1) * m > MAX_SHARED_NUMBERS:
+        raise ValueError(f"{m} landmarks over {len(used)} terms are too many to send to all tasks; take fewer")
     matrix = np.zeros((len(used) + 1, m))  # the last row stands for all other terms
     for column, (indices, values) in enumerate(cells):
         matrix[np.searchsorted(used, indices), column] = values

@@ -1,13 +1,17 @@
 """Readers. Every schema is declared; directories are read whole."""
 
+import json
 from collections.abc import Mapping, Sequence
 
 from pyspark.ml import PipelineModel
+from pyspark.ml.classification import LinearSVCModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from newsfold import schemas
+from newsfold.operators.kernels import Kernel
+from newsfold.operators.svm import SvmModel, Trial
 
 
 def _csv(spark: SparkSession, schema: StructType, path: str) -> DataFrame:
@@ -92,3 +96,13 @@ def read_result_files(spark: SparkSession, path: str) -> DataFrame:
 def load_model(path: str) -> PipelineModel:
     """A saved pipeline."""
     return PipelineModel.load(path)
+
+
+def load_svm(spark: SparkSession, path: str) -> SvmModel:
+    """A saved SVM."""
+    settings = json.loads(spark.read.text(f"{path}/settings").first()["value"])
+    model = LinearSVCModel.load(f"{path}/linear")
+    trial = Trial(**settings["trial"])
+    if settings["kernel"] is None:
+        return SvmModel(trial, model)
+    return SvmModel(trial, model, Kernel(**settings["kernel"]), spark.read.parquet(f"{path}/landmarks"))

@@ -1,12 +1,16 @@
 """Writers."""
 
+import json
+from dataclasses import asdict
+
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from newsfold.functions.text import render_tokens
 from newsfold.operators.crawl import with_crawl_date
+from newsfold.operators.svm import SvmModel
 
 
 def write_dataset(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -20,12 +24,8 @@ def write_dataset(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 def write_dataset_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """CSV export; token arrays are written as Python list text."""
-    columns = [
-        render_tokens(F.col(f.name)).alias(f.name)
-        if f.dataType == T.ArrayType(T.StringType(), f.dataType.containsNull if isinstance(f.dataType, T.ArrayType) else True)
-        else F.col(f.name)
-        for f in df.schema.fields
-    ]
+    arrays = {f.name for f in df.schema.fields if isinstance(f.dataType, T.ArrayType)}
+    columns = [render_tokens(F.col(c)).alias(c) if c in arrays else F.col(c) for c in df.columns]
     df.select(columns).write.mode(mode).option("header", True).option("escape", '"').csv(path)
 
 
@@ -42,3 +42,13 @@ def write_run_record(df: DataFrame, path: str) -> None:
 
 def save_model(model: PipelineModel, path: str) -> None:
     model.write().overwrite().save(path)
+
+
+def save_svm(model: SvmModel, path: str) -> None:
+    """A fitted SVM: the linear model and, for other kernels, the landmarks and kernel parameters."""
+    spark = SparkSession.getActiveSession()
+    model.model.write().overwrite().save(f"{path}/linear")
+    settings = {"trial": asdict(model.trial), "kernel": asdict(model.kernel) if model.kernel else None}
+    spark.createDataFrame([(json.dumps(settings),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/settings")
+    if model.landmarks is not None:
+        model.landmarks.write.mode("overwrite").parquet(f"{path}/landmarks")

@@ -71,6 +71,8 @@ META = '<meta property="article:published_time" content="{}"/>'
         ("https://x/2020/02/29/a", META.format("2020-02-29T01:02:03Z"), (datetime(2020, 2, 29, 1, 2, 3), "page tag", "datetime")),
         ("https://x/2020/02/a", '<time class="d" datetime="2020-02-05">', (datetime(2020, 2, 5), "page tag", "date")),
         ("https://x/a", META.format("soon"), None),
+        ("https://x/a", "<meta content='2021-03-04' property='og:published_time'>", (datetime(2021, 3, 4), "page tag", "date")),
+        ("https://x/2020/02/a", None, (datetime(2020, 2, 1), "url", "partial")),
     ],
 )
 def test_guess_publish_date(spark, url, page, expected):

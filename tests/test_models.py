@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from newsfold import schemas
 from newsfold.operators import features, kernels, svm
 from newsfold.plans.experiments import Run
-from newsfold.plans.training import prepare_text, train_run
+from newsfold.plans.prediction import predict_external, predict_svm
+from newsfold.plans.training import prepare_text, train_run, train_runs
 from newsfold.sources import readers, writers
 
 
@@ -152,19 +153,51 @@ def corpus(spark):
 def test_train_run(spark, tmp_path, fit_on):
     df = corpus(spark)
     trials = [svm.Trial("linear", 1.0, 1)]
-    text_model, model, record = train_run(df, Run("m-svm-all", "svm", ("en", "it", "nl")), trials=trials, fit_on=fit_on)
-    row = record.first()
+    trained = train_run(df, Run("m-svm-all", "svm", ("en", "it", "nl")), trials=trials, fit_on=fit_on)
+    rows = {r["split"]: r for r in trained.records.collect()}
+    assert set(rows) == {"eval", "test"}
+    row = rows["test"]
     assert (row["training_data_size"], row["evaluation_data_size"], row["test_data_size"]) == (243, 27, 30)
+    assert row["true_negative"] + row["false_positive"] + row["false_negative"] + row["true_positive"] == 30
     assert row["f1"] > 0.95 and row["parameters"]["kernel"] == "linear"
-    writers.write_run_record(record, str(tmp_path / "runs"))
-    assert readers.read_run_records(spark, str(tmp_path / "runs")).first()["f1"] == row["f1"]
-    scored = svm.score(text_model.transform(df), model).select("prediction", "confidence")
-    assert scored.filter("confidence < 0.5 or confidence > 1").isEmpty()
+    writers.write_run_record(trained.records, str(tmp_path / "runs"))
+    assert {r["f1"] for r in readers.read_run_records(spark, str(tmp_path / "runs")).collect()} == {r["f1"] for r in rows.values()}
+    scored = predict_svm(df, trained.text_model, trained.model)
+    assert scored.filter("confidence < 0.5 or confidence > 1").isEmpty() and scored.count() == 300
 
 
-def test_held_out_run(spark):
-    _, _, record = train_run(corpus(spark), Run("m-bert-en", "svm", ("en",), True), trials=[svm.Trial("linear", 1.0, 1)])
-    assert record.first()["test_data_size"] == 200
+def test_held_out_runs(spark):
+    """Trained on one language, a model knows nothing about the words of the others."""
+    options = {"trials": [svm.Trial("linear", 1.0, 1)], "max_features": 50}
+    records, matrix = train_runs(corpus(spark), [Run("m-bert-en", "svm", ("en",), True), Run("it-svm", "svm", ("it",))], **options)
+    rows = {(r["run"], r["split"]): r for r in records.collect()}
+    assert rows["m-bert-en", "test"]["test_data_size"] == 200
+    assert rows["m-bert-en", "eval"]["f1"] > 0.95 > rows["m-bert-en", "test"]["f1"]
+    assert {(r["run"], r["lang"]) for r in matrix.collect()} == {("m-bert-en", "it"), ("m-bert-en", "nl"), ("it-svm", "it")}
+
+
+@pytest.mark.parametrize("trial", [svm.Trial("linear", 1.0, 1), svm.Trial("rbf", 1.0, 1)])
+def test_saved_svm_scores_the_same(spark, tmp_path, trial):
+    df = ring(spark, 60).cache()
+    model = svm.fit_trial(df, trial, 60, "id", n_landmarks=20)
+    writers.save_svm(model, str(tmp_path / "svm"))
+    again = readers.load_svm(spark, str(tmp_path / "svm"))
+    assert again.trial == trial
+    a, b = (sorted(map(tuple, svm.score(df, m).select("id", "prediction", F.round("confidence", 9)).collect())) for m in (model, again))
+    assert a == b
+
+
+def test_predict_external(spark):
+    df = spark.createDataFrame([("A, b!",), (None,)], "article_title string")
+
+    def load():
+        import numpy as np
+
+        return lambda texts: np.array([[0.0, float(t == "a b")] for t in texts])
+
+    rows = {r["article_title"]: r for r in predict_external(df, load).collect()}
+    assert rows["A, b!"]["is_sarcastic"] == 1 and rows["A, b!"]["confidence"] == pytest.approx(1 / (1 + math.exp(-1)))
+    assert rows[None]["is_sarcastic"] == 0 and rows[None]["confidence"] == 0.5
 
 
 def test_prepare_text(spark):
