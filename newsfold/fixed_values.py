@@ -64,9 +64,11 @@ SVM_C_RANGE = (0.01, 10.0)
 SVM_DEGREES = (1, 2, 3, 4, 5)
 
 # Treebank word splitting: (pattern, replacement), applied in this order. Text
-# without any match of TREEBANK_NEEDS_ALL is only changed by the rules for
-# periods at the end and for commas.
-TREEBANK_NEEDS_ALL = r"(?i)[^\p{L}\p{N}\s.,_-]|--|\.\.|cannot|gimme|gonna|gotta|lemme|wanna"
+# without marks, mark pairs and contracted words is only changed by the rules
+# for a period at the end and for commas.
+TREEBANK_MARKS = r"[^\p{L}\p{N}\s.,_-]"
+TREEBANK_MARK_PAIRS = ("--", "..")
+CONTRACTED_WORDS = ("cannot", "d'ye", "gimme", "gonna", "gotta", "lemme", "more'n", "wanna", "'tis", "'twas")
 TREEBANK_PERIOD_AND_COMMA = (
     (r"""([^.])(\.)([\])}>"'»”’ ]*)\s*$""", r"\1 \2 \3 "),
     (r"([:,])([^\p{Nd}])", r" \1 \2"),
@@ -88,12 +90,14 @@ TREEBANK_BEFORE_PADDING = (
     (r"([\]\[(){}<>])", r" \1 "),
     (r"--", r" -- "),
 )
-TREEBANK_AFTER_PADDING = (
+TREEBANK_CLOSING_QUOTES = (
     (r"([»”’])", r" \1 "),
     (r'"', r" '' "),
     (r"([^\s])('')", r"\1 \2 "),
     (r"([^' ])('[sS]|'[mM]|'[dD]|') ", r"\1 \2 "),
     (r"([^' ])('ll|'LL|'re|'RE|'ve|'VE|n't|N'T) ", r"\1 \2 "),
+)
+TREEBANK_CONTRACTIONS = (
     (r"(?i)([^\p{L}\p{N}_])(can)(not)([^\p{L}\p{N}_])", r"\1\2 \3\4"),
     (r"(?i)([^\p{L}\p{N}_])(d)('ye)([^\p{L}\p{N}_])", r"\1\2 \3\4"),
     (r"(?i)([^\p{L}\p{N}_])(gim)(me)([^\p{L}\p{N}_])", r"\1\2 \3\4"),
@@ -105,3 +109,4 @@ TREEBANK_AFTER_PADDING = (
     (r"(?i) ('t)(is)([^\p{L}\p{N}_])", r" \1 \2\3"),
     (r"(?i) ('t)(was)([^\p{L}\p{N}_])", r" \1 \2\3"),
 )
+TREEBANK_AFTER_PADDING = TREEBANK_CLOSING_QUOTES + TREEBANK_CONTRACTIONS

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from newsfold import fixed_values as V
-from newsfold.functions.text import strip
+from newsfold.functions.text import contains_any, strip
 
 
 def clean_html(text: Column) -> Column:
@@ -35,9 +35,7 @@ def extract_body(html: Column) -> Column:
 
 def trim_media_credit(text: Column, words: Sequence[str] = V.MEDIA_CREDIT_WORDS) -> Column:
     """Where a credit word occurs in a text of several lines, keep the second line only."""
-    has_word = F.lit(False)
-    for word in words:
-        has_word = has_word | F.contains(text, F.lit(word))
+    has_word = contains_any(text, words)
     second_line = strip(F.split_part(text, F.lit("\n"), F.lit(2)))
     return F.when(has_word & F.contains(text, F.lit("\n")), second_line).otherwise(text)
 

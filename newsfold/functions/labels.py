@@ -44,7 +44,8 @@ def registered_domain(url: Column, suffixes: Sequence[str], allow: Sequence[str]
     """
     if max(len(suffixes), len(allow or ())) > MAX_LIST:
         raise ValueError(f"at most {MAX_LIST} entries")
-    parts = F.split(F.lower(F.try_parse_url(url, F.lit("HOST"))), r"\.")
+    host = F.lower(F.try_parse_url(url, F.lit("HOST")))
+    parts = F.split(F.when(~host.isin(list(suffixes)), host), r"\.")
     tails = F.transform(
         F.sequence(F.lit(2), F.greatest(F.size(parts), F.lit(2))),
         lambda i: F.struct(

@@ -1,6 +1,8 @@
 """Text functions on string and token-array columns. All are built-in expressions."""
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -29,16 +31,26 @@ def _apply_rules(text: Column, rules) -> Column:
     return text
 
 
+def contains_any(text: Column, words: Sequence[str]) -> Column:
+    """True where one of the words occurs."""
+    return reduce(or_, [F.contains(text, F.lit(w)) for w in words])
+
+
 def word_tokens(text: Column) -> Column:
     """Split text into words, contractions and punctuation by the Treebank rules.
 
     Most headlines have no mark that the long list of rules looks for; for them
     three rules give the same words.
     """
-    full = _apply_rules(text, V.TREEBANK_BEFORE_PADDING)
-    full = _apply_rules(F.concat(F.lit(" "), full, F.lit(" ")), V.TREEBANK_AFTER_PADDING)
-    plain = _apply_rules(text, V.TREEBANK_PERIOD_AND_COMMA)
-    spaced = F.when(text.rlike(V.TREEBANK_NEEDS_ALL), full).otherwise(plain)
+    lowered = F.lower(text)
+    contracted = contains_any(lowered, V.CONTRACTED_WORDS)
+    quoted = F.concat(F.lit(" "), _apply_rules(text, V.TREEBANK_BEFORE_PADDING), F.lit(" "))
+    quoted = _apply_rules(quoted, V.TREEBANK_CLOSING_QUOTES)
+    spaced = (
+        F.when(contracted, _apply_rules(quoted, V.TREEBANK_CONTRACTIONS))
+        .when(text.rlike(V.TREEBANK_MARKS) | contains_any(text, V.TREEBANK_MARK_PAIRS), quoted)
+        .otherwise(_apply_rules(text, V.TREEBANK_PERIOD_AND_COMMA))
+    )
     return F.filter(F.split(spaced, r"\s+"), lambda token: token != "")
 
 
