@@ -359,7 +359,7 @@ def _vectors(spark, sf_dir):
 @query
 def svm_predictions(spark, sf_dir):
     vectors, train = _vectors(spark, sf_dir)
-    model = svm.linear_svm(train, 1.0, train.count())
+    model = svm.linear_svm(train, 1.0)
     return svm.score(vectors, model).select("article_url", "split", "is_sarcastic", "prediction", "confidence")
 
 

@@ -49,6 +49,7 @@ def mark_smallest(
 
     ``quotas`` maps each group (tuple of the ``groups`` columns) to its quotas;
     rows after the last quota get ``len(quotas)``, groups not named get null.
+    Without ``groups`` the whole frame is one group, named ``()``.
     Sizes are exact. Rows of equal ``order`` are told apart by their other
     columns; full copies of one row may fall on both sides of a limit.
 
@@ -113,14 +114,18 @@ def mark_smallest(
             T.StructField("copies", T.LongType()),
         ]
     )
-    table = df.sparkSession.createDataFrame(
-        [(*g, [limits[g, cut] for cut in range(len(sizes))]) for g, sizes in quotas.items()],
-        T.StructType([*fields, T.StructField("_limits", T.ArrayType(limit_type))]),
-    )
     needs_digest = any(row is not None for _, row, _ in limits.values())
     placed = rows.withColumns({"_hash": order, "_row": digest if needs_digest else F.lit("")})
-    match = [placed[c].eqNullSafe(table[c]) for c in groups]
-    placed = placed.join(F.broadcast(table), match, "left").select(*[placed[c] for c in placed.columns], "_limits")
+    if groups:
+        table = df.sparkSession.createDataFrame(
+            [(*g, [limits[g, cut] for cut in range(len(sizes))]) for g, sizes in quotas.items()],
+            T.StructType([*fields, T.StructField("_limits", T.ArrayType(limit_type))]),
+        )
+        match = [placed[c].eqNullSafe(table[c]) for c in groups]
+        placed = placed.join(F.broadcast(table), match, "left").select(*[placed[c] for c in placed.columns], "_limits")
+    else:
+        cells = [F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(x, limit_type)]) for x in limits.values()]
+        placed = placed.withColumn("_limits", F.array(*cells))
     width = max((len(sizes) for sizes in quotas.values()), default=0)
     if not copies_split:
         return placed.withColumn(out, _part(width)).drop("_hash", "_row", "_limits")

@@ -46,9 +46,8 @@ def sample_n(df: DataFrame, n: int, key: str | Sequence[str], seed: int = V.SEED
     picked by a hash threshold instead.
     """
     keys = [key] if isinstance(key, str) else list(key)
-    whole = df.withColumn("_all", F.lit(0))
-    marked = mark_smallest(whole, ["_all"], {(0,): [n]}, hash_order(seed, *keys), "_part")
-    return marked.filter(F.col("_part") == 0).drop("_part", "_all")
+    marked = mark_smallest(df, [], {(): [n]}, hash_order(seed, *keys), "_part")
+    return marked.filter(F.col("_part") == 0).drop("_part")
 
 
 def union_sources(frames: Iterable[DataFrame]) -> DataFrame:

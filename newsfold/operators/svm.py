@@ -19,17 +19,19 @@ from newsfold.operators.kernels import Kernel, kernel_features, pick_landmarks,
 from newsfold.operators.metrics import macro_prf
 
 
-def linear_svm(train: DataFrame, c: float, n_rows: int, features: str = "features", label: str = "is_sarcastic") -> Model:
+def linear_svm(
+    train: DataFrame, c: float, n_rows: int | None = None, features: str = "features", label: str = "is_sarcastic"
+) -> Model:
     """Hinge loss with an L2 penalty of weight 1 / (C n), on the features as they are.
 
     The two columns are persisted during the fit, which reads them more than once.
     """
-    svc = LinearSVC(
-        featuresCol=features, labelCol=label, regParam=1.0 / (c * n_rows), standardization=False, maxIter=100, tol=1e-4
-    )
     rows = train.select(features, F.col(label).cast("double").alias(label)).persist()
     try:
-        return svc.fit(rows)
+        penalty = 1.0 / (c * (rows.count() if n_rows is None else n_rows))
+        return LinearSVC(
+            featuresCol=features, labelCol=label, regParam=penalty, standardization=False, maxIter=100, tol=1e-4
+        ).fit(rows)
     finally:
         rows.unpersist()
 
