@@ -36,7 +36,9 @@ def article_type(label: Column, for_file: bool = False) -> Column:
     return F.when(label == 1, "sarcastic").otherwise("non_sarcastic" if for_file else "non-sarcastic")
 
 
-def registered_domain(url: Column, suffixes: Sequence[str], allow: Sequence[str] | None = None) -> Column:
+def registered_domain(
+    url: Column, suffixes: Sequence[str] = V.DOMAIN_SUFFIXES, allow: Sequence[str] | None = None
+) -> Column:
     """Domain and public suffix of a URL's host, by the longest listed suffix.
 
     Null for hosts without a listed suffix, for bare suffixes and, where

@@ -4,6 +4,7 @@ from collections.abc import Mapping, Sequence
 from functools import reduce
 from operator import or_
 
+from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -54,6 +55,11 @@ def word_tokens(text: Column) -> Column:
     return F.filter(F.split(spaced, r"\s+"), lambda token: token != "")
 
 
+def default_stop_words(languages: Sequence[str] = ("english", "italian", "dutch")) -> list[str]:
+    """The stop words Spark ships for these languages, as one list."""
+    return sorted({w for language in languages for w in StopWordsRemover.loadDefaultStopWords(language)})
+
+
 def remove_stopwords(
     tokens: Column,
     stop_words: Sequence[str] | Mapping[str, Sequence[str]],

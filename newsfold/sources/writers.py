@@ -26,7 +26,16 @@ def write_dataset_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None
     """CSV export; token arrays are written as Python list text."""
     arrays = {f.name for f in df.schema.fields if isinstance(f.dataType, T.ArrayType)}
     columns = [render_tokens(F.col(c)).alias(c) if c in arrays else F.col(c) for c in df.columns]
-    df.select(columns).write.mode(mode).option("header", True).option("escape", '"').csv(path)
+    (
+        df.select(columns)
+        .write.mode(mode)
+        .option("header", True)
+        .option("escape", '"')
+        .option("timestampFormat", "yyyy-MM-dd HH:mm:ss")
+        .option("ignoreLeadingWhiteSpace", False)
+        .option("ignoreTrailingWhiteSpace", False)
+        .csv(path)
+    )
 
 
 def write_crawl_batch(df: DataFrame, path: str, run_time=None) -> None:

@@ -13,11 +13,13 @@ def test_article_csv_round_trip(spark, tmp_path):
     rows = [
         ("https://x/a", 'He said "hi", twice', "two\nlines", datetime(2020, 1, 2, 3, 4, 5), "url", "date"),
         ("https://x/b", None, None, None, None, None),
+        ("https://x/c", " blank at both ends ", "x", None, None, None),
     ]
     df = spark.createDataFrame(rows, schemas.RAW_ARTICLE)
     out = str(tmp_path / "articles")
     writers.write_dataset_csv(df, out)
     (tmp_path / "articles" / "notes.txt").write_text("not a csv")
+    assert any("2020-01-02 03:04:05" in p.read_text() for p in (tmp_path / "articles").glob("*.csv"))
     back = readers.read_article_csv(spark, out)
     assert sorted(map(tuple, back.collect())) == sorted(rows)
 
