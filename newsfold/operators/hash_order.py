@@ -8,7 +8,7 @@ aggregate over the key columns with a small result. Afterwards every row is
 placed by comparing its own hash, without a shuffle of the rows.
 """
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,6 +24,8 @@ MAX_GROUPS = 10_000
 # Thresholds above and below every md5 text.
 EVERY_ROW, NO_ROW = "g", ""
 
+Quotas = Mapping[tuple, Sequence[int]]
+
 
 def hash_order(seed: int, *keys: str) -> Column:
     """md5 of the seed and the keys: the order of all samples and splits."""
@@ -39,7 +41,7 @@ def row_digest(df: DataFrame) -> Column:
 def mark_smallest(
     df: DataFrame,
     groups: Sequence[str],
-    quotas: Mapping[tuple, Sequence[int]],
+    quotas: Quotas | Callable[[Mapping[tuple, int]], Quotas],
     order: Column,
     out: str,
     lookup: DataFrame | None = None,
@@ -47,8 +49,8 @@ def mark_smallest(
 ) -> DataFrame:
     """Add ``out``: 0 for the first quota of a group's rows by ``order``, 1 for the next quota, and so on.
 
-    ``quotas`` maps each group (tuple of the ``groups`` columns) to its quotas;
-    rows after the last quota get ``len(quotas)``, groups not named get null.
+    ``quotas`` maps each group (tuple of the ``groups`` columns) to its quotas, or
+    makes that map from the group sizes, which cost no pass of their own; rows after the last quota get ``len(quotas)``, groups not named get null.
     Without ``groups`` the whole frame is one group, named ``()``.
     Sizes are exact. Rows of equal ``order`` are told apart by their other
     columns; full copies of one row may fall on both sides of a limit.
@@ -56,8 +58,6 @@ def mark_smallest(
     With ``lookup`` (a small table) the rows are first joined to it by ``on``,
     and may repeat, once per group. Counting then runs before the rows multiply.
     """
-    if len(quotas) > MAX_GROUPS:
-        raise ValueError(f"{len(quotas)} groups; at most {MAX_GROUPS} are supported")
     groups, on = list(groups), list(on)
     digest = row_digest(df)
     rows = df if lookup is None else df.join(F.broadcast(lookup), on)
@@ -73,6 +73,14 @@ def mark_smallest(
             level = level.groupBy(*groups, "parent", "value").agg(F.sum("n").alias("n"))
         return level
 
+    prefix = F.substring(order, 1, PREFIX_DIGITS)
+    first = counted(prefix, None, [])
+    if callable(quotas):
+        first = first.persist()
+        quotas = quotas(_group_sizes(first, groups))
+    if len(quotas) > MAX_GROUPS:
+        raise ValueError(f"{len(quotas)} groups; at most {MAX_GROUPS} are supported")
+
     # wanted[(group, cut)] = (value the cut falls in so far, rows wanted of it)
     wanted, limits = {}, {}
     for group, sizes in quotas.items():
@@ -82,12 +90,11 @@ def mark_smallest(
             if rank > 0:
                 wanted[group, cut] = ("", rank)
 
-    prefix = F.substring(order, 1, PREFIX_DIGITS)
     copies_split = False
     for step, (parent, value) in enumerate([(None, prefix), (prefix, order), (order, digest)]):
         if not wanted:
             break
-        level = counted(value, parent, sorted({v for v, _ in wanted.values()}))
+        level = first if step == 0 else counted(value, parent, sorted({v for v, _ in wanted.values()}))
         hits = _locate(level, fields, wanted)
         still = {}
         for key in wanted:
@@ -106,6 +113,7 @@ def mark_smallest(
                 limits[key] = (limits[key][0], found, want if want < size else None)
                 copies_split |= want < size
         wanted = still
+    first.unpersist()
 
     limit_type = T.StructType(
         [
@@ -144,6 +152,11 @@ def mark_smallest(
     return rest.unionByName(marked).drop("_hash", "_row", "_limits")
 
 
+def _group_sizes(level: DataFrame, groups: list[str]) -> dict[tuple, int]:
+    rows = level.groupBy(*groups).agg(F.sum("n").alias("n")).limit(MAX_GROUPS + 1).collect()
+    return {tuple(r[c] for c in groups): r["n"] for r in rows}
+
+
 def _locate(level: DataFrame, fields: list, wanted: Mapping) -> dict:
     """For each cut: the value its last row falls on, rows wanted of that value, rows on it."""
     groups = [f.name for f in fields]

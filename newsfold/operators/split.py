@@ -49,8 +49,9 @@ def stratified_split(
     names: tuple[str, str] = ("test", "train"),
 ) -> DataFrame:
     """Add ``split``: ceil(fraction * N) rows, stratified by label, get the first name."""
-    counts = {r[label]: r["n"] for r in label_counts_by(df, [label])}
-    quotas = {(c,): [n] for c, n in class_quotas(counts, fraction).items()}
+    def quotas(sizes):
+        return {(c,): [n] for c, n in class_quotas({c: n for (c,), n in sizes.items()}, fraction).items()}
+
     keys = [key] if isinstance(key, str) else list(key)
     marked = mark_smallest(df, [label], quotas, hash_order(seed, *keys), "_part")
     return marked.withColumn("split", _names(names, "_part")).drop("_part")
@@ -75,8 +76,9 @@ def train_val_test(
     One hash order serves both cuts: the first rows of a label are its test
     rows, the next ones its validation rows.
     """
-    counts = {r[label]: r["n"] for r in label_counts_by(df, [label])}
-    quotas = {(c,): q for c, q in train_val_test_quotas(counts, fraction).items()}
+    def quotas(sizes):
+        return {(c,): q for c, q in train_val_test_quotas({c: n for (c,), n in sizes.items()}, fraction).items()}
+
     keys = [key] if isinstance(key, str) else list(key)
     marked = mark_smallest(df, [label], quotas, hash_order(seed, *keys), "_part")
     return marked.withColumn("split", _names(("test", "val", "train"), "_part")).drop("_part")
