@@ -281,13 +281,14 @@ def redact(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD) ->
     spans = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
 
     def step(state: Column, s: Column) -> Column:
-        inside = s["start"] < state["at"]
-        gap = F.substring(F.col("_text_of_row"), state["at"] + 1, s["start"] - state["at"])
-        return F.struct(
-            F.greatest(state["at"], s["end"]).alias("at"), F.when(inside, state["out"]).otherwise(F.concat(state["out"], gap, F.lit("["), F.upper(s["kind"]), F.lit("]"))).alias("out")
-        )
-
-    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    clean = F.aggregate(spans, begin, step, lambda s: F.concat(s["out"], F.substring(F.col("_text_of_row"), s["at"] + 1, F.length("_text_of_row"))))
+        cut = F.array(F.struct(state["at"].alias("after"), s["start"].alias("start"), s["kind"].alias("kind")))
+        cuts = F.when(s["start"] < state["at"], state["cuts"]).otherwise(F.concat(state["cuts"], cut))
+        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), cuts.alias("cuts"))
+
+    whole = F.col("_text_of_row")
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<after:int,start:int,kind:string>>").alias("cuts"))
+    found = found.withColumn("_cuts", F.aggregate(spans, begin, step))
+    parts = F.transform("_cuts.cuts", lambda c: F.concat(F.substring(whole, c["after"] + 1, c["start"] - c["after"]), F.lit("["), F.upper(c["kind"]), F.lit("]")))
+    clean = F.concat(F.array_join(parts, ""), F.substring(whole, F.col("_cuts.at") + 1, F.length(whole)))
     new = F.when(F.size("spans") == 0, F.col("_text_of_row")).otherwise(clean)
     return found.select(*[new.alias(c) if c == text else column(c) for c in docs.columns])
