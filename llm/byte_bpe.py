@@ -29,7 +29,7 @@ from llm.frames import add_columns
 RANKS = "byte_bpe_multi_50k.tiktoken"
 ROOT, NONE = 0, -1
 #: Entries of a worker's tables; a full table is emptied, which only costs time.
-MOST_STATES, MOST_PAIRS, MOST_PIECES, MOST_STEPS = 200_000, 400_000, 200_000, 300_000
+MOST_STATES, MOST_PAIRS, MOST_PIECES, MOST_STEPS = 300_000, 400_000, 450_000, 300_000
 #: Positions kept before final tokens are emitted.
 FLUSH = 4096
 
@@ -130,6 +130,11 @@ class Transducer:
         out: list[int] = []
         lasts: list[int] = []
         state = self.start
+        if len(data) < FLUSH:
+            for byte in data:
+                state, last = state[byte]
+                lasts.append(last)
+            return self.final(lasts)
         for byte in data:
             state, last = state[byte]
             lasts.append(last)
@@ -140,12 +145,13 @@ class Transducer:
 
     def final(self, lasts: list[int]) -> list[int]:
         """The tokens on the way back from the last position."""
-        out, at = [], len(lasts)
+        out, at, lengths = [], len(lasts), self.lengths
         while at:
             token = lasts[at - 1]
             out.append(token)
-            at -= self.lengths[token]
-        return out[::-1]
+            at -= lengths[token]
+        out.reverse()
+        return out
 
 
 class Pieces(dict):
