@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm import byte_bpe, decontamination, language_id, near_dedup, pii, topk, warc
+from llm import byte_bpe, decontamination, language_id, near_dedup, pii, sharding, topk, url_filter, warc
 from llm.digests import sha256, span_text
 
 
@@ -11,6 +11,22 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op2_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(_read(spark, sf_dir, "documents").select("doc_id", "text"), carry=["doc_id"])
+
+
+#: Host, path, verdict.
+RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+
+
+def op3_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page is labelled if its url names a labelled document: the first number that fills a segment of its path."""
+    pages = _read(spark, sf_dir, "pages").select("page_id", "url")
+    named = pages.select("page_id", F.expr("try_cast(regexp_extract(url, '/([0-9]+)(?:[./?#]|$)', 1) AS bigint)").alias("doc_id"))
+    toxic = _read(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("bad"))
+    return url_filter.judge(pages, named.join(toxic, "doc_id").select("page_id", "bad"), RULES)
+
+
 def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
@@ -61,6 +77,8 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_extendible_sharding": op2_extendible_sharding,
+    "op3_url_templates": op3_url_templates,
     "op4_exact_topk": op4_exact_topk,
     "op5_language_id": op5_language_id,
     "op6_warc_index": op6_warc_index,
@@ -71,6 +89,20 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op2_extendible_sharding": """
+WITH d AS (
+  SELECT doc_id, CAST(coalesce(octet_length(encode(text)), 0) AS BIGINT) AS n_bytes,
+    array_to_string(list_transform(string_split(substr(md5(coalesce('k' || CAST(doc_id AS VARCHAR), 'null')), 1, 16), ''),
+      lambda h: substr('0000000100100011010001010110011110001001101010111100110111101111', CAST(4 * instr('0123456789abcdef', h) - 3 AS BIGINT), 4)), '') AS bits
+  FROM documents
+), nodes AS (
+  SELECT d.doc_id, d.n_bytes, CAST(depth AS INTEGER) AS depth, substr(bits, 1, depth) AS node FROM d, range(0, 33) t(depth)
+), sizes AS (
+  SELECT *, CAST(sum(n_bytes) OVER (PARTITION BY depth, node) AS BIGINT) AS shard_bytes FROM nodes
+)
+SELECT doc_id, node AS shard, depth, n_bytes, shard_bytes FROM sizes WHERE shard_bytes <= 1048576
+QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY depth) = 1
+""",
     "op4_exact_topk": """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS e
