@@ -234,18 +234,19 @@ def _label(own: DataFrame, docs: DataFrame, first: DataFrame, percent: int, miss
     """``node`` and ``component`` of all nodes that share a band with another."""
     members = _members(own)
     labels = stored(members.select("node").distinct().withColumn("component", F.col("node")))
-    start, stop = 0, pivots
     while True:
         placed = members.join(labels, "node")
-        spread = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).filter("low < high")
-        # A bucket whose nodes have all been pivots is done.
-        placed = stored(placed.join(spread.filter(F.col("n") > start + 1).select("band"), "band"))
+        sizes = placed.groupBy("band", "component").agg(F.count("*").alias("size"))
+        spread = sizes.groupBy("band").agg((F.sum("size") - F.max("size")).alias("minor")).filter("minor > 0")
+        placed = stored(placed.join(sizes, ["band", "component"]).join(spread, "band"))
         if placed.isEmpty():
             return labels
-        rank = F.row_number().over(Window.partitionBy("band").orderBy("node"))
-        chosen = placed.withColumn("rank", rank).filter(F.col("rank") <= stop).filter(F.col("rank") > start)
+        # Pivots come from the smallest components. Once all nodes outside the largest were pivots, the bucket is done.
+        rank = F.row_number().over(Window.partitionBy("band").orderBy("size", "component", "node"))
+        chosen = placed.withColumn("rank", rank).filter(F.col("rank") <= pivots)
         chosen = chosen.select("band", F.col("node").alias("pivot"), F.col("component").alias("theirs"))
-        pairs = chosen.join(placed, "band").filter(F.col("theirs") != F.col("component"))
+        pairs = chosen.join(placed.select("band", "node", "component"), "band").filter(F.col("theirs") != F.col("component"))
+        members = placed.filter(F.col("minor") > pivots).select("band", "node")
         pairs = stored(pairs.select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")).distinct())
         survivors = stored(_likely_pairs(pairs, own, percent, miss))
         links = _links(survivors, docs, first, percent)
@@ -253,8 +254,7 @@ def _label(own: DataFrame, docs: DataFrame, first: DataFrame, percent: int, miss
         joined = stored(components(links.join(sides[0], "a").join(sides[1], "b").select(F.col("component_a").alias("a"), F.col("component_b").alias("b"))))
         renamed = labels.join(joined.select(F.col("node").alias("component"), F.col("component").alias("smaller")), "component", "left")
         labels = stored(renamed.select("node", F.coalesce("smaller", "component").alias("component")))
-        start, pivots = stop, pivots * growth
-        stop += pivots
+        pivots *= growth
 
 
 def near_duplicates(

@@ -87,7 +87,7 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def pieces(batches: Iterator[pa.RecordBatch], text: str, limit: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+def pieces(batches: Iterator[pa.RecordBatch], text: str, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The batches cut so that each piece has at most ``limit`` bytes of text, or one row."""
     for batch in batches:
         _, offsets = text_buffers(batch.column(text))
