@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm import byte_bpe, decontamination, language_id, near_dedup, pii, sharding, topk, url_filter, warc
+from llm import byte_bpe, decontamination, language_id, lm_scoring, near_dedup, pii, sharding, topk, url_filter, warc
 from llm.digests import sha256, span_text
 
 
@@ -11,6 +11,12 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = lm_scoring.train(docs.filter(~lm_scoring.held_out()))
+    return lm_scoring.score(docs.select("doc_id", "text", lm_scoring.held_out().alias("held_out")), model, carry=["doc_id", "held_out"])
+
+
 def op2_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_read(spark, sf_dir, "documents").select("doc_id", "text"), carry=["doc_id"])
 
@@ -77,6 +83,7 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_kneser_ney": op1_kneser_ney,
     "op2_extendible_sharding": op2_extendible_sharding,
     "op3_url_templates": op3_url_templates,
     "op4_exact_topk": op4_exact_topk,
