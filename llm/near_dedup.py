@@ -5,9 +5,11 @@
 2. Documents that share a band are candidates. A bucket is not expanded into pairs: in each round a few of its documents
    (pivots) are paired with those that are not yet in the pivot's component. Rounds take more pivots each, until every
    pair of a bucket has been compared or is connected anyway; so a bucket of near copies costs about one pair a document.
-3. A pair's signatures are compared a batch of numbers at a time. After each batch, the posterior of the similarity given
-   the matches so far (uniform prior) tells how likely the pair is similar enough; below the miss probability it is
-   dropped. The survivors are compared on their full shingle sets.
+3. Documents with a shared band get a longer signature of bytes. A pair's bytes are compared a batch at a time. After each
+   batch, the posterior of the similarity given the matches so far (uniform prior) tells how likely the pair is similar
+   enough; below the miss probability it is dropped. In later rounds this happens inside the buckets, so that only
+   survivors leave them; a large bucket is dealt into chunks that each see all of its pivots. The survivors are compared on
+   their full shingle sets.
 4. Links join components; a component is named by its smallest document.
 
 A pair of similarity 0.75 shares no band with a chance of 3e-7, less at higher similarity.
@@ -29,12 +31,15 @@ from llm.words import NOT_SPACE, Words, mix, pieces, text_buffers
 SHINGLE = 5
 PERCENT = 75
 BANDS, ROWS = 40, 4
-SIGNATURE, BATCH = 128, 16
-MISS = 1e-7
+#: Bytes of the signature that is verified, and how many are compared at a time.
+SIGNATURE, BATCH = 512, 32
+MISS = 1e-6
+#: Documents in a chunk of a bucket.
+CHUNK = 4096
 #: Pivots of a bucket in the first round; each round has GROWTH times as many as the one before.
 PIVOTS, GROWTH = 1, 4
 
-_numbers = np.random.Generator(np.random.PCG64(20)).integers(0, 2**64, size=(2, BANDS * ROWS), dtype=np.uint64)
+_numbers = np.random.Generator(np.random.PCG64(20)).integers(0, 2**64, size=(2, BANDS * ROWS + SIGNATURE), dtype=np.uint64)
 _FLIP, _FACTOR = _numbers[0], _numbers[1] | np.uint64(1)
 
 
@@ -56,16 +61,16 @@ def shingles(found: Words, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]
     return hashes, first
 
 
-def signatures(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
+def signatures(hashes: np.ndarray, first: np.ndarray, numbers: range = range(BANDS * ROWS)) -> np.ndarray:
     """MinHash numbers of each set, one row per text; texts without shingles have zeros."""
-    out = np.zeros((len(first) - 1, BANDS * ROWS), dtype=np.uint32)
+    out = np.zeros((len(first) - 1, len(numbers)), dtype=np.uint32)
     some = np.flatnonzero(np.diff(first))
     if len(some):
         at, buffer = first[some], np.empty_like(hashes)
-        for i in range(BANDS * ROWS):
+        for k, i in enumerate(numbers):
             np.bitwise_xor(hashes, _FLIP[i], out=buffer)
             np.multiply(buffer, _FACTOR[i], out=buffer)
-            out[some, i] = np.minimum.reduceat(buffer, at) >> np.uint64(32)
+            out[some, k] = np.minimum.reduceat(buffer, at) >> np.uint64(32)
     return out
 
 
@@ -77,14 +82,13 @@ def bands(signature: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """``doc_id``, ``n_shingles``, ``node`` (a hash of the word sequence; null: no words), ``bands`` and ``signature``."""
+    """``doc_id``, ``n_shingles``, ``node`` (a hash of the word sequence; null: no words), and ``bands``."""
     schema = T.StructType(
         [
             T.StructField("doc_id", T.LongType()),
             T.StructField("n_shingles", T.LongType()),
             T.StructField("node", T.LongType()),
             T.StructField("bands", T.ArrayType(T.LongType(), False)),
-            T.StructField("signature", T.BinaryType()),
         ]
     )
 
@@ -94,15 +98,14 @@ def sketches(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFr
             hashes, first = shingles(found)
             signature = signatures(hashes, first)
             keys = bands(signature)
-            sizes, numbers = [], []
+            sizes = []
             for i in range(batch.num_rows):
                 own = np.sort(hashes[first[i] : first[i + 1]])
                 sizes.append(int(np.count_nonzero(own[1:] != own[:-1])) + 1 if len(own) else 0)
-                numbers.append(signature[i, :SIGNATURE].tobytes() if len(own) else None)
             lists = pa.ListArray.from_arrays(
                 pa.array(np.arange(0, BANDS * len(sizes) + 1, BANDS, dtype=np.int32)), pa.array(keys.ravel()), type=pa.list_(pa.field("element", pa.int64(), nullable=False))
             )
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), nodes(found), lists, pa.array(numbers, pa.binary())], names=schema.names)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), nodes(found), lists], names=schema.names)
 
     return docs.select(column(key).cast("long").alias("doc_id"), column(text).cast("string").alias("text")).mapInArrow(run, schema)
 
@@ -121,48 +124,95 @@ def nodes(found: Words) -> pa.Array:
 
 
 def least_matches(percent: int = PERCENT, miss: float = MISS) -> list[int]:
-    """For each number of batches compared: with fewer matches, a pair is similar enough with a chance below ``miss``."""
+    """For each number of batches compared: with fewer matches, a pair is similar enough with a chance below ``miss``.
+
+    Bytes of different minima are equal once in 256.
+    """
     s = (np.arange(20_000) + 0.5) / 20_000
-    similar = s >= percent / 100
+    similar, p = s >= percent / 100, s + (1 - s) / 256
     out = []
     for n in range(BATCH, SIGNATURE + 1, BATCH):
-        for m in range(n + 1):
-            log = m * np.log(s) + (n - m) * np.log1p(-s)
+        low, high = 0, n
+        while low < high:  # the chance grows with the matches
+            m = (low + high) // 2
+            log = m * np.log(p) + (n - m) * np.log1p(-p)
             weight = np.exp(log - log.max())
-            if weight[similar].sum() / weight.sum() >= miss:
-                out.append(m)
-                break
+            low, high = (low, m) if weight[similar].sum() >= miss * weight.sum() else (m + 1, high)
+        out.append(low)
     return out
 
 
-def likely(a: np.ndarray, b: np.ndarray, least: list[int]) -> np.ndarray:
-    """Rows of two signature tables that no batch rules out."""
-    rows = np.arange(len(a))
-    matches = np.zeros(len(a), dtype=np.int64)
+def likely(a: np.ndarray, b: np.ndarray, sizes_a: np.ndarray, sizes_b: np.ndarray, least: list[int], percent: int = PERCENT) -> np.ndarray:
+    """Rows of two signature tables that neither the sizes of the sets nor a batch rules out. ``a`` may have one row."""
+    rows = np.flatnonzero(100 * np.minimum(sizes_a, sizes_b) >= percent * np.maximum(sizes_a, sizes_b))
+    matches = np.zeros(len(b), dtype=np.int64)
     for i, most in enumerate(least):
         cut = slice(i * BATCH, (i + 1) * BATCH)
-        matches[rows] += (a[rows, cut] == b[rows, cut]).sum(axis=1)
+        left = a[:, cut] if len(a) == 1 else a[rows, cut]
+        matches[rows] += (left == b[rows, cut]).sum(axis=1)
         rows = rows[matches[rows] >= most]
     return rows
 
 
+def _signed(texts: DataFrame) -> DataFrame:
+    """``node``, ``n`` (shingles) and ``signature`` of texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "text"):
+            hashes, first = shingles(_words(batch.column("text")))
+            sizes = [len(x) for x in _sets(batch.column("text"))]
+            numbers = signatures(hashes, first, range(BANDS * ROWS, BANDS * ROWS + SIGNATURE)).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sizes, pa.int64()), pa.array([x.tobytes() for x in numbers], pa.binary())], names=["node", "n", "signature"])
+
+    return texts.mapInArrow(run, "node long, n long, signature binary")
+
+
+def _table(column: pa.Array) -> np.ndarray:
+    return text_buffers(column)[0].reshape(-1, SIGNATURE)
+
+
 def _ends(pairs: DataFrame) -> DataFrame:
     return stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
 
 
-def _likely_pairs(pairs: DataFrame, own: DataFrame, percent: int, miss: float) -> DataFrame:
-    """Pairs (a, b) whose signatures don't rule out a link. ``own``: node and signature."""
-    numbers = semi_join(own.select("node", "signature"), _ends(pairs), "node").dropDuplicates(["node"])
-    both = pairs.join(numbers.select(F.col("node").alias("a"), F.col("signature").alias("signature_a")), "a")
-    both = both.join(numbers.select(F.col("node").alias("b"), F.col("signature").alias("signature_b")), "b")
+def _likely_pairs(pairs: DataFrame, signed: DataFrame, percent: int, miss: float) -> DataFrame:
+    """Pairs (a, b) whose signatures don't rule out a link."""
+    both = pairs
+    for side in ("a", "b"):
+        both = both.join(signed.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col("signature").alias(f"signature_{side}")), side)
     least = least_matches(percent, miss)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = (np.frombuffer(text_buffers(batch.column(c))[0], dtype=np.uint32).reshape(-1, SIGNATURE) for c in ("signature_a", "signature_b"))
-            yield batch.select(["a", "b"]).take(pa.array(likely(a, b, least)))
+            rows = likely(_table(batch.column("signature_a")), _table(batch.column("signature_b")), batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy(), least, percent) if batch.num_rows else []
+            yield batch.select(["a", "b"]).take(pa.array(rows, pa.int64()))
+
+    return both.select("a", "b", "n_a", "n_b", "signature_a", "signature_b").mapInArrow(run, "a long, b long")
+
+
+def _likely_in_buckets(placed: DataFrame, chosen: DataFrame, signed: DataFrame, percent: int, miss: float) -> DataFrame:
+    """Pairs (a, b) of a pivot and a node of its bucket, in different components, whose signatures don't rule out a link."""
+    chunks = F.ceil(F.col("total") / CHUNK).cast("long")
+    members = placed.select("band", "node", "component", F.lit(False).alias("pivot"), F.pmod(F.xxhash64("node"), chunks).alias("chunk"))
+    pivots = chosen.select("band", "node", "component", F.lit(True).alias("pivot"), F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)).alias("chunk"))
+    rows = members.union(pivots).join(signed, "node")
+    least = least_matches(percent, miss)
+
+    def compare(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        node, component, n = (table.column(c).to_numpy() for c in ("node", "component", "n"))
+        signature = _table(table.column("signature").chunk(0))
+        pivot = table.column("pivot").to_numpy().astype(bool)
+        ours = np.flatnonzero(~pivot)
+        out: list[np.ndarray] = [np.zeros((0, 2), dtype=np.int64)]
+        for p in np.flatnonzero(pivot):
+            other = ours[component[ours] != component[p]]
+            found = other[likely(signature[p : p + 1], signature[other], n[p : p + 1], n[other], least, percent)]
+            out.append(np.stack([np.minimum(node[found], node[p]), np.maximum(node[found], node[p])], axis=1))
+        pairs = np.unique(np.concatenate(out), axis=0)
+        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
-    return both.select("a", "b", "signature_a", "signature_b").mapInArrow(run, "a long, b long")
+    return rows.groupBy("band", "chunk").applyInArrow(compare, "a long, b long").distinct()
 
 
 def _sets(text: pa.Array) -> list[np.ndarray]:
@@ -234,27 +284,36 @@ def _label(own: DataFrame, docs: DataFrame, first: DataFrame, percent: int, miss
     """``node`` and ``component`` of all nodes that share a band with another."""
     members = _members(own)
     labels = stored(members.select("node").distinct().withColumn("component", F.col("node")))
+    signed = stored(_signed(_texts(docs, first, labels.select("node"))))
+    star, tested = True, None
     while True:
         placed = members.join(labels, "node")
         sizes = placed.groupBy("band", "component").agg(F.count("*").alias("size"))
-        spread = sizes.groupBy("band").agg((F.sum("size") - F.max("size")).alias("minor")).filter("minor > 0")
+        spread = sizes.groupBy("band").agg(F.sum("size").alias("total"), (F.sum("size") - F.max("size")).alias("minor")).filter("minor > 0")
         placed = stored(placed.join(sizes, ["band", "component"]).join(spread, "band"))
         if placed.isEmpty():
             return labels
         # Pivots come from the smallest components. Once all nodes outside the largest were pivots, the bucket is done.
         rank = F.row_number().over(Window.partitionBy("band").orderBy("size", "component", "node"))
         chosen = placed.withColumn("rank", rank).filter(F.col("rank") <= pivots)
-        chosen = chosen.select("band", F.col("node").alias("pivot"), F.col("component").alias("theirs"))
-        pairs = chosen.join(placed.select("band", "node", "component"), "band").filter(F.col("theirs") != F.col("component"))
+        if star:  # one pivot: the pairs of a group's buckets are mostly the same
+            pairs = chosen.select("band", F.col("node").alias("pivot")).join(placed.select("band", "node"), "band").filter("pivot <> node")
+            pairs = stored(pairs.select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")).distinct())
+            survivors = stored(_likely_pairs(pairs, signed, percent, miss))
+            star = False
+        else:
+            survivors = _likely_in_buckets(placed, chosen, signed, percent, miss)
+            survivors = stored(survivors.join(tested, ["a", "b"], "left_anti"))
         members = placed.filter(F.col("minor") > pivots).select("band", "node")
-        pairs = stored(pairs.select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")).distinct())
-        survivors = stored(_likely_pairs(pairs, own, percent, miss))
+        pivots *= growth
+        tested = survivors if tested is None else tested.union(survivors)
+        if survivors.isEmpty():
+            continue
         links = _links(survivors, docs, first, percent)
         sides = labels.select(F.col("node").alias("a"), F.col("component").alias("component_a")), labels.select(F.col("node").alias("b"), F.col("component").alias("component_b"))
         joined = stored(components(links.join(sides[0], "a").join(sides[1], "b").select(F.col("component_a").alias("a"), F.col("component_b").alias("b"))))
         renamed = labels.join(joined.select(F.col("node").alias("component"), F.col("component").alias("smaller")), "component", "left")
         labels = stored(renamed.select("node", F.coalesce("smaller", "component").alias("component")))
-        pivots *= growth
 
 
 def near_duplicates(
@@ -272,7 +331,7 @@ def near_duplicates(
     part = table.filter("doc_id is not null and node is not null")
     # One row for each word sequence goes on.
     first = stored(part.groupBy("node").agg(F.min("doc_id").alias("rep")))
-    own = part.join(first.select(F.col("node"), F.col("rep").alias("doc_id")), ["node", "doc_id"]).select("node", "bands", "signature")
+    own = part.join(first.select(F.col("node"), F.col("rep").alias("doc_id")), ["node", "doc_id"]).select("node", "bands")
     texts = docs.select(column(key).cast("long").alias("doc_id"), column(text).cast("string").alias("text"))
     labels = _label(own, texts, first, percent, miss, pivots, growth)
     names = labels.join(first, "node").groupBy("component").agg(F.min("rep").alias("component_id"))
