@@ -32,8 +32,13 @@ def cleaned(text: str) -> str:
 
 
 def replaced(text: str, rules) -> str:
+    """Each rule for all matches. What a rule looks ahead for is consumed here, so it is applied twice to meet neighbours."""
     for pattern, replacement in rules:
-        text = f"regexp_replace({text}, {quote(pattern)}, {quote(replacement)}, 'g')"
+        ahead = pattern.endswith(")") and "(?=" in pattern
+        if ahead:
+            pattern, replacement = pattern.replace("(?=", "("), replacement + chr(92) + str(pattern.count("(") - pattern.count("(?") + 1)
+        for _ in range(2 if ahead else 1):
+            text = f"regexp_replace({text}, {quote(pattern)}, {quote(replacement)}, 'g')"
     return text
 
 
@@ -47,7 +52,7 @@ BODY = f"""coalesce(
   nullif(array_to_string(regexp_extract_all({VISIBLE}, '(?is)<p(?:\\s[^>]*)?>(.*?)</p>', 1), chr(10)), ''))"""
 BODY = f"trim({cleaned(BODY)}, {space()})"
 
-WORDS = replaced("lower(article_title)", V.TREEBANK_BEFORE_PADDING)
+WORDS = replaced(replaced("lower(article_title)", V.SENTENCE_ENDS), V.TREEBANK_BEFORE_PADDING)
 WORDS = replaced(f"(' ' || {WORDS} || ' ')", V.TREEBANK_AFTER_PADDING)
 WORDS = f"list_filter(regexp_split_to_array({WORDS}, '\\s+'), lambda t: t <> '')"
 T_SQL = f"{H_SQL}, T AS (SELECT article_url, lang, {WORDS} AS tokens FROM H)"
@@ -82,7 +87,7 @@ QR AS (SELECT is_sarcastic, n - quota AS rest FROM QT),
 SP AS (
   SELECT R.*, CASE WHEN rn <= QT.quota THEN 'test' WHEN rn <= QT.quota + QV.quota THEN 'val' ELSE 'train' END AS split
   FROM (SELECT *, row_number() OVER (PARTITION BY is_sarcastic ORDER BY {ORDER}) AS rn FROM H) R
-  JOIN QT USING (is_sarcastic) JOIN QV USING (is_sarcastic))"""
+  JOIN QT ON R.is_sarcastic IS NOT DISTINCT FROM QT.is_sarcastic JOIN QV ON R.is_sarcastic IS NOT DISTINCT FROM QV.is_sarcastic)"""
 
 _runs = ", ".join(
     f"({quote(r.name)}, [{listed(r.langs)}], {str(r.held_out).lower()})" for r in RUNS
@@ -99,7 +104,8 @@ RANKED AS (SELECT *, row_number() OVER (PARTITION BY run, is_sarcastic ORDER BY
 SELECT R.run, article_url,
        CASE WHEN rn <= GT.quota THEN CASE WHEN held_out THEN 'val' ELSE 'test' END
             WHEN NOT held_out AND rn <= GT.quota + GV.quota THEN 'val' ELSE 'train' END AS split
-FROM RANKED R JOIN GT USING (run, is_sarcastic) JOIN GV USING (run, is_sarcastic)
+FROM RANKED R JOIN GT ON R.run = GT.run AND R.is_sarcastic IS NOT DISTINCT FROM GT.is_sarcastic
+JOIN GV ON R.run = GV.run AND R.is_sarcastic IS NOT DISTINCT FROM GV.is_sarcastic
 UNION ALL SELECT run, article_url, 'test' FROM RH WHERE NOT pool"""
 
 
@@ -226,9 +232,11 @@ ORACLE = {
     "source_medians": f"""WITH {H_SQL} SELECT source, is_sarcastic, median(title_length) AS median_length
         FROM H GROUP BY source, is_sarcastic""",
     "lang_label_pivot": f"""WITH {H_SQL} SELECT lang, nullif(count(*) FILTER (is_sarcastic = 0), 0) AS label_0,
-        nullif(count(*) FILTER (is_sarcastic = 1), 0) AS label_1 FROM H GROUP BY lang""",
+        nullif(count(*) FILTER (is_sarcastic = 1), 0) AS label_1,
+        nullif(count(*) FILTER (is_sarcastic IS NULL), 0) AS label_other FROM H GROUP BY lang""",
     "domain_label_pivot": f"""WITH {HOST_SQL} SELECT domain, nullif(count(*) FILTER (is_sarcastic = 0), 0) AS label_0,
-        nullif(count(*) FILTER (is_sarcastic = 1), 0) AS label_1 FROM DOM WHERE domain IS NOT NULL GROUP BY domain""",
+        nullif(count(*) FILTER (is_sarcastic = 1), 0) AS label_1,
+        nullif(count(*) FILTER (is_sarcastic IS NULL), 0) AS label_other FROM DOM WHERE domain IS NOT NULL GROUP BY domain""",
     "length_histogram": f"""WITH {H_SQL}
         SELECT lang, is_sarcastic, title_length, count(*) AS frequency, 0 AS level FROM H GROUP BY ALL
         UNION ALL SELECT NULL, is_sarcastic, title_length, count(*), 4 FROM H GROUP BY is_sarcastic, title_length

@@ -41,7 +41,7 @@ SECTIONS = ("In in oredble ea.", "Nicht aulich für sch erüver enau sch der.")
 SUFFIXES = ("com", "net", "org", "example.com", "example.net", "example.org")
 DOMAINS = ("tionsh.example.net", "ththan.example.net", "tiontion.example.com", "ththhe.example.com", "ththly.example.org")
 LANG_NAMES = {"English": "en", "French": "fr", "German": "de"}
-MAX_FEATURES = 500
+MAX_FEATURES = features.max_features_for(tuple(STOP_WORDS))
 RUNS = (
     experiments.Run("en-svm", "svm", ("en",)),
     experiments.Run("fr-svm", "svm", ("fr",)),
@@ -350,10 +350,10 @@ def tfidf(spark, sf_dir):
 
 def _vectors(spark, sf_dir):
     h = split.train_val_test(headlines(spark, sf_dir), "article_url")
-    train = h.filter(F.col("split") == "train")
+    train = h.filter((F.col("split") == "train") & F.col("is_sarcastic").isNotNull())
     model = features.fit_tfidf_vectors(train, MAX_FEATURES)
     vectors = model.transform(h).select("article_url", "is_sarcastic", "split", "features")
-    return vectors, vectors.filter(F.col("split") == "train")
+    return vectors, vectors.filter((F.col("split") == "train") & F.col("is_sarcastic").isNotNull())
 
 
 @query
@@ -367,7 +367,7 @@ def svm_predictions(spark, sf_dir):
 def kernel_features(spark, sf_dir):
     vectors, train = _vectors(spark, sf_dir)
     kernel = kernels.Kernel("rbf", kernels.scale_gamma(train))
-    mapped = kernels.kernel_features(vectors, kernels.pick_landmarks(train, 50, "article_url"), kernel)
+    mapped = kernels.kernel_features(vectors, kernels.pick_landmarks(train, 200, "article_url"), kernel)
     return mapped.select("article_url", vector_to_array("kernel_features").alias("kernel_features"))
 
 

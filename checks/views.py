@@ -12,10 +12,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def headlines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """H: every line of every labelled document is a headline."""
+    """H: every line of every document is a headline; documents without a label have a null one."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
-    lines = docs.join(labels, "doc_id").select(
+    lines = docs.join(labels, "doc_id", "left").select(
         "doc_id", "lang", "source", "quality", F.posexplode(F.split("text", "\n")).alias("line_no", "article_title")
     )
     return lines.select(
@@ -36,7 +36,7 @@ H0 AS (
   SELECT d.doc_id, d.lang, d.source, CAST(1 - l.quality AS INTEGER) AS is_sarcastic,
          unnest(string_split(d.text, chr(10))) AS article_title,
          unnest(range(len(string_split(d.text, chr(10))))) AS line_no
-  FROM documents d JOIN labels l ON d.doc_id = l.doc_id
+  FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id
 ),
 H AS (
   SELECT 'http://' || source || '.example/' || lang || '/' || CAST(doc_id AS VARCHAR) || '/' || CAST(line_no AS VARCHAR)

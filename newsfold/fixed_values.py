@@ -97,16 +97,30 @@ TREEBANK_CLOSING_QUOTES = (
     (r"([^' ])('[sS]|'[mM]|'[dD]|') ", r"\1 \2 "),
     (r"([^' ])('ll|'LL|'re|'RE|'ve|'VE|n't|N'T) ", r"\1 \2 "),
 )
+# Abbreviations that keep their period inside a sentence.
+ABBREVIATIONS = (
+    "mr", "mrs", "ms", "dr", "prof", "sr", "jr", "st", "gov", "capt", "lt", "sgt", "rev",
+    "vs", "etc", "inc", "ltd", "corp", "vol", "fig", "approx", "dept", "u.s", "u.k", "e.g", "i.e", "a.m", "p.m",
+)
+# Sentence ends: periods that stay are marked, the others are parted from their words, the marked ones come back.
+SENTENCE_ENDS = (
+    (r"(?i)(^|[^\p{L}\p{N}_.])(" + "|".join(a.replace(".", r"\.") for a in ABBREVIATIONS) + r"|\p{L})\.(\s)", "\\1\\2\x01\\3"),
+    (r"([^.\s])\.(\s)", r"\1 .\2"),
+    ("\x01", "."),
+)
 TREEBANK_CONTRACTIONS = (
-    (r"(?i)([^\p{L}\p{N}_])(can)(not)([^\p{L}\p{N}_])", r"\1\2 \3\4"),
-    (r"(?i)([^\p{L}\p{N}_])(d)('ye)([^\p{L}\p{N}_])", r"\1\2 \3\4"),
-    (r"(?i)([^\p{L}\p{N}_])(gim)(me)([^\p{L}\p{N}_])", r"\1\2 \3\4"),
-    (r"(?i)([^\p{L}\p{N}_])(gon)(na)([^\p{L}\p{N}_])", r"\1\2 \3\4"),
-    (r"(?i)([^\p{L}\p{N}_])(got)(ta)([^\p{L}\p{N}_])", r"\1\2 \3\4"),
-    (r"(?i)([^\p{L}\p{N}_])(lem)(me)([^\p{L}\p{N}_])", r"\1\2 \3\4"),
-    (r"(?i)([^\p{L}\p{N}_])(more)('n)([^\p{L}\p{N}_])", r"\1\2 \3\4"),
-    (r"(?i)([^\p{L}\p{N}_])(wan)(na)(\s)", r"\1\2 \3\4"),
-    (r"(?i) ('t)(is)([^\p{L}\p{N}_])", r" \1 \2\3"),
-    (r"(?i) ('t)(was)([^\p{L}\p{N}_])", r" \1 \2\3"),
+    (r"(?i)([^\p{L}\p{N}_])(can)(not)(?=[^\p{L}\p{N}_])", r"\1\2 \3"),
+    (r"(?i)([^\p{L}\p{N}_])(d)('ye)(?=[^\p{L}\p{N}_])", r"\1\2 \3"),
+    (r"(?i)([^\p{L}\p{N}_])(gim)(me)(?=[^\p{L}\p{N}_])", r"\1\2 \3"),
+    (r"(?i)([^\p{L}\p{N}_])(gon)(na)(?=[^\p{L}\p{N}_])", r"\1\2 \3"),
+    (r"(?i)([^\p{L}\p{N}_])(got)(ta)(?=[^\p{L}\p{N}_])", r"\1\2 \3"),
+    (r"(?i)([^\p{L}\p{N}_])(lem)(me)(?=[^\p{L}\p{N}_])", r"\1\2 \3"),
+    (r"(?i)([^\p{L}\p{N}_])(more)('n)(?=[^\p{L}\p{N}_])", r"\1\2 \3"),
+    (r"(?i)([^\p{L}\p{N}_])(wan)(na)(?=\s)", r"\1\2 \3"),
+    (r"(?i) ('t)(is)(?=[^\p{L}\p{N}_])", r" \1 \2"),
+    (r"(?i) ('t)(was)(?=[^\p{L}\p{N}_])", r" \1 \2"),
 )
 TREEBANK_AFTER_PADDING = TREEBANK_CLOSING_QUOTES + TREEBANK_CONTRACTIONS
+
+# Undefined precision and recall in the records of SVM runs.
+SVM_ZERO_DIVISION = 1.0

@@ -41,8 +41,10 @@ def word_tokens(text: Column) -> Column:
     """Split text into words, contractions and punctuation by the Treebank rules.
 
     Most headlines have no mark that the long list of rules looks for; for them
-    three rules give the same words.
+    three rules give the same words. A period before white space ends a sentence
+    and is a word, except after a listed abbreviation or a single letter.
     """
+    text = _apply_rules(text, V.SENTENCE_ENDS)
     lowered = F.lower(text)
     contracted = contains_any(lowered, V.CONTRACTED_WORDS)
     quoted = F.concat(F.lit(" "), _apply_rules(text, V.TREEBANK_BEFORE_PADDING), F.lit(" "))
@@ -82,7 +84,7 @@ def remove_stopwords(
 
 def alpha_tokens(tokens: Column) -> Column:
     """Keep tokens made of letters only."""
-    return F.filter(tokens, lambda token: token.rlike(r"^\p{L}+$"))
+    return F.filter(tokens, lambda token: token.rlike(r"^\p{L}+\z"))
 
 
 def render_tokens(tokens: Column) -> Column:

@@ -77,12 +77,8 @@ def tfidf(
 
 
 def sparse_parts(vector: str) -> Column:
-    """Indices and values of a sparse ML vector as a struct of two arrays.
-
-    SQL has no accessor for the parts of a vector, but its JSON form has them.
-    """
-    parts = F.from_json(F.to_json(F.struct(F.col(vector).alias("v"))), "v struct<indices: array<int>, values: array<double>>")
-    return parts["v"]
+    """Indices and values of a sparse ML vector, as a struct that has both."""
+    return F.unwrap_udt(vector)
 
 
 def vocabulary_terms(model: PipelineModel) -> list[str]:

@@ -46,18 +46,14 @@ class Kernel:
 
 
 def scale_gamma(df: DataFrame, features: str = "features") -> float:
-    """1 / (number of features x variance of all matrix cells), from one sum per batch of rows."""
-
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                _, _, values = _storage_arrays(batch.column(0))
-                width = max(_widths(batch.column(0)))
-                row = {"n": batch.num_rows, "width": width, "total": values.sum(), "squares": (values**2).sum()}
-                yield pa.RecordBatch.from_pylist([{k: float(v) for k, v in row.items()}])
-
-    parts = df.select(F.col(features).alias("_vector")).mapInArrow(sums, "n double, width double, total double, squares double")
-    row = parts.agg(F.sum("n").alias("n"), F.max("width").alias("width"), F.sum("total").alias("total"), F.sum("squares").alias("squares")).first()
+    """1 / (number of features x variance of all matrix cells), from sums of the stored numbers of each vector."""
+    vector = F.unwrap_udt(features)
+    values, zero = vector["values"], F.lit(0.0)
+    row = df.select(
+        F.coalesce(vector["size"], F.size(values)).cast("double").alias("width"),  # dense vectors store no size
+        F.aggregate(values, zero, lambda a, x: a + x).alias("total"),
+        F.aggregate(values, zero, lambda a, x: a + x * x).alias("squares"),
+    ).agg(F.nullif(F.count(F.lit(1)), F.lit(0)).alias("n"), F.max("width").alias("width"), F.sum("total").alias("total"), F.sum("squares").alias("squares")).first()
     if row["n"] is None:
         raise ValueError("no rows")
     cells = row["n"] * row["width"]

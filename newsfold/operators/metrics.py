@@ -74,11 +74,13 @@ def macro_prf(
 
 
 def leaderboard(runs: DataFrame, split: str = "test") -> DataFrame:
-    """One row per run with its scores, best F1 first; files without a split count as the test."""
+    """One row per run with the scores of its best record, best F1 first; files without a split count as the test."""
+    best = F.max(F.struct("f1", "precision", "recall", "accuracy")).alias("_best")
     return (
         runs.filter((F.coalesce("split", F.lit("test")) == split) & F.col("f1").isNotNull())
         .groupBy("family", "run")
-        .agg(*[F.max(m).alias(m) for m in ("f1", "precision", "recall", "accuracy")])
+        .agg(best)
+        .select("family", "run", "_best.*")
         .orderBy(F.desc("f1"), "family", "run")
     )
 

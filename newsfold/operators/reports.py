@@ -2,6 +2,9 @@
 
 from collections.abc import Sequence
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -63,9 +66,14 @@ def source_medians(df: DataFrame) -> DataFrame:
 
 
 def label_pivot(df: DataFrame, row: str, label: str = "is_sarcastic", labels: Sequence[int] = (0, 1)) -> DataFrame:
-    """Counts with one column per label, ``label_0`` and so on; absent pairs are null, null rows are left out."""
-    counts = df.filter(F.col(row).isNotNull()).groupBy(row).pivot(label, list(labels)).agg(F.count(F.lit(1)))
-    return counts.select(row, *[F.col(f"`{v}`").alias(f"label_{v}") for v in labels])
+    """Counts with one column per label, ``label_0`` and so on, and ``label_other`` for null and other labels.
+
+    Absent pairs are null, null rows are left out.
+    """
+    own = [F.col(label).eqNullSafe(v) for v in labels]
+    named = {f"label_{v}": is_v for v, is_v in zip(labels, own)} | {"label_other": ~reduce(or_, own)}
+    counts = df.filter(F.col(row).isNotNull()).groupBy(row)
+    return counts.agg(*[F.nullif(F.count_if(is_v), F.lit(0)).alias(name) for name, is_v in named.items()])
 
 
 def length_histogram(df: DataFrame, levels: Sequence[Sequence[str]] = LEVELS) -> DataFrame:

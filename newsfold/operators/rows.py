@@ -29,14 +29,16 @@ def length_band(
 
 
 def dedup_by(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
-    """One row per key: the smallest by ``order``, then by the other columns.
+    """One row per key: the smallest by ``order``, then by the other columns; nulls come last.
 
-    Null keys form one group. A partial minimum runs before the shuffle, so a
+    So a row whose title was not fetched never replaces one with a title. Null keys form one group. A partial minimum runs before the shuffle, so a
     key with many copies sends one row per task.
     """
     rest = [c for c in df.columns if c != key and c not in order]
-    first = F.min(F.struct(*[c for c in order if c != key], *rest)).alias("_first")
-    return df.groupBy(key).agg(first).select(key, "_first.*").select(df.columns)
+    ranked = [c for c in order if c != key] + rest
+    places = [F.struct(F.col(c).isNull().alias("missing"), F.col(c).alias("value")).alias(c) for c in ranked]
+    first = df.groupBy(key).agg(F.min(F.struct(*places)).alias("_first"))
+    return first.select(*[F.col(key) if c == key else F.col("_first")[c]["value"].alias(c) for c in df.columns])
 
 
 def sample_n(df: DataFrame, n: int, key: str | Sequence[str], seed: int = V.SEED) -> DataFrame:

@@ -24,16 +24,13 @@ def linear_svm(
 ) -> Model:
     """Hinge loss with an L2 penalty of weight 1 / (C n), on the features as they are.
 
-    The two columns are persisted during the fit, which reads them more than once.
+    The solver keeps its own blocks of the rows, so they are read once, and once more where ``n_rows`` isn't given.
     """
-    rows = train.select(features, F.col(label).cast("double").alias(label)).persist()
-    try:
-        penalty = 1.0 / (c * (rows.count() if n_rows is None else n_rows))
-        return LinearSVC(
-            featuresCol=features, labelCol=label, regParam=penalty, standardization=False, maxIter=100, tol=1e-4
-        ).fit(rows)
-    finally:
-        rows.unpersist()
+    rows = train.select(features, F.col(label).cast("double").alias(label))
+    penalty = 1.0 / (c * (rows.count() if n_rows is None else n_rows))
+    return LinearSVC(
+        featuresCol=features, labelCol=label, regParam=penalty, standardization=False, maxIter=100, tol=1e-4
+    ).fit(rows)
 
 
 @dataclass(frozen=True)

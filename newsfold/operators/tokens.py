@@ -17,15 +17,16 @@ def lemmatize(
     ``lemmas`` has lang, word, pos ("n", "v", "a", "r") and lemma, at most one
     row per first three; absent words stay as they are. ``tags`` names an array of
     part-of-speech tags next to the tokens; without it every token is a noun.
-    ``keys`` must identify a row and include ``lang``.
+    ``keys`` must include ``lang``. They need not identify a row: equal rows stay apart.
     """
     pairs = F.arrays_zip(F.col(tokens).alias("word"), (F.col(tags) if tags else F.col(tokens)).alias("tag"))
-    exploded = df.select(*keys, F.posexplode_outer(pairs).alias("pos_in_text", "pair"))
+    numbered = df.select(*df.columns, F.monotonically_increasing_id().alias("_row"))
+    exploded = numbered.select("_row", *keys, F.posexplode_outer(pairs).alias("pos_in_text", "pair"))
     word_class = F.lit(V.DEFAULT_WORD_CLASS)
     if tags:
         for letter, name in V.WORD_CLASSES.items():
             word_class = F.when(F.startswith(F.col("pair.tag"), F.lit(letter)), F.lit(name)).otherwise(word_class)
-    words = exploded.select(*keys, "pos_in_text", F.col("pair.word").alias("word"), word_class.alias("pos"))
+    words = exploded.select("_row", *keys, "pos_in_text", F.col("pair.word").alias("word"), word_class.alias("pos"))
     known = lookup_join(words, lemmas.select("lang", "word", "pos", "lemma"), ["lang", "word", "pos"])
     ordered = F.array_sort(
         F.collect_list(
@@ -35,4 +36,4 @@ def lemmatize(
             )
         )
     )
-    return known.groupBy(*keys).agg(ordered.alias("_found")).select(*keys, F.col("_found.lemma").alias(out))
+    return known.groupBy("_row", *keys).agg(ordered.alias("_found")).select(*keys, F.col("_found.lemma").alias(out))

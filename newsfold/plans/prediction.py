@@ -11,9 +11,10 @@ from newsfold.operators import svm
 
 
 def predict_svm(df: DataFrame, text_model: PipelineModel, model: svm.SvmModel) -> DataFrame:
-    """Add ``is_sarcastic`` and ``confidence`` by a trained run."""
+    """Add ``is_sarcastic`` and ``confidence`` by a trained run; columns with these names are replaced."""
     scored = svm.score(text_model.transform(df), model)
-    return scored.select(*df.columns, F.col("prediction").cast("int").alias("is_sarcastic"), "confidence")
+    kept = [c for c in df.columns if c not in ("is_sarcastic", "confidence")]
+    return scored.select(*kept, F.col("prediction").cast("int").alias("is_sarcastic"), "confidence")
 
 
 def predict_external(

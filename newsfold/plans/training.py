@@ -20,7 +20,7 @@ from newsfold.plans.experiments import Run
 def prepare_text(df: DataFrame, stop_words, lemmas: DataFrame | None = None, by_lang: bool = False) -> DataFrame:
     """Add ``article_title_preprocessed``: lower-cased words without stop words and non-letters, as lemmas.
 
-    With ``lemmas`` the rows of ``df`` must be distinct (see ``lemmatize``).
+    Equal rows stay apart.
     """
     lang = F.col("lang") if by_lang else None
     words = alpha_tokens(remove_stopwords(word_tokens(F.lower("article_title")), stop_words, lang))
@@ -62,11 +62,13 @@ def train_run(
     n_landmarks: int = 200,
     seed: int = V.SEED,
     max_features: int | None = None,
+    zero_division: float = V.SVM_ZERO_DIVISION,
 ) -> TrainedRun:
     """Split, fit TF-IDF, search, refit and evaluate one run.
 
     ``fit_on`` "train" takes vocabulary and idf from the training part only,
-    "all" from every row of the run.
+    "all" from every row of the run. Whatever the run is called, its record has
+    the family of the model that was fitted.
     """
     parts = split_run(df, run, key, seed).select(key, text, "is_sarcastic", "lang", "split").persist()
     try:
@@ -86,11 +88,11 @@ def train_run(
         [(run.name, {"val": "eval"}.get(r["split"], r["split"]), r["lang"], r["y"], int(r["p"]), r["n"]) for r in counts],
         "run string, split string, lang string, y int, p int, n long",
     )
-    return TrainedRun(run, text_model, model, _records(pairs, run, sizes, model), pairs)
+    return TrainedRun(run, text_model, model, _records(pairs, run, sizes, model, zero_division), pairs)
 
 
-def _records(pairs: DataFrame, run: Run, sizes: dict, model: svm.SvmModel) -> DataFrame:
-    scores = metrics.macro_from_pairs(pairs, 1.0, ["split"])
+def _records(pairs: DataFrame, run: Run, sizes: dict, model: svm.SvmModel, zero_division: float) -> DataFrame:
+    scores = metrics.macro_from_pairs(pairs, zero_division, ["split"])
 
     def cell(y: int, p: int):
         return F.coalesce(F.sum(F.when((F.col("y") == y) & (F.col("p") == p), F.col("n"))), F.lit(0))
@@ -102,7 +104,7 @@ def _records(pairs: DataFrame, run: Run, sizes: dict, model: svm.SvmModel) -> Da
         cell(1, 1).alias("true_positive"),
     )
     fixed = {
-        "family": F.lit(run.family),
+        "family": F.lit("svm"),
         "run": F.lit(run.name),
         "training_data_size": F.lit(sizes.get("train", 0)).cast("long"),
         "evaluation_data_size": F.lit(sizes.get("val", 0)).cast("long"),
@@ -116,4 +118,4 @@ def train_runs(df: DataFrame, runs: Sequence[Run], **options) -> tuple[DataFrame
     """Train several runs. Returns all run records, and the test scores by run and language."""
     trained = [train_run(df, run, **options) for run in runs]
     pairs = union_sources([t.pairs for t in trained]).filter(F.col("split") == "test")
-    return union_sources([t.records for t in trained]), metrics.macro_from_pairs(pairs, 1.0, ["run", "lang"])
+    return union_sources([t.records for t in trained]), metrics.macro_from_pairs(pairs, options.get("zero_division", V.SVM_ZERO_DIVISION), ["run", "lang"])

@@ -21,6 +21,8 @@ FETCHED_DOCUMENT = _struct(source=_S, url=_S, status=_I, body=_S, fetched_at=_TS
 NEWS_CSV = _struct(url=_S, title=_S)
 HEADLINE_JSON = _struct(article_link=_S, headline=_S, is_sarcastic=_I)
 HEADLINE = _struct(article_url=_S, article_title=_S, is_sarcastic=_I, title_length=_I, lang=_S)
+#: The headline table with prepared words.
+PREPARED = T.StructType([*HEADLINE.fields, T.StructField("article_title_preprocessed", T.ArrayType(_S))])
 RUN_RECORD = _struct(
     family=_S,
     run=_S,

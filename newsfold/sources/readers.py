@@ -14,11 +14,12 @@ from newsfold.operators.kernels import Kernel
 from newsfold.operators.svm import SvmModel, Trial
 
 
-def _csv(spark: SparkSession, schema: StructType, path: str) -> DataFrame:
+def _csv(spark: SparkSession, schema: StructType, path: str, multi_line: bool = True) -> DataFrame:
+    """CSV with a header. Without line breaks inside fields (``multi_line`` False), large files are split over tasks."""
     return (
         spark.read.schema(schema)
         .option("header", True)
-        .option("multiLine", True)
+        .option("multiLine", multi_line)
         .option("escape", '"')
         .option("pathGlobFilter", "*.csv")
         .option("enforceSchema", False)
@@ -36,9 +37,10 @@ def read_renamed_csv(
     path: str,
     schema: StructType = schemas.NEWS_CSV,
     names: Mapping[str, str] = {"url": "article_url", "title": "article_title"},
+    multi_line: bool = False,
 ) -> DataFrame:
-    """All CSV files of a directory with other column names, renamed."""
-    return _csv(spark, schema, path).withColumnsRenamed(dict(names))
+    """All CSV files of a directory with other column names, renamed; ``multi_line``: fields may hold line breaks."""
+    return _csv(spark, schema, path, multi_line).withColumnsRenamed(dict(names))
 
 
 def read_json_lines(
@@ -51,15 +53,15 @@ def read_json_lines(
     return spark.read.schema(schema).option("pathGlobFilter", "*.json").json(path).withColumnsRenamed(dict(names))
 
 
-def read_dataset(spark: SparkSession, path: str, langs: Sequence[str] | None = None) -> DataFrame:
-    """The headline table; with ``langs`` only those language folders are read."""
-    df = spark.read.schema(schemas.HEADLINE).parquet(path)
+def read_dataset(spark: SparkSession, path: str, langs: Sequence[str] | None = None, schema: StructType = schemas.HEADLINE) -> DataFrame:
+    """The headline table; with ``langs`` only those language folders are read. ``schema``: ``schemas.PREPARED`` for prepared text."""
+    df = spark.read.schema(schema).parquet(path)
     return df if langs is None else df.filter(F.col("lang").isin(list(langs)))
 
 
-def read_dataset_csv(spark: SparkSession, path: str) -> DataFrame:
+def read_dataset_csv(spark: SparkSession, path: str, schema: StructType = schemas.HEADLINE) -> DataFrame:
     """The headline table from CSV."""
-    return _csv(spark, schemas.HEADLINE, path)
+    return _csv(spark, schema, path)
 
 
 def read_sitemaps(spark: SparkSession, path: str) -> DataFrame:
