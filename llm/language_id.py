@@ -118,11 +118,15 @@ def build(samples: dict[str, list[str]], letters_kept: int = LETTERS, sample_cha
     tables, starts, offset = [], [], 0
     for language in languages:
         following = automaton(_blanks_joined(classes[codes[language]]), width)
-        new = following == 0
-        table = np.where(new, following[0], following) + offset
+        # One more state, in which the next character begins a phrase whatever it is: at the start, and after characters
+        # that the labelled text doesn't have.
+        lost = len(following)
+        again = np.where(following[0] == 0, lost, following[0])
+        new = np.vstack([following == 0, np.ones((1, width), dtype=bool)])
+        table = np.where(new, again, np.vstack([following, again])) + offset
         tables.append(((table << 1) | new).astype(np.int32))
-        starts.append(offset)
-        offset += len(following)
+        starts.append(offset + lost)
+        offset += lost + 1
     table = np.concatenate(tables).ravel() if tables else np.zeros(0, dtype=np.int32)
     return Model(languages, classes, table, np.array(starts, dtype=np.int32), width)
 
@@ -155,7 +159,7 @@ def phrases(model: Model, text: pa.Array, block: int = BLOCK) -> tuple[np.ndarra
     start, size, owner = start[order], size[order], owner[order]
     n = len(model.languages)
     state = np.repeat(model.starts[:, None], len(start), axis=1)
-    count = np.ones((n, len(start)), dtype=np.int32)  # the phrase in which a block begins
+    count = np.zeros((n, len(start)), dtype=np.int32)
     live = len(start)
     for step in range(block):
         while live and size[live - 1] <= step:

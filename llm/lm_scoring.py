@@ -147,6 +147,8 @@ class Model:
     pair_discounts: tuple[float, float, float]
     word_discounts: tuple[float, float, float]
     word_mass: float  # share of the uniform distribution in that of words
+    pair_shards: frozenset = frozenset()  # shards that have any
+    word_shards: frozenset = frozenset()
 
     @property
     def range(self) -> int:
@@ -160,13 +162,12 @@ class Model:
         order = np.argsort(shard, kind="stable")
         cuts = np.searchsorted(shard[order], np.arange(self.shards + 1))
         for s, (a, b) in enumerate(zip(cuts, cuts[1:])):
-            if a < b:
+            if a < b and s in self.pair_shards:
                 known = mapped(f"{self.vocabulary.folder}/pair-{s}", "<u8")
-                if len(known):
-                    rows = order[a:b]
-                    at = np.minimum(np.searchsorted(known, distinct[rows]), len(known) - 1)
-                    hit = known[at] == distinct[rows]
-                    out[rows[hit]] = mapped(f"{self.vocabulary.folder}/paircount-{s}", "<u4")[at[hit]]
+                rows = order[a:b]
+                at = np.minimum(np.searchsorted(known, distinct[rows]), len(known) - 1)
+                hit = known[at] == distinct[rows]
+                out[rows[hit]] = mapped(f"{self.vocabulary.folder}/paircount-{s}", "<u4")[at[hit]]
         return out[np.searchsorted(distinct, keys)]
 
     def statistics(self, ids: np.ndarray) -> np.ndarray:
@@ -176,10 +177,9 @@ class Model:
         shard = ids[order] // self.range
         cuts = np.searchsorted(shard, np.arange(self.shards + 1))
         for s, (a, b) in enumerate(zip(cuts, cuts[1:])):
-            if a < b:
-                known = mapped(f"{self.vocabulary.folder}/statistics-{s}", "<u4")
-                if len(known):
-                    out[order[a:b]] = known.reshape(-1, 4)[ids[order[a:b]] - s * self.range]
+            if a < b and s in self.word_shards:
+                known = mapped(f"{self.vocabulary.folder}/statistics-{s}", "<u4").reshape(-1, 4)
+                out[order[a:b]] = known[ids[order[a:b]] - s * self.range]
         return out
 
     def score(self, text: pa.Array) -> tuple[np.ndarray, ...]:
@@ -244,13 +244,13 @@ def train(docs: DataFrame, text: str = "text", shards: int | None = None) -> Mod
         rows = list(split(both, (both[0] // np.uint64(word_range)).astype(np.int64)))
         own = _of_counts(counts)
         blank = [0] * len(rows)
-        out = {"word_shard": [-1, *(r[0] for r in rows)], "blob": [None, *(r[1] for r in rows)], "n": [len(keys), *blank]}
+        out = {"shard": [shard] * (len(rows) + 1), "word_shard": [-1, *(r[0] for r in rows)], "blob": [None, *(r[1] for r in rows)], "n": [len(keys), *blank]}
         out |= {f"n{k}": [own[k - 1], *blank] for k in (1, 2, 3, 4)}
-        return pa.table(out, schema=pa.schema([("word_shard", pa.int32()), ("blob", pa.binary()), *((c, pa.int64()) for c in ("n", "n1", "n2", "n3", "n4"))]))
+        return pa.table(out, schema=pa.schema([("shard", pa.int32()), ("word_shard", pa.int32()), ("blob", pa.binary()), *((c, pa.int64()) for c in ("n", "n1", "n2", "n3", "n4"))]))
 
-    found = stored(gathered.groupBy("shard").applyInArrow(merge_pairs, "word_shard int, blob binary, n long, n1 long, n2 long, n3 long, n4 long"))
+    found = stored(gathered.groupBy("shard").applyInArrow(merge_pairs, "shard int, word_shard int, blob binary, n long, n1 long, n2 long, n3 long, n4 long"))
     sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "n1", "n2", "n3", "n4")]
-    of_pairs = found.agg(*sums).first()
+    of_pairs = found.agg(*sums, F.collect_set("shard").alias("shards")).first()
 
     def merge_words(table: pa.Table) -> pa.Table:
         shard = table.column("word_shard")[0].as_py()
@@ -259,9 +259,11 @@ def train(docs: DataFrame, text: str = "text", shards: int | None = None) -> Mod
         dense[keys.astype(np.int64) - shard * word_range] = np.minimum(counts, 2**32 - 1)
         save(f"{folder}/statistics-{shard}", dense)
         own = counts[:, 3]
-        return pa.table({"n": [int((own >= 3).sum())], **{f"n{k}": [x] for k, x in zip((1, 2, 3, 4), _of_counts(own))}})
+        return pa.table({"shard": pa.array([shard], pa.int32()), "n": [int((own >= 3).sum())], **{f"n{k}": [x] for k, x in zip((1, 2, 3, 4), _of_counts(own))}})
 
-    of_words = found.filter("word_shard >= 0").select("word_shard", "blob").groupBy("word_shard").applyInArrow(merge_words, "n long, n1 long, n2 long, n3 long, n4 long").agg(*sums).first()
+    of_words = found.filter("word_shard >= 0").select("word_shard", "blob").groupBy("word_shard").applyInArrow(merge_words, "shard int, n long, n1 long, n2 long, n3 long, n4 long")
+    of_words = of_words.agg(*sums, F.collect_set("shard").alias("shards")).first()
+    model.pair_shards, model.word_shards = frozenset(of_pairs.shards), frozenset(of_words.shards)
     model.pairs = of_pairs.n
     model.pair_discounts = discounts([of_pairs.n1, of_pairs.n2, of_pairs.n3, of_pairs.n4])
     model.word_discounts = d = discounts([of_words.n1, of_words.n2, of_words.n3, of_words.n4])

@@ -87,7 +87,7 @@ def _matches(text: Column, kind: str, pattern: str, gate: str, strict: bool) ->
         start = state["at"] + F.length(pair["gap"])
         end = start + F.length(pair["value"])
         new = F.array(F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), F.lit(strict).alias("strict")))
-        ok = passes(kind, pair["value"]) if strict else luhn(_digits(pair["value"])) if kind == "card" else F.lit(True)
+        ok = passes(kind, pair["value"]) if strict else luhn(_digits(pair["value"])) & pair["value"].rlike(ISSUERS) if kind == "card" else F.lit(True)
         return F.struct(end.alias("at"), F.when(ok, F.concat(state["spans"], new)).otherwise(state["spans"]).alias("spans"))
 
     found = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("spans")), step, lambda s: s["spans"])
