@@ -142,8 +142,11 @@ def least_matches(percent: int = PERCENT, miss: float = MISS) -> list[int]:
     return out
 
 
-def likely(a: np.ndarray, b: np.ndarray, sizes_a: np.ndarray, sizes_b: np.ndarray, least: list[int], percent: int = PERCENT) -> np.ndarray:
-    """Rows of two signature tables that neither the sizes of the sets nor a batch rules out. ``a`` may have one row."""
+def likely(a: np.ndarray, b: np.ndarray, sizes_a: np.ndarray, sizes_b: np.ndarray, least: list[int], percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of two signature tables that neither the sizes of the sets nor a batch rules out, and their equal bytes.
+
+    ``a`` may have one row.
+    """
     rows = np.flatnonzero(100 * np.minimum(sizes_a, sizes_b) >= percent * np.maximum(sizes_a, sizes_b))
     matches = np.zeros(len(b), dtype=np.int64)
     for i, most in enumerate(least):
@@ -151,7 +154,7 @@ def likely(a: np.ndarray, b: np.ndarray, sizes_a: np.ndarray, sizes_b: np.ndarra
         left = a[:, cut] if len(a) == 1 else a[rows, cut]
         matches[rows] += (left == b[rows, cut]).sum(axis=1)
         rows = rows[matches[rows] >= most]
-    return rows
+    return rows, matches[rows]
 
 
 def _signed(texts: DataFrame) -> DataFrame:
@@ -184,14 +187,17 @@ def _likely_pairs(pairs: DataFrame, signed: DataFrame, percent: int, miss: float
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = likely(_table(batch.column("signature_a")), _table(batch.column("signature_b")), batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy(), least, percent) if batch.num_rows else []
+            rows = likely(_table(batch.column("signature_a")), _table(batch.column("signature_b")), batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy(), least, percent)[0] if batch.num_rows else []
             yield batch.select(["a", "b"]).take(pa.array(rows, pa.int64()))
 
     return both.select("a", "b", "n_a", "n_b", "signature_a", "signature_b").mapInArrow(run, "a long, b long")
 
 
-def _likely_in_buckets(placed: DataFrame, chosen: DataFrame, signed: DataFrame, percent: int, miss: float) -> DataFrame:
-    """Pairs (a, b) of a pivot and a node of its bucket, in different components, whose signatures don't rule out a link."""
+def _likely_in_buckets(placed: DataFrame, chosen: DataFrame, signed: DataFrame, best: int, percent: int, miss: float) -> DataFrame:
+    """Pairs (a, b) of a pivot and a node of its bucket, in different components, whose signatures don't rule out a link.
+
+    A pair comes from the first band that both share. Of the nodes of a component, the ``best`` for a pivot are taken.
+    """
     chunks = F.ceil(F.col("total") / CHUNK).cast("long")
     members = placed.select("band", "node", "component", F.lit(False).alias("pivot"), F.pmod(F.xxhash64("node"), chunks).alias("chunk"))
     pivots = chosen.select("band", "node", "component", F.lit(True).alias("pivot"), F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)).alias("chunk"))
@@ -202,12 +208,20 @@ def _likely_in_buckets(placed: DataFrame, chosen: DataFrame, signed: DataFrame,
         table = table.combine_chunks()
         node, component, n = (table.column(c).to_numpy() for c in ("node", "component", "n"))
         signature = _table(table.column("signature").chunk(0))
+        keys = table.column("bands").chunk(0).flatten().to_numpy().reshape(-1, BANDS)
+        at = int(np.flatnonzero(keys[0] == table.column("band")[0].as_py())[0])
         pivot = table.column("pivot").to_numpy().astype(bool)
         ours = np.flatnonzero(~pivot)
         out: list[np.ndarray] = [np.zeros((0, 2), dtype=np.int64)]
         for p in np.flatnonzero(pivot):
             other = ours[component[ours] != component[p]]
-            found = other[likely(signature[p : p + 1], signature[other], n[p : p + 1], n[other], least, percent)]
+            other = other[~(keys[other, :at] == keys[p, :at]).any(axis=1)]
+            rows, equal = likely(signature[p : p + 1], signature[other], n[p : p + 1], n[other], least, percent)
+            order = np.lexsort((-equal, component[other[rows]]))
+            found = other[rows[order]]
+            new = np.flatnonzero(np.concatenate([[True], component[found[1:]] != component[found[:-1]]])) if len(found) else np.zeros(0, dtype=np.int64)
+            rank = np.arange(len(found)) - np.repeat(new, np.diff(np.append(new, len(found))))
+            found = found[rank < best]
             out.append(np.stack([np.minimum(node[found], node[p]), np.maximum(node[found], node[p])], axis=1))
         pairs = np.unique(np.concatenate(out), axis=0)
         return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
@@ -284,27 +298,32 @@ def _label(own: DataFrame, docs: DataFrame, first: DataFrame, percent: int, miss
     """``node`` and ``component`` of all nodes that share a band with another."""
     members = _members(own)
     labels = stored(members.select("node").distinct().withColumn("component", F.col("node")))
-    signed = stored(_signed(_texts(docs, first, labels.select("node"))))
+    signed = stored(_signed(_texts(docs, first, labels.select("node"))).join(own, "node").dropDuplicates(["node"]))
     star, tested = True, None
     while True:
         placed = members.join(labels, "node")
         sizes = placed.groupBy("band", "component").agg(F.count("*").alias("size"))
-        spread = sizes.groupBy("band").agg(F.sum("size").alias("total"), (F.sum("size") - F.max("size")).alias("minor")).filter("minor > 0")
+        spread = sizes.groupBy("band").agg(F.sum("size").alias("total"), F.max("size").alias("largest"), (F.sum("size") - F.max("size")).alias("minor")).filter("minor > 0")
         placed = stored(placed.join(sizes, ["band", "component"]).join(spread, "band"))
         if placed.isEmpty():
             return labels
-        # Pivots come from the smallest components. Once all nodes outside the largest were pivots, the bucket is done.
+        # Pivots come from the smallest components. Once all nodes outside the largest were pivots, each compared with all
+        # nodes of other components, the bucket is done. Until then the most similar are tried first: where one of them
+        # is linked, the others needn't be.
+        best = max(1, pivots * pivots // 4)
         rank = F.row_number().over(Window.partitionBy("band").orderBy("size", "component", "node"))
         chosen = placed.withColumn("rank", rank).filter(F.col("rank") <= pivots)
         if star:  # one pivot: the pairs of a group's buckets are mostly the same
             pairs = chosen.select("band", F.col("node").alias("pivot")).join(placed.select("band", "node"), "band").filter("pivot <> node")
             pairs = stored(pairs.select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")).distinct())
             survivors = stored(_likely_pairs(pairs, signed, percent, miss))
+            undone = F.col("minor") > pivots
             star = False
         else:
-            survivors = _likely_in_buckets(placed, chosen, signed, percent, miss)
+            survivors = _likely_in_buckets(placed, chosen, signed, best, percent, miss)
             survivors = stored(survivors.join(tested, ["a", "b"], "left_anti"))
-        members = placed.filter(F.col("minor") > pivots).select("band", "node")
+            undone = (F.col("minor") > pivots) | (F.col("largest") > best)
+        members = placed.filter(undone).select("band", "node")
         pivots *= growth
         tested = survivors if tested is None else tested.union(survivors)
         if survivors.isEmpty():
