@@ -143,10 +143,12 @@ def _shard(benchmark: Benchmark, batch: pa.RecordBatch, window: int, before: boo
         for d, (a, b, c) in enumerate(zip(*(batch.column(n).to_pylist() for n in ("hit_ranges", "hit_items", "matches")))):
             ranges[d], items[d], matches[d] = [(x["first_word"], x["after_word"]) for x in a], set(b), c
     # A match that continues the one a word before in both texts ends where that one ends: only the first is told.
+    # Documents and items lie one after another; a match at the start of one continues nothing.
     inner = np.lexsort((ours, ours - theirs))
     o, t = ours[inner], theirs[inner]
+    d, i = doc[inner], benchmark.item[t]
     first = np.ones(len(o), dtype=bool)
-    first[1:] = (o[1:] != o[:-1] + 1) | (t[1:] != t[:-1] + 1)
+    first[1:] = (o[1:] != o[:-1] + 1) | (t[1:] != t[:-1] + 1) | (d[1:] != d[:-1]) | (i[1:] != i[:-1])
     for k in np.sort(inner[first]):
         d, i, n = int(doc[k]), int(benchmark.item[theirs[k]]), int(length[k])
         at = int(ours[k] - found.first[d])

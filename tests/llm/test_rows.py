@@ -112,6 +112,20 @@ def test_longest_matches(spark):
     assert [tuple(m) for m in row.matches] == [("7", 1, 1, 5)]
 
 
+def test_short_item_before_a_long_one(spark):
+    """A match at the start of an item or a document doesn't continue what lies before it."""
+    long = " ".join(f"b{i}" for i in range(1, 13))
+    items = [(1, "a"), (2, long)]
+    bench = spark.createDataFrame(items, "item_id long, text string").coalesce(1)
+    docs = [(1, f"a {long}", "en"), (2, "x a", "en"), (3, f"{long} y", "en"), (4, "x y", "en")]
+    df = spark.createDataFrame(docs, DOCS).coalesce(1)
+    found = {r.doc_id: r for r in decontamination.scan(df, bench).collect()}
+    for i, t, _ in docs:
+        assert (found[i].n_words, found[i].n_hit, found[i].hit_items) == brute_hits(t, items, 10)
+    assert [tuple(m) for m in found[1].matches] == [("1", 0, 0, 1), ("2", 0, 1, 12)]
+    assert [r.doc_id for r in decontamination.remove_contaminated(df, bench).collect()] == [4]
+
+
 def test_automaton_holds_all_substrings():
     import numpy as np
 
