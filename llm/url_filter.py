@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from llm import urls
 from llm.frames import BROADCAST_ROWS, column, stored
 
-#: Levels of the tree; what lies deeper is one last segment.
-DEPTH = 6
+#: Rounds of smoothing of a template that ends higher up; a deeper one is smoothed once a level.
+ROUNDS = 6
 #: A branch is kept apart if its share differs by so many standard errors, from at least so many labelled pages.
 APART, LEAST = 3.0, 20
 #: Labelled pages that a parent's share weighs as much as.
@@ -39,30 +39,34 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> Co
     return out
 
 
-def segments(path: Column, depth: int = DEPTH) -> Column:
-    """The path's segments, variable ones generalised; at most ``depth``, the last holding all that lies deeper."""
+def segments(path: Column) -> Column:
+    """The path's segments, variable ones generalised."""
     parts = F.filter(F.split(path, "/"), lambda s: s != "")
     end = F.when(path.endswith("/"), F.array(F.lit("/"))).otherwise(F.array().cast("array<string>"))
     general = F.transform(parts, lambda s: F.when(s.rlike("(?i)" + VARIABLE), F.concat(F.lit("{v}"), F.regexp_extract(s, "(?i)" + VARIABLE, 1))).otherwise(s))
-    every = F.concat(general, end)
-    return F.when(F.size(every) > depth, F.concat(F.slice(every, 1, depth - 1), F.array(F.lit("**")))).otherwise(every)
+    return F.concat(general, end)
 
 
 def _small(table: DataFrame) -> DataFrame:
     return F.broadcast(table) if table.limit(BROADCAST_ROWS // 4 + 1).count() <= BROADCAST_ROWS // 4 else table
 
 
-def templates(pages: DataFrame, depth: int = DEPTH, apart: float = APART, least: int = LEAST, smoothing: float = SMOOTHING) -> DataFrame:
+def templates(pages: DataFrame, apart: float = APART, least: int = LEAST, smoothing: float = SMOOTHING) -> DataFrame:
     """The tree's leaves: host, ``segments`` as they come, ``template``, pages, labelled, bad, smoothed share of bad pages.
 
-    ``pages``: host, segments, bad (0, 1 or null), one row for each page.
+    ``pages``: host, segments, bad (0, 1 or null), one row for each page. The tree is as deep as the longest path.
     """
     # From here on, one row for each host and sequence of segments.
     leaves = stored(pages.groupBy("host", "segments").agg(F.count("*").alias("pages"), F.count("bad").alias("labelled"), F.coalesce(F.sum("bad"), F.lit(0)).cast("double").alias("bad")))
-    total = leaves.agg((F.sum("bad") + 0.5) / (F.sum("labelled") + 1)).first()[0]
+    total, deepest = leaves.agg((F.sum("bad") + 0.5) / (F.sum("labelled") + 1), F.max(F.size("segments"))).first()
     sums = [F.sum("labelled").alias("n"), F.sum("bad").alias("b")]
     now = leaves.withColumn("template", F.lit("")).withColumn("share", F.lit(0.5 if total is None else total))
-    for level in range(depth + 1):
+    ended = None
+    for level in range(max(ROUNDS, deepest or 0) + 1):
+        if level > ROUNDS:
+            # Only paths that reach the node take part in deeper levels, so that a few long ones cost little.
+            over = now.filter(F.size("segments") < level - 1)
+            ended, now = over if ended is None else ended.union(over), now.filter(F.size("segments") >= level - 1)
         if level:
             # Branches of a node: those that differ from the rest of the node stay, the others become one.
             here = now.withColumn("part", F.when(F.size("segments") >= level, F.element_at("segments", level)))
@@ -73,14 +77,16 @@ def templates(pages: DataFrame, depth: int = DEPTH, apart: float = APART, least:
             pooled = (F.col("all_b") + 1) / (F.col("all_n") + 2)
             error = F.sqrt(pooled * (1 - pooled) * (1 / F.greatest(F.col("n"), F.lit(1)) + 1 / F.greatest(rest_n, F.lit(1))))
             differs = (F.col("n") >= least) & (rest_n >= least) & (F.abs(F.col("b") / F.col("n") - rest_b / F.greatest(rest_n, F.lit(1))) > apart * error)
-            name = F.when(F.col("part").startswith("{v}") | F.col("part").isin("/", "**") | differs, F.col("part")).otherwise("*")
+            name = F.when(F.col("part").startswith("{v}") | (F.col("part") == "/") | differs, F.col("part")).otherwise("*")
             grown = F.when(F.col("part").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), name))
             merged = stored(both.select("host", "template", "part", grown.alias("grown")))
             key = [here["host"].eqNullSafe(merged["host"]), here["template"] == merged["template"], here["part"].eqNullSafe(merged["part"])]
             now = here.join(_small(merged), key).select(here["host"], "segments", "pages", "labelled", "bad", "share", merged["grown"].alias("template"))
         shares = now.groupBy("host", "template").agg(*sums, F.max("share").alias("parent")).select("host", "template", ((F.col("b") + smoothing * F.col("parent")) / (F.col("n") + smoothing)).alias("new_share"))
-        now = stored(now.join(shares, ["host", "template"]).select("host", "segments", "pages", "labelled", "bad", "template", F.col("new_share").alias("share")))
-    return now
+        # What ends at the node keeps its share, however deep other paths are.
+        share = F.when((F.size("segments") >= level) | (F.lit(level) <= ROUNDS), F.col("new_share")).otherwise(F.col("share"))
+        now = stored(now.join(shares, ["host", "template"]).select("host", "segments", "pages", "labelled", "bad", "template", share.alias("share")))
+    return now if ended is None else ended.union(now)
 
 
 def judge(
@@ -90,7 +96,6 @@ def judge(
     key: str = "page_id",
     url: str = "url",
     reject: float = REJECT,
-    depth: int = DEPTH,
 ) -> DataFrame:
     """``page_id``, ``host``, ``path``, ``rule``, ``verdict`` (allow or block), ``template``, ``bad_share`` of every page.
 
@@ -99,9 +104,9 @@ def judge(
     rows are judged each and count each. Other columns are ignored; an empty table gives an empty table.
     """
     rows = pages.select(column(key).cast("long").alias("page_id"), urls.host(column(url)).alias("host"), urls.path(column(url)).alias("path"))
-    rows = rows.withColumn("host", F.coalesce("host", F.lit(""))).withColumn("path", F.coalesce("path", F.lit(""))).withColumn("segments", segments(F.col("path"), depth))
+    rows = rows.withColumn("host", F.coalesce("host", F.lit(""))).withColumn("path", F.coalesce("path", F.lit(""))).withColumn("segments", segments(F.col("path")))
     once = labels.filter("bad is not null").groupBy("page_id").agg(F.max("bad").cast("int").alias("bad"))
-    tree = templates(rows.join(once, "page_id", "left").select("host", "segments", "bad"), depth)
+    tree = templates(rows.join(once, "page_id", "left").select("host", "segments", "bad"))
     # A hot host has few templates after generalising; the rows to judge are joined to them, not gathered.
     judged = rows.join(_small(tree.select("host", "segments", "template", F.col("share").alias("bad_share"))), ["host", "segments"], "left")
     rule = rule_of(F.col("host"), F.col("path"), rules)

@@ -114,6 +114,21 @@ def test_similar_branches_merge(spark):
     assert found[3].verdict == "block" and found[0].verdict == "allow"
 
 
+def test_deep_branches_part(spark):
+    kinds = {"good": "a/b/c/d/e/good/1", "bad": "a/b/c/d/e/bad/1", "fine": "a/b/c/d/e/f/g/h/fine/", "worse": "a/b/c/d/e/f/g/h/worse/"}
+    pages = [(1000 * k + i, f"http://{h}.com/{p}") for k, (h, p) in enumerate((h, p) for h in ("h", "o") for p in kinds.values()) for i in range(50)]
+    df = spark.createDataFrame([*pages, (-1, "http://h.com/"), (-2, "http://z.com/" + "x/" * 12)], "page_id long, url string")
+    labels = spark.createDataFrame([(i, int("/bad/" in u or "/worse/" in u)) for i, u in pages if i % 1000 < 40], "page_id long, bad int")
+    rows = url_filter.judge(df, labels, []).collect()
+    found = {r.page_id: r for r in rows}
+    assert len(rows) == len(pages) + 2
+    assert all(found[i].verdict == ("block" if "/bad/" in u or "/worse/" in u else "allow") for i, u in pages)
+    assert found[0].template.endswith("/good/{v}") and found[1000].template.endswith("/bad/{v}")
+    assert found[2000].template.endswith("/fine//") and found[3000].template.endswith("/worse//")
+    alone = {r.page_id: r for r in url_filter.judge(df.filter("page_id > -2"), labels, []).collect()}
+    assert all(alone[i] == found[i] for i in alone)
+
+
 @pytest.mark.parametrize("size", [1.0, 1e12])
 def test_topk_equals_brute_force(spark, size, monkeypatch):
     monkeypatch.setattr(topk, "CANDIDATES", 60)
