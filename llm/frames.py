@@ -19,6 +19,14 @@ def column(name: str):
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def unused_name(name: str, taken: list[str]) -> str:
+    """The name, lengthened until no column has it."""
+    lower = {c.lower() for c in taken}
+    while name.lower() in lower:
+        name += "_"
+    return name
+
+
 def add_columns(
     df: DataFrame, text: str, carry: list[str] | None, new: list[T.StructField], rows: Callable[[], Callable[[pa.Array], list[pa.Array]]]
 ) -> DataFrame:
@@ -28,13 +36,14 @@ def add_columns(
     """
     taken = {f.name.lower() for f in new}
     kept = [c for c in (df.columns if carry is None else carry) if c.lower() not in taken]
-    inner = df.select(*[column(c) for c in kept], column(text).cast("string").alias("_text_of_row"))
+    own = unused_name("text_of_row", kept)
+    inner = df.select(*[column(c) for c in kept], column(text).cast("string").alias(own))
     schema = T.StructType([*inner.schema.fields[:-1], *new])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compute = rows()
-        for batch in pieces(batches, "_text_of_row"):
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *compute(batch.column("_text_of_row"))], names=schema.names)
+        for batch in pieces(batches, own):
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *compute(batch.column(own))], names=schema.names)
 
     return inner.mapInArrow(run, schema)
 

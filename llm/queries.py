@@ -1,9 +1,10 @@
 """The queries of the operators in this subpackage, and SQL for those that SQL can express."""
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm import byte_bpe, decontamination, language_id, lm_scoring, near_dedup, pii, sharding, topk, url_filter, warc
+from llm import byte_bpe, decontamination, language_id, lm_scoring, near_dedup, packing, pii, sharding, topk, url_filter, warc
 from llm.digests import sha256, span_text
 
 
@@ -82,6 +83,12 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op12_cost_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    packed = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), carry=["doc_id"])
+    return packed.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
 QUERIES = {
     "op1_kneser_ney": op1_kneser_ney,
     "op2_extendible_sharding": op2_extendible_sharding,
@@ -93,6 +100,7 @@ QUERIES = {
     "op8_weak_pii": op8_weak_pii,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_minhash_dedup": op10_minhash_dedup,
+    "op12_cost_packing": op12_cost_packing,
 }
 
 ORACLE = {
