@@ -16,6 +16,7 @@ run again gives the same ones as long as its rows come in the same order, as the
 import os
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,7 @@ END = 0
 #: Cost of an id, and of a pair of ids that see each other.
 LINEAR, QUADRATIC = 1.0, 1 / 4096
 #: Parts of texts whose ids a task keeps; beyond that it starts anew.
-PARTS = 200_000
+PARTS = 600_000
 #: Characters of a part that is kept.
 LONG = 100
 #: Sequences of a partition have numbers from its own multiple of this on.
@@ -45,6 +46,8 @@ NUMBERS = 1 << 40
 #: A blank between two characters that are no white space: the words before it end there, whatever follows, and a token
 #: may begin with it, whatever comes before.
 SAFE = re.compile(r"(?<=[^\s᠎])(?= [^\s᠎])")
+#: Letters end before a mark, and a line break between two such characters is a token.
+_CUT = re.compile(r"(?<=[A-Za-zÀ-ÖØ-öø-ɏ])(?=[.,;:!?\n])|(?<=[^\s᠎]\n)(?=[^\s᠎])")
 _EDGE = re.compile(r"^[\s᠎]|[\s᠎]\Z|^\Z")
 
 
@@ -57,27 +60,47 @@ class Ids:
         self._tokenizer.encode_special_tokens = True
         self._first: dict[str, bytes | None] = {}
         self._later: dict[str, bytes | None] = {}
+        self._stems: dict[str, bytes] = {}
+        self._line = np.frombuffer(self._coded(["\n"])[0], dtype="<u4")[0]
 
     def _coded(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _coded_lines(self, stems: list[str]) -> list[bytes]:
+        """The same for stems without line breaks: many go as lines of one text, whose breaks are tokens of their own."""
+        out = []
+        lines = ["\n".join(stems[i : i + 500]) for i in range(0, len(stems), 500)]
+        for ids in self._coded(lines):
+            ends = np.append(4 * np.flatnonzero(np.frombuffer(ids, dtype="<u4") == self._line), len(ids)).tolist()
+            out += [ids[a:b] for a, b in zip([0, *(e + 4 for e in ends)], ends)]
+        return out
+
     def _learn(self, known: dict[str, bytes | None], words: set[str], blank: str) -> None:
-        # A word with white space at an edge, or an empty one, stands at a blank that is no safe place.
-        usual = [w for w in words if len(w) <= LONG and not _EDGE.search(w)]
-        known.update(zip(usual, self._coded([blank + w for w in usual])))
-        known.update(dict.fromkeys(words.difference(usual)))
+        split = {}
+        for w in words:
+            if len(w) > LONG:
+                known[w] = None
+            elif w.isalpha():
+                split[w] = (blank + w,)
+            elif _EDGE.search(w):  # white space at an edge, or nothing: the blank beside it is no safe place
+                known[w] = None
+            else:
+                split[w] = _CUT.split(blank + w)
+        new = set(chain.from_iterable(split.values())).difference(self._stems)
+        broken = [x for x in new if "\n" in x]
+        self._stems.update(zip(broken, self._coded(broken)))
+        rest = list(new.difference(broken))
+        self._stems.update(zip(rest, self._coded_lines(rest)))
+        stem = self._stems
+        known.update((w, stem[parts[0]] if len(parts) == 1 else b"".join([stem[x] for x in parts])) for w, parts in split.items())
 
     def of(self, texts: list[str]) -> list[bytes]:
-        for known in (self._first, self._later):
+        for known in (self._first, self._later, self._stems):
             if len(known) > PARTS:
                 known.clear()
         split = [t.split(" ") for t in texts]
-        new = {w[0] for w in split if w[0] not in self._first}
-        if new:
-            self._learn(self._first, new, "")
-        new = {x for w in split for x in w[1:] if x not in self._later}
-        if new:
-            self._learn(self._later, new, " ")
+        self._learn(self._first, {w[0] for w in split}.difference(self._first), "")
+        self._learn(self._later, set(chain.from_iterable([w[1:] for w in split])).difference(self._later), " ")
         out = []
         for text, words in zip(texts, split):
             found = [self._first[words[0]], *map(self._later.__getitem__, words[1:])]
