@@ -47,7 +47,7 @@ NUMBERS = 1 << 40
 #: may begin with it, whatever comes before.
 SAFE = re.compile(r"(?<=[^\s᠎])(?= [^\s᠎])")
 #: Letters end before a mark, and a line break between two such characters is a token.
-_CUT = re.compile(r"(?<=[A-Za-zÀ-ÖØ-öø-ɏ])(?=[.,;:!?\n])|(?<=[^\s᠎]\n)(?=[^\s᠎])")
+_CUT = re.compile(r"(?<=[A-Za-zÀ-ÖØ-öø-ɏ])(?=[.,;:!?])|(?<=[^\s᠎])(?=\n[^\s᠎])|(?<=[^\s᠎]\n)(?=[^\s᠎])")
 _EDGE = re.compile(r"^[\s᠎]|[\s᠎]\Z|^\Z")
 
 
@@ -58,53 +58,56 @@ class Ids:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.encode_special_tokens = True
+        #: Ids of words at the start of a text, of those behind a blank (with it), and of parts behind others in a word.
         self._first: dict[str, bytes | None] = {}
         self._later: dict[str, bytes | None] = {}
-        self._stems: dict[str, bytes] = {}
+        self._behind: dict[str, bytes | None] = {}
         self._line = np.frombuffer(self._coded(["\n"])[0], dtype="<u4")[0]
 
     def _coded(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _coded_lines(self, stems: list[str]) -> list[bytes]:
-        """The same for stems without line breaks: many go as lines of one text, whose breaks are tokens of their own."""
-        out = []
-        lines = ["\n".join(stems[i : i + 500]) for i in range(0, len(stems), 500)]
-        for ids in self._coded(lines):
+    def _add(self, known: dict[str, bytes | None], stems: set[str], blank: str) -> None:
+        """Stems without line breaks go as lines of a text, whose breaks are tokens of their own."""
+        new = list(stems.difference(known))
+        broken = [x for x in new if "\n" in x]
+        if broken:
+            known.update(zip(broken, self._coded([blank + x for x in broken])))
+            new = [x for x in new if x not in known]
+        for i, ids in enumerate(self._coded([blank + ("\n" + blank).join(new[i : i + 500]) for i in range(0, len(new), 500)])):
             ends = np.append(4 * np.flatnonzero(np.frombuffer(ids, dtype="<u4") == self._line), len(ids)).tolist()
-            out += [ids[a:b] for a, b in zip([0, *(e + 4 for e in ends)], ends)]
-        return out
+            known.update(zip(new[500 * i : 500 * i + 500], [ids[a:b] for a, b in zip([0, *(e + 4 for e in ends)], ends)]))
 
     def _learn(self, known: dict[str, bytes | None], words: set[str], blank: str) -> None:
-        split = {}
-        for w in words:
-            if len(w) > LONG:
-                known[w] = None
-            elif w.isalpha():
-                split[w] = (blank + w,)
-            elif _EDGE.search(w):  # white space at an edge, or nothing: the blank beside it is no safe place
+        stems = {w for w in words if w.isalpha() and len(w) <= LONG}
+        split, behind = {}, set()
+        for w in words.difference(stems):
+            # White space at an edge, or nothing: the blank beside it is no safe place.
+            if len(w) > LONG or _EDGE.search(w):
                 known[w] = None
             else:
-                split[w] = _CUT.split(blank + w)
-        new = set(chain.from_iterable(split.values())).difference(self._stems)
-        broken = [x for x in new if "\n" in x]
-        self._stems.update(zip(broken, self._coded(broken)))
-        rest = list(new.difference(broken))
-        self._stems.update(zip(rest, self._coded_lines(rest)))
-        stem = self._stems
-        known.update((w, stem[parts[0]] if len(parts) == 1 else b"".join([stem[x] for x in parts])) for w, parts in split.items())
+                split[w] = parts = _CUT.split(w)
+                stems.add(parts[0])
+                behind.update(parts[1:])
+        self._add(known, stems, blank)
+        self._add(self._behind, behind, "")
+        inner = self._behind
+        for w, parts in split.items():
+            known[w] = known[parts[0]] + b"".join([inner[x] for x in parts[1:]])
 
     def of(self, texts: list[str]) -> list[bytes]:
-        for known in (self._first, self._later, self._stems):
+        for known in (self._first, self._later, self._behind):
             if len(known) > PARTS:
                 known.clear()
         split = [t.split(" ") for t in texts]
         self._learn(self._first, {w[0] for w in split}.difference(self._first), "")
         self._learn(self._later, set(chain.from_iterable([w[1:] for w in split])).difference(self._later), " ")
-        out = []
+        out, later = [], self._later.__getitem__
         for text, words in zip(texts, split):
-            found = [self._first[words[0]], *map(self._later.__getitem__, words[1:])]
-            out.append(self._parts(text) if None in found else b"".join(found))
+            try:
+                out.append(b"".join([self._first[words[0]], *map(later, words[1:])]))
+            except TypeError:  # a word at an unsafe place
+                out.append(self._parts(text))
         return out
 
     def _parts(self, text: str) -> bytes:
