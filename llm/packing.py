@@ -16,6 +16,7 @@ run again gives the same ones as long as its rows come in the same order, as the
 import os
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -36,8 +37,8 @@ CHUNK = 1 << 20
 END = 0
 #: Cost of an id, and of a pair of ids that see each other.
 LINEAR, QUADRATIC = 1.0, 1 / 4096
-#: Parts of texts whose ids a task keeps; beyond that it starts anew.
-PARTS = 600_000
+#: Parts of texts whose ids a worker keeps (some 200 MB) for its tasks; beyond that it starts anew.
+PARTS = 800_000
 #: Characters of a part that is kept.
 LONG = 100
 #: Sequences of a partition have numbers from its own multiple of this on.
@@ -96,8 +97,8 @@ class Ids:
             known[w] = known[parts[0]] + b"".join([inner[x] for x in parts[1:]])
 
     def of(self, texts: list[str]) -> list[bytes]:
-        for known in (self._first, self._later, self._behind):
-            if len(known) > PARTS:
+        if len(self._first) + len(self._later) + len(self._behind) > PARTS:
+            for known in (self._first, self._later, self._behind):
                 known.clear()
         split = [t.split(" ") for t in texts]
         self._learn(self._first, {w[0] for w in split}.difference(self._first), "")
@@ -115,6 +116,11 @@ class Ids:
         return b"".join(b"".join(self._coded(parts[i : i + 10_000])) for i in range(0, len(parts), 10_000))
 
 
+@lru_cache(maxsize=1)
+def coder(path: str) -> Ids:
+    return Ids(path)
+
+
 def assign(lengths: np.ndarray, limit: int = LIMIT, linear: float = LINEAR, quadratic: float = QUADRATIC) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pieces of documents of these lengths, one row each: document, start, length, sequence, offset; then the length and
     cost of each sequence.
@@ -190,7 +196,7 @@ def pack(
     end = np.array([END], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Ids(tokenizer)
+        ids_of = coder(tokenizer).of
         first = TaskContext.get().partitionId() * NUMBERS
         held: list[pa.RecordBatch] = []
         ids: list[bytes] = []
@@ -213,7 +219,7 @@ def pack(
             first += len(sizes)
 
         for batch in pieces(batches, own):
-            new = [x + end for x in coder.of(batch.column(own).fill_null("").to_pylist())]
+            new = [x + end for x in ids_of(batch.column(own).fill_null("").to_pylist())]
             held.append(batch)
             ids += new
             size += sum(map(len, new)) // 4
