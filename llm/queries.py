@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm import byte_bpe, decontamination, language_id, lm_scoring, near_dedup, packing, pii, sharding, topk, url_filter, warc
+from llm import byte_bpe, decontamination, divergence, language_id, lm_scoring, near_dedup, packing, pii, sharding, topk, url_filter, warc
 from llm.digests import sha256, span_text
 
 
@@ -89,6 +89,10 @@ def op12_cost_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_read(spark, sf_dir, "documents").select("text", "lang", "source"))
+
+
 QUERIES = {
     "op1_kneser_ney": op1_kneser_ney,
     "op2_extendible_sharding": op2_extendible_sharding,
@@ -101,6 +105,7 @@ QUERIES = {
     "op9_byte_bpe": op9_byte_bpe,
     "op10_minhash_dedup": op10_minhash_dedup,
     "op12_cost_packing": op12_cost_packing,
+    "op13_source_divergence": op13_source_divergence,
 }
 
 ORACLE = {

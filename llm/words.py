@@ -26,6 +26,11 @@ ALPHANUMERIC[ord("0") : ord("9") + 1] = True
 ALPHANUMERIC[ord("a") : ord("z") + 1] = True
 ALPHANUMERIC[0x80:] = True
 
+#: [^\x00-\x40\x5B-\x60\x7B-\x7F]+, after lower-casing
+LETTERS = np.zeros(256, dtype=bool)
+LETTERS[ord("a") : ord("z") + 1] = True
+LETTERS[0x80:] = True
+
 _powers = np.ones(1, dtype=np.uint64)
 _inverses = np.ones(1, dtype=np.uint64)
 
@@ -87,6 +92,18 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def gathered(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of many ranges one after the other, and where each range begins there."""
+    offsets = np.concatenate([[0], np.cumsum(ends - starts)])
+    return data[np.arange(offsets[-1]) + np.repeat(starts - offsets[:-1], ends - starts)], offsets
+
+
+def strings(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Ranges of UTF-8 bytes as strings."""
+    found, offsets = gathered(data, starts, ends)
+    return pa.StringArray.from_buffers(len(starts), pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(found)))
+
+
 def pieces(batches: Iterator[pa.RecordBatch], text: str, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The batches cut so that each piece has at most ``limit`` bytes of text, or one row."""
     for batch in batches:
