@@ -213,6 +213,9 @@ def _block(cells: pa.Table, groups: pa.Table, top: int) -> pa.Table:
     trees = [quadtree(r, c, v, height) for _, r, c, v, _ in sides]
     zero = [shares(np.zeros(len(s[0]), dtype=np.int64), totals[s[0]], terms_of_lang) if terms_of_lang else np.ones(len(s[0]), dtype=np.int64) for s in sides]
     sums = pair_sums(trees[0], trees[-1], zero[0], zero[-1], len(vocabulary))
+    # Terms that only sources of other bands have are one more quadrant of zeros.
+    elsewhere = groups.column("block_terms")[0].as_py() - len(vocabulary)
+    sums += elsewhere * divergence(zero[0][:, None], zero[-1][None, :])
     i, j = (x.ravel() for x in np.meshgrid(sides[0][0], sides[-1][0], indexing="ij"))
     value = sums.ravel()
     if a == b:
@@ -271,8 +274,11 @@ def audit(
         df = df.withColumn("block", block).withColumn("band", own).withColumn("other", others)
         return df.withColumns({"a": F.least("band", "other"), "b": F.greatest("band", "other")}).drop("other")
 
-    left = placed(cells, F.pmod(F.xxhash64("term"), F.lit(blocks)).cast("int")).groupBy("lang", "block", "a", "b")
-    right = placed(groups, F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).groupBy("lang", "block", "a", "b")
+    block = F.pmod(F.xxhash64("term"), F.lit(blocks)).cast("int")
+    of_block = cells.select("lang", "term").distinct().groupBy("lang", block.alias("block")).agg(F.count("*").alias("block_terms"))
+    left = placed(cells, block).groupBy("lang", "block", "a", "b")
+    right = placed(groups, F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(of_block, ["lang", "block"], "left")
+    right = right.withColumn("block_terms", F.coalesce("block_terms", F.lit(0))).groupBy("lang", "block", "a", "b")
 
     def price(cells: pa.Table, groups: pa.Table) -> pa.Table:
         return _block(cells, groups, top)
