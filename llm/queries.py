@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm import byte_bpe, decontamination, divergence, language_id, lm_scoring, near_dedup, packing, pii, sharding, topk, url_filter, warc
+from llm import byte_bpe, collocations, decontamination, divergence, language_id, lm_scoring, near_dedup, packing, pii, sharding, topk, url_filter, warc
 from llm.digests import sha256, span_text
 
 
@@ -83,6 +83,10 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_read(spark, sf_dir, "documents").select("text", "lang"))
+
+
 def op12_cost_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     packed = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), carry=["doc_id"])
@@ -104,6 +108,7 @@ QUERIES = {
     "op8_weak_pii": op8_weak_pii,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_minhash_dedup": op10_minhash_dedup,
+    "op11_collocations": op11_collocations,
     "op12_cost_packing": op12_cost_packing,
     "op13_source_divergence": op13_source_divergence,
 }
