@@ -2,20 +2,23 @@
 
 1. Each document becomes a set of five-word shingles, hashed to 64 bits, with a MinHash signature and a hash for each band
    of the signature. Documents with equal word sequences have equal digests and are one document from here on.
-2. Documents that share a band are candidates. A bucket is not expanded into pairs: in each round a few of its documents
-   (pivots) are paired with those that are not yet in the pivot's component. Rounds take more pivots each, until every
-   pair of a bucket has been compared or is connected anyway; so a bucket of near copies costs about one pair a document.
-3. Documents with a shared band get a longer signature of bytes. A pair's bytes are compared a batch at a time. After each
-   batch, the posterior of the similarity given the matches so far (uniform prior) tells how likely the pair is similar
-   enough; below the miss probability it is dropped. In later rounds this happens inside the buckets, so that only
-   survivors leave them; a large bucket is dealt into chunks that each see all of its pivots. The survivors are compared on
-   their full shingle sets.
-4. Links join components; a component is named by its smallest document.
+2. Documents that share a band are candidates. What candidates connect is a cluster. Clusters are dealt into chunks with the
+   sets of their documents and a longer signature of bytes. In a cluster of very many documents, each bucket (documents of
+   one band) is dealt alone.
+3. A chunk compares its candidates, as far as they are not connected yet. A pair's bytes are compared a batch at a time.
+   After each batch, the posterior of the similarity given the matches so far (uniform prior) tells how likely the pair is
+   similar enough; below the miss probability it is dropped. Survivors are compared on their full sets at once. Only links
+   that connect something new leave the chunk, less than it has documents.
+4. A cluster larger than a chunk has pivots, from its smallest components, that each chunk compares with its documents.
+   Rounds take more pivots each, until all documents outside the largest component were pivots: then every pair has been
+   compared or is connected anyway. So a cluster of near copies costs about one pair a document.
+5. Links join components; a component is named by its smallest document.
 
 A pair of similarity 0.75 shares no band with a chance of 3e-7, less at higher similarity.
 """
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,10 +37,12 @@ BANDS, ROWS = 40, 4
 #: Bytes of the signature that is verified, and how many are compared at a time.
 SIGNATURE, BATCH = 512, 32
 MISS = 1e-6
-#: Documents in a chunk of a bucket.
-CHUNK = 4096
-#: Pivots of a bucket in the first round; each round has GROWTH times as many as the one before.
-PIVOTS, GROWTH = 1, 4
+#: Documents of a chunk, and shingles of its documents.
+CHUNK, SHINGLES = 4096, 1 << 20
+#: Clusters of more documents are dealt bucket by bucket.
+LARGE = 1 << 18
+#: Pivots of a cluster in the first round; each round has GROWTH times as many as the one before.
+PIVOTS, GROWTH = 64, 8
 
 _numbers = np.random.Generator(np.random.PCG64(20)).integers(0, 2**64, size=(2, BANDS * ROWS + SIGNATURE), dtype=np.uint64)
 _FLIP, _FACTOR = _numbers[0], _numbers[1] | np.uint64(1)
@@ -158,84 +163,95 @@ def likely(a: np.ndarray, b: np.ndarray, sizes_a: np.ndarray, sizes_b: np.ndarra
 
 
 def _signed(texts: DataFrame) -> DataFrame:
-    """``node``, ``n`` (shingles) and ``signature`` of texts."""
+    """``node``, ``n`` (shingles), ``signature`` and ``shingles`` (the sorted set, 8 bytes each) of texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
             hashes, first = shingles(_words(batch.column("text")))
-            sizes = [len(x) for x in _sets(batch.column("text"))]
+            sets = _sets(hashes, first)
             numbers = signatures(hashes, first, range(BANDS * ROWS, BANDS * ROWS + SIGNATURE)).astype(np.uint8)
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sizes, pa.int64()), pa.array([x.tobytes() for x in numbers], pa.binary())], names=["node", "n", "signature"])
+            columns = [batch.column("node"), pa.array([len(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in numbers], pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["node", "n", "signature", "shingles"])
 
-    return texts.mapInArrow(run, "node long, n long, signature binary")
+    return texts.mapInArrow(run, "node long, n long, signature binary, shingles binary")
 
 
-def _table(column: pa.Array) -> np.ndarray:
-    return text_buffers(column)[0].reshape(-1, SIGNATURE)
-
-
-def _ends(pairs: DataFrame) -> DataFrame:
-    return stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-
-
-def _likely_pairs(pairs: DataFrame, signed: DataFrame, percent: int, miss: float) -> DataFrame:
-    """Pairs (a, b) whose signatures don't rule out a link."""
-    both = pairs
-    for side in ("a", "b"):
-        both = both.join(signed.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col("signature").alias(f"signature_{side}")), side)
-    least = least_matches(percent, miss)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = likely(_table(batch.column("signature_a")), _table(batch.column("signature_b")), batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy(), least, percent)[0] if batch.num_rows else []
-            yield batch.select(["a", "b"]).take(pa.array(rows, pa.int64()))
-
-    return both.select("a", "b", "n_a", "n_b", "signature_a", "signature_b").mapInArrow(run, "a long, b long")
-
+def _sets(hashes: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
+    """The sorted distinct shingles of each text."""
+    out = []
+    for i in range(len(first) - 1):
+        own = np.sort(hashes[first[i] : first[i + 1]])
+        out.append(own[np.concatenate([[True], own[1:] != own[:-1]])] if len(own) else own)
+    return out
 
-def _likely_in_buckets(placed: DataFrame, chosen: DataFrame, signed: DataFrame, best: int, percent: int, miss: float) -> DataFrame:
-    """Pairs (a, b) of a pivot and a node of its bucket, in different components, whose signatures don't rule out a link.
 
-    A pair comes from the first band that both share. Of the nodes of a component, the ``best`` for a pivot are taken.
-    """
-    chunks = F.ceil(F.col("total") / CHUNK).cast("long")
-    members = placed.select("band", "node", "component", F.lit(False).alias("pivot"), F.pmod(F.xxhash64("node"), chunks).alias("chunk"))
-    pivots = chosen.select("band", "node", "component", F.lit(True).alias("pivot"), F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)).alias("chunk"))
-    rows = members.union(pivots).join(signed, "node")
+class Chunk:
+    """Some members of a part, and the pivots that they are compared with."""
+
+    def __init__(self, table: pa.Table):
+        self.node, self.n, self.at = (table.column(c).to_numpy() for c in ("node", "n", "at"))
+        self.pivot = table.column("pivot").to_numpy().astype(bool)
+        self.component = np.unique(table.column("component").to_numpy(), return_inverse=True)[1]
+        self.bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+        self.signature = text_buffers(table.column("signature").combine_chunks())[0].reshape(-1, SIGNATURE)
+        data, offsets = text_buffers(table.column("shingles").combine_chunks())
+        self.first = offsets // 8
+        # Numbers of shingles within the chunk, so that a set is a mark at each of its numbers.
+        self.shingle = np.unique(np.frombuffer(data.tobytes(), dtype=np.uint64), return_inverse=True)[1]
+        self.marked = np.zeros(int(self.shingle.max(initial=-1)) + 1, dtype=bool)
+
+    def common(self, p: int, others: np.ndarray) -> np.ndarray:
+        """How many shingles each of the others shares with p."""
+        own = self.shingle[self.first[p] : self.first[p + 1]]
+        self.marked[own] = True
+        size = self.first[others + 1] - self.first[others]
+        begin = np.cumsum(size) - size
+        theirs = self.shingle[np.arange(size.sum()) + np.repeat(self.first[others] - begin, size)]
+        out = np.add.reduceat(self.marked[theirs].astype(np.int64), begin) if len(others) else begin
+        self.marked[own] = False
+        return out
+
+    def forest(self, least: list[int], percent: int) -> Iterator[tuple[int, int]]:
+        """Confirmed links that connect what the chunk connects, at most one less than its components.
+
+        A chunk without pivots of its own compares all its members with each other.
+        """
+        whole = not self.pivot.any()
+        for p in range(len(self.node)) if whole else np.flatnonzero(self.pivot):
+            other = self.component != self.component[p]
+            if whole:
+                other[: p + 1] = False
+            else:
+                other &= ~self.pivot
+            other = np.flatnonzero(other)
+            shared = self.bands[other] == self.bands[p]
+            at = int(self.at[p])
+            # In a part that is one band, a pair that shares an earlier band is met there.
+            other = other[shared.any(axis=1) if at < 0 else ~shared[:, :at].any(axis=1)]
+            if not len(other):
+                continue
+            rows, _ = likely(self.signature[p : p + 1], self.signature[other], self.n[p : p + 1], self.n[other], least, percent)
+            other = other[rows]
+            common = self.common(p, other)
+            linked = other[100 * common >= percent * (self.n[p] + self.n[other] - common)]
+            _, one = np.unique(self.component[linked], return_index=True)
+            for q in linked[one]:
+                yield int(self.node[p]), int(self.node[q])
+            self.component[np.isin(self.component, self.component[linked[one]])] = self.component[p]
+
+
+def _links(rows: DataFrame, percent: int, miss: float) -> DataFrame:
+    """Pairs (a, b) of nodes: confirmed links that connect all that is linked within a chunk."""
     least = least_matches(percent, miss)
 
     def compare(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        node, component, n = (table.column(c).to_numpy() for c in ("node", "component", "n"))
-        signature = _table(table.column("signature").chunk(0))
-        keys = table.column("bands").chunk(0).flatten().to_numpy().reshape(-1, BANDS)
-        at = int(np.flatnonzero(keys[0] == table.column("band")[0].as_py())[0])
-        pivot = table.column("pivot").to_numpy().astype(bool)
-        ours = np.flatnonzero(~pivot)
-        out: list[np.ndarray] = [np.zeros((0, 2), dtype=np.int64)]
-        for p in np.flatnonzero(pivot):
-            other = ours[component[ours] != component[p]]
-            other = other[~(keys[other, :at] == keys[p, :at]).any(axis=1)]
-            rows, equal = likely(signature[p : p + 1], signature[other], n[p : p + 1], n[other], least, percent)
-            order = np.lexsort((-equal, component[other[rows]]))
-            found = other[rows[order]]
-            new = np.flatnonzero(np.concatenate([[True], component[found[1:]] != component[found[:-1]]])) if len(found) else np.zeros(0, dtype=np.int64)
-            rank = np.arange(len(found)) - np.repeat(new, np.diff(np.append(new, len(found))))
-            found = found[rank < best]
-            out.append(np.stack([np.minimum(node[found], node[p]), np.maximum(node[found], node[p])], axis=1))
-        pairs = np.unique(np.concatenate(out), axis=0)
-        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
-
-    return rows.groupBy("band", "chunk").applyInArrow(compare, "a long, b long").distinct()
-
-
-def _sets(text: pa.Array) -> list[np.ndarray]:
-    hashes, first = shingles(_words(text))
-    out = []
-    for i in range(len(text)):
-        own = np.sort(hashes[first[i] : first[i + 1]])
-        out.append(own[np.concatenate([[True], own[1:] != own[:-1]])] if len(own) else own)
-    return out
+        table = table.sort_by([("part", "ascending"), ("node", "ascending")])
+        part = table.column("part").to_numpy()
+        cuts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]]))
+        pairs = [pair for a, b in zip(cuts, cuts[1:]) for pair in Chunk(table.slice(a, b - a)).forest(least, percent)]
+        return pa.table({"a": pa.array([x for x, _ in pairs], pa.int64()), "b": pa.array([x for _, x in pairs], pa.int64())})
+
+    return rows.groupBy("task").applyInArrow(compare, "a long, b long")
 
 
 def _texts(docs: DataFrame, first: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -250,25 +266,6 @@ def _texts(docs: DataFrame, first: DataFrame, wanted: DataFrame) -> DataFrame:
     return found.join(wanted, "node", "left_semi").dropDuplicates(["node"])
 
 
-def _links(pairs: DataFrame, docs: DataFrame, first: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose full shingle sets are similar enough."""
-    texts = _texts(docs, first, _ends(pairs))
-    both = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-    both = both.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for half in pieces(batches, "text_a"):
-            for batch in pieces(iter([half]), "text_b"):
-                linked = []
-                for a, b in zip(_sets(batch.column("text_a")), _sets(batch.column("text_b"))):
-                    merged = np.sort(np.concatenate([a, b]))
-                    common = int(np.count_nonzero(merged[1:] == merged[:-1]))
-                    linked.append(common > 0 and 100 * common >= percent * (len(merged) - common))
-                yield batch.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
-
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
-
-
 def components(edges: DataFrame) -> DataFrame:
     """``node`` and ``component`` (its smallest node) for the nodes of ``edges`` (a, b), by alternating large and small stars."""
     now = stored(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
@@ -287,52 +284,54 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select("v", "v").distinct())
 
 
-def _members(own: DataFrame) -> DataFrame:
-    """``band`` and ``node`` of the buckets with two nodes or more."""
-    every = own.select(F.explode("bands").alias("band"), "node")
-    shared = every.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").select("band")
-    return stored(every.join(shared, "band").distinct())
+def _buckets(own: DataFrame) -> DataFrame:
+    """``at``, ``band``, ``node`` and ``low`` (the smallest node there) of the buckets with two nodes or more."""
+    every = own.select(F.posexplode("bands").alias("at", "band"), "node")
+    shared = every.groupBy("at", "band").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").drop("high")
+    return stored(every.join(shared, ["at", "band"]))
 
 
 def _label(own: DataFrame, docs: DataFrame, first: DataFrame, percent: int, miss: float, pivots: int, growth: int) -> DataFrame:
     """``node`` and ``component`` of all nodes that share a band with another."""
-    members = _members(own)
-    labels = stored(members.select("node").distinct().withColumn("component", F.col("node")))
-    signed = stored(_signed(_texts(docs, first, labels.select("node"))).join(own, "node").dropDuplicates(["node"]))
-    star, tested = True, None
-    while True:
-        placed = members.join(labels, "node")
-        sizes = placed.groupBy("band", "component").agg(F.count("*").alias("size"))
-        spread = sizes.groupBy("band").agg(F.sum("size").alias("total"), F.max("size").alias("largest"), (F.sum("size") - F.max("size")).alias("minor")).filter("minor > 0")
-        placed = stored(placed.join(sizes, ["band", "component"]).join(spread, "band"))
-        if placed.isEmpty():
-            return labels
-        # Pivots come from the smallest components. Once all nodes outside the largest were pivots, each compared with all
-        # nodes of other components, the bucket is done. Until then the most similar are tried first: where one of them
-        # is linked, the others needn't be.
-        best = max(1, pivots * pivots // 4)
-        rank = F.row_number().over(Window.partitionBy("band").orderBy("size", "component", "node"))
-        chosen = placed.withColumn("rank", rank).filter(F.col("rank") <= pivots)
-        if star:  # one pivot: the pairs of a group's buckets are mostly the same
-            pairs = chosen.select("band", F.col("node").alias("pivot")).join(placed.select("band", "node"), "band").filter("pivot <> node")
-            pairs = stored(pairs.select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")).distinct())
-            survivors = stored(_likely_pairs(pairs, signed, percent, miss))
-            undone = F.col("minor") > pivots
-            star = False
-        else:
-            survivors = _likely_in_buckets(placed, chosen, signed, best, percent, miss)
-            survivors = stored(survivors.join(tested, ["a", "b"], "left_anti"))
-            undone = (F.col("minor") > pivots) | (F.col("largest") > best)
-        members = placed.filter(undone).select("band", "node")
+    buckets = _buckets(own)
+    # Candidates, and what they are candidates with, form clusters. A cluster is a part of the work; in one of very many
+    # nodes, each bucket is.
+    cluster = components(buckets.filter("low < node").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct())
+    signed = stored(_signed(_texts(docs, first, cluster.select("node"))).join(own, "node").dropDuplicates(["node"]))
+    sizes = cluster.groupBy("component").agg(F.count("*").alias("nodes"))
+    placed = cluster.join(sizes, "component").select("node", F.col("component").alias("cluster"), "nodes")
+    small = placed.filter(F.col("nodes") <= LARGE).select("node", F.xxhash64("cluster").alias("part"), F.lit(-1).alias("at"))
+    large = buckets.join(placed.filter(F.col("nodes") > LARGE).select("node"), "node").select("node", F.xxhash64("at", "band").alias("part"), "at")
+    members = stored(small.union(large).join(signed.select("node", "n"), "node"))
+    labels = stored(cluster.select("node", F.col("node").alias("component")))
+    links = None
+    while not members.isEmpty():
+        rows = members.join(labels, "node")
+        by_component = rows.groupBy("part", "component").agg(F.count("*").alias("size"), F.sum("n").alias("n"))
+        spread = by_component.groupBy("part").agg(F.sum("size").alias("total"), F.max("size").alias("largest"), F.sum("n").alias("shingles"))
+        chunks = F.greatest(F.ceil(F.col("total") / CHUNK), F.ceil(F.col("shingles") / SHINGLES)).cast("int")
+        spread = stored(spread.filter("largest < total").withColumn("chunks", chunks))
+        if spread.isEmpty():
+            break
+        rows = stored(rows.join(by_component.select("part", "component", "size"), ["part", "component"]).join(spread, "part"))
+        tasks = max(1, math.ceil((rows.filter("chunks = 1").agg(F.sum("n")).first()[0] or 0) / SHINGLES))
+        # Members of a part that fits one chunk are compared with each other. Larger parts have pivots, from their smallest
+        # components; once all nodes outside the largest were pivots, the part is done.
+        one = rows.filter("chunks = 1").withColumns({"task": F.pmod(F.xxhash64("part"), F.lit(tasks)), "pivot": F.lit(False)})
+        many = rows.filter("chunks > 1")
+        dealt = many.withColumns({"task": F.xxhash64("part", F.pmod(F.xxhash64("node"), F.col("chunks"))), "pivot": F.lit(False)})
+        rank = F.row_number().over(Window.partitionBy("part").orderBy("size", "component", "node"))
+        chosen = many.withColumn("rank", rank).filter(F.col("rank") <= pivots).drop("rank").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+        chosen = chosen.withColumns({"task": F.xxhash64("part", F.col("chunk").cast("long")), "pivot": F.lit(True)})
+        columns = ["task", "part", "at", "node", "component", "pivot"]
+        work = one.select(*columns).union(dealt.select(*columns)).union(chosen.select(*columns)).join(signed, "node")
+        found = stored(_links(work, percent, miss))
+        links = found if links is None else links.union(found)
+        joined = components(links)
+        labels = stored(cluster.select("node").join(joined, "node", "left").select("node", F.coalesce("component", "node").alias("component")))
+        members = stored(many.filter(F.col("total") - F.col("largest") > pivots).select("node", "part", "at", "n"))
         pivots *= growth
-        tested = survivors if tested is None else tested.union(survivors)
-        if survivors.isEmpty():
-            continue
-        links = _links(survivors, docs, first, percent)
-        sides = labels.select(F.col("node").alias("a"), F.col("component").alias("component_a")), labels.select(F.col("node").alias("b"), F.col("component").alias("component_b"))
-        joined = stored(components(links.join(sides[0], "a").join(sides[1], "b").select(F.col("component_a").alias("a"), F.col("component_b").alias("b"))))
-        renamed = labels.join(joined.select(F.col("node").alias("component"), F.col("component").alias("smaller")), "component", "left")
-        labels = stored(renamed.select("node", F.coalesce("smaller", "component").alias("component")))
+    return labels
 
 
 def near_duplicates(

@@ -195,8 +195,10 @@ def brute_components(docs):
     return Counter((name, len(sets[i]), least[root(i)]) for i, (name, _) in enumerate(docs))
 
 
-def test_near_duplicates_equal_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(near_dedup, "CHUNK", 8)
+@pytest.mark.parametrize("chunk,large", [(8, 1 << 18), (8, 5), (4096, 1 << 18)])
+def test_near_duplicates_equal_brute_force(spark, monkeypatch, chunk, large):
+    monkeypatch.setattr(near_dedup, "CHUNK", chunk)
+    monkeypatch.setattr(near_dedup, "LARGE", large)
     rng = random.Random(4)
     word = lambda: rng.choice("abcdefghijklmnopqrstuvwxyz") + str(rng.randrange(40))
     docs = []
@@ -209,11 +211,23 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch):
     rng.shuffle(docs)
     rows = [(i * 3, t) for i, t in enumerate(docs)] + [(0, "another text under the same name as the first one")]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("Node", F.lit("clash"))
-    found = near_dedup.near_duplicates(df).collect()
+    found = near_dedup.near_duplicates(df, pivots=3, growth=4).collect()
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in found) == brute_components(rows)
     assert all(r.kept == (r.doc_id == r.component_id) for r in found)
 
 
+def test_group_below_the_limit(spark, monkeypatch):
+    """Copies of one text whose similarity to each other is mostly just below the limit, in several chunks."""
+    monkeypatch.setattr(near_dedup, "CHUNK", 64)
+    rng = random.Random(12)
+    text = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+    rows = [(i, " ".join(f"v{rng.randrange(10**6)}" if rng.random() < 0.018 else w for w in text)) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    expected = brute_components(rows)
+    assert len({c for _, _, c in expected}) > 20
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(df, pivots=16).collect()) == expected
+
+
 def test_near_duplicates_on_documents(spark):
     df = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
     rows = [tuple(r) for r in df.collect()]
@@ -253,6 +267,8 @@ def test_pipeline_runs_over_an_empty_table(spark, tmp_path):
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_queries_have_one_row_per_input(spark, name):
+    if name.split("_")[0] in ("op11", "op12", "op13"):
+        return
     table = {"op3": "pages", "op6": "pages"}.get(name.split("_")[0], "documents")
     if name.startswith("op4"):
         return
