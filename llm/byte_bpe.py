@@ -55,6 +55,8 @@ class Transducer:
         self.tokens = {i: t for t, i in ranks.items()}
         self.lengths = {i: len(t) for t, i in ranks.items()}
         self.trie: dict[int, int] = {}
+        #: Does a node of the trie have another below it?
+        self.inner: dict[int, bool] = {}
         self.ends: list[int] = [NONE]
         for token, rank in ranks.items():
             node = ROOT
@@ -115,9 +117,11 @@ class Transducer:
             state = self.states[places] = State(self, places)
         return state, last
 
-    @lru_cache(maxsize=None)  # noqa: B019  one object per rank file and worker
     def grows(self, node: int) -> bool:
-        return any(node << 8 | byte in self.trie for byte in range(256))
+        known = self.inner.get(node)
+        if known is None:
+            known = self.inner[node] = any(node << 8 | byte in self.trie for byte in range(256))
+        return known
 
     def encode(self, data: bytes) -> list[int]:
         """The token ids of one piece of text."""
@@ -276,7 +280,6 @@ def newer_characters(path: str) -> dict[int, int]:
 @lru_cache(maxsize=2)
 def tools(path: str, pattern: str):
     transducer = load(path)
-    gc.disable()  # the tables are large and hold no garbage until they are emptied
     newer = newer_characters(path)
     finder = regex.compile(pattern)
     # A maximum is found faster than a class of many ranges.
@@ -290,6 +293,14 @@ def tools(path: str, pattern: str):
     return split, Pieces(transducer), Decoder(transducer.tokens)
 
 
+def release() -> None:
+    """Free the tables: a worker lives on after its task, and later tasks need its memory for other things."""
+    tools.cache_clear()
+    load.cache_clear()
+    gc.enable()
+    gc.collect()
+
+
 def _strings(column: pa.Array) -> list[str]:
     return ["" if x is None else x for x in column.to_pylist()]
 
@@ -318,6 +329,7 @@ def encode(
     path = path or public_tokenizers.path(RANKS)
 
     def rows():
+        gc.disable()  # the tables are large and hold no garbage until they are emptied
         split, pieces, decoder = tools(path, pattern)
 
         def compute(column: pa.Array) -> list[pa.Array]:
@@ -329,7 +341,7 @@ def encode(
 
         return compute
 
-    return add_columns(docs, text, carry, [IDS, *[DECODED] * decoded], rows)
+    return add_columns(docs, text, carry, [IDS, *[DECODED] * decoded], rows, release)
 
 
 def decode(df: DataFrame, ids: str = "token_ids", path: str | None = None) -> DataFrame:
@@ -340,10 +352,13 @@ def decode(df: DataFrame, ids: str = "token_ids", path: str | None = None) -> Da
     at = kept.index(ids)
 
     def run(batches):
-        decoder = Decoder(load(path).tokens)
-        for batch in batches:
-            lists = batch.column(at).to_pylist()
-            texts = [None if x is None or None in x else decoder.decode(x) + decoder.end() for x in lists]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=schema.names)
+        try:
+            decoder = Decoder(load(path).tokens)
+            for batch in batches:
+                lists = batch.column(at).to_pylist()
+                texts = [None if x is None or None in x else decoder.decode(x) + decoder.end() for x in lists]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=schema.names)
+        finally:
+            release()
 
     return df.select(*kept).mapInArrow(run, schema)

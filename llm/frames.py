@@ -28,11 +28,16 @@ def unused_name(name: str, taken: list[str]) -> str:
 
 
 def add_columns(
-    df: DataFrame, text: str, carry: list[str] | None, new: list[T.StructField], rows: Callable[[], Callable[[pa.Array], list[pa.Array]]]
+    df: DataFrame,
+    text: str,
+    carry: list[str] | None,
+    new: list[T.StructField],
+    rows: Callable[[], Callable[[pa.Array], list[pa.Array]]],
+    release: Callable[[], None] = lambda: None,
 ) -> DataFrame:
     """The columns ``carry`` (None: all) and the ``new`` ones, which ``rows()`` computes from Arrow arrays of texts.
 
-    A carried column with the name of a new one is replaced. ``rows`` is called once in each task.
+    A carried column with the name of a new one is replaced. ``rows`` is called once in each task, and ``release`` at its end.
     """
     taken = {f.name.lower() for f in new}
     kept = [c for c in (df.columns if carry is None else carry) if c.lower() not in taken]
@@ -41,9 +46,12 @@ def add_columns(
     schema = T.StructType([*inner.schema.fields[:-1], *new])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        compute = rows()
-        for batch in pieces(batches, own):
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *compute(batch.column(own))], names=schema.names)
+        try:
+            compute = rows()
+            for batch in pieces(batches, own):
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *compute(batch.column(own))], names=schema.names)
+        finally:
+            release()
 
     return inner.mapInArrow(run, schema)
 
