@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from llm import byte_bpe, decontamination, language_id, near_dedup, pii
-from llm.frames import shared_folder
+from llm.frames import shared_folder, stored, unused_name
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -21,14 +21,17 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: that with the smallest ``doc_id``. Repeated rows count as one."""
-    found = near_dedup.near_duplicates(docs)
-    gone = found.filter(~F.col("kept")).select("doc_id")
-    repeated = docs.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").select("doc_id")
-    kept = docs.join(gone.distinct(), "doc_id", "left_anti")
-    once = kept.join(repeated, "doc_id", "left_anti")
-    first = kept.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
-    return once.select(*docs.columns).union(first.select(*docs.columns))
+    """One row of each group of near duplicates: that with the smallest ``doc_id``, nulls last.
+
+    Rows decide, not ids: rows under one id are compared as any others, and rows without an id are deduplicated, too.
+    Rows without words are like no other and stay.
+    """
+    row = unused_name("row", docs.columns)
+    numbered = stored(docs.withColumn(row, F.monotonically_increasing_id()))
+    found = near_dedup.near_duplicates(numbered, key=row).select(F.col("doc_id").alias(row), "component_id")
+    place = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", F.col(row).alias("row"))
+    first = numbered.select(row, "doc_id").join(found, row).groupBy("component_id").agg(F.min(place).alias("first"))
+    return numbered.join(first.select(F.col("first.row").alias(row)), row, "left_semi").select(*docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
