@@ -258,6 +258,15 @@ def test_pipeline_stages(spark):
     assert len(last) == clean.count() and all(r.decodes and r.n_tokens == len(r.token_ids) for r in last)
 
 
+def test_near_dedup_stage_decides_by_rows(spark):
+    rows = [(1, "a b c d e f"), (2, "a b c d e f"), (3, "g h i j k l m"), (2, "n o p q r s"), (None, "t u v w x y"), (None, "t u v w x y"), (None, None), (None, None), (7, "t u v w x y")]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, Row string")
+    kept = dict(corpus_pipeline.STAGES)["near_dedup"](spark, docs, SF)
+    assert kept.columns == docs.columns
+    texts = sorted(((r.doc_id, r.text) for r in kept.collect()), key=str)
+    assert texts == sorted([(1, "a b c d e f"), (3, "g h i j k l m"), (2, "n o p q r s"), (7, "t u v w x y"), (None, None), (None, None)], key=str)
+
+
 def test_pipeline_runs_over_an_empty_table(spark, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
