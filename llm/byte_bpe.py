@@ -24,7 +24,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from llm.frames import add_columns
+from llm.frames import add_columns, keep_only
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 ROOT, NONE = 0, -1
@@ -294,10 +294,9 @@ def tools(path: str, pattern: str):
 
 
 def release() -> None:
-    """Free the tables: a worker lives on after its task, and later tasks need its memory for other things."""
+    """Free the tables: a worker lives on, and later tasks need its memory for other things."""
     tools.cache_clear()
     load.cache_clear()
-    gc.enable()
     gc.collect()
 
 
@@ -329,14 +328,17 @@ def encode(
     path = path or public_tokenizers.path(RANKS)
 
     def rows():
-        gc.disable()  # the tables are large and hold no garbage until they are emptied
         split, pieces, decoder = tools(path, pattern)
 
         def compute(column: pa.Array) -> list[pa.Array]:
-            ids = [list(chain.from_iterable(map(pieces.__getitem__, split(x)))) for x in _strings(column)]
-            out = [_lists(ids)]
-            if decoded:
-                out.append(pa.array([decoder.decode(x) + decoder.end() for x in ids], pa.string()))
+            gc.disable()  # the tables are large and hold no garbage until they are emptied
+            try:
+                ids = [list(chain.from_iterable(map(pieces.__getitem__, split(x)))) for x in _strings(column)]
+                out = [_lists(ids)]
+                if decoded:
+                    out.append(pa.array([decoder.decode(x) + decoder.end() for x in ids], pa.string()))
+            finally:
+                gc.enable()
             return out
 
         return compute
@@ -352,13 +354,11 @@ def decode(df: DataFrame, ids: str = "token_ids", path: str | None = None) -> Da
     at = kept.index(ids)
 
     def run(batches):
-        try:
-            decoder = Decoder(load(path).tokens)
-            for batch in batches:
-                lists = batch.column(at).to_pylist()
-                texts = [None if x is None or None in x else decoder.decode(x) + decoder.end() for x in lists]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=schema.names)
-        finally:
-            release()
+        keep_only(release)
+        decoder = Decoder(load(path).tokens)
+        for batch in batches:
+            lists = batch.column(at).to_pylist()
+            texts = [None if x is None or None in x else decoder.decode(x) + decoder.end() for x in lists]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=schema.names)
 
     return df.select(*kept).mapInArrow(run, schema)

@@ -27,17 +27,34 @@ def unused_name(name: str, taken: list[str]) -> str:
     return name
 
 
+#: What frees the tables of the operator that this worker worked for last.
+_release: Callable[[], None] | None = None
+
+
+def _name(of) -> tuple[str, str]:
+    return of.__module__, of.__qualname__
+
+
+def keep_only(release: Callable[[], None] | None) -> None:
+    """Called by a task: tables of the same operator stay for it, those of another are freed first."""
+    global _release
+    if _release is not None and (release is None or _name(release) != _name(_release)):
+        _release()
+    _release = release
+
+
 def add_columns(
     df: DataFrame,
     text: str,
     carry: list[str] | None,
     new: list[T.StructField],
     rows: Callable[[], Callable[[pa.Array], list[pa.Array]]],
-    release: Callable[[], None] = lambda: None,
+    release: Callable[[], None] | None = None,
 ) -> DataFrame:
     """The columns ``carry`` (None: all) and the ``new`` ones, which ``rows()`` computes from Arrow arrays of texts.
 
-    A carried column with the name of a new one is replaced. ``rows`` is called once in each task, and ``release`` at its end.
+    A carried column with the name of a new one is replaced. ``rows`` is called once in each task. Tables that it keeps for
+    later tasks of its worker are freed by ``release`` when the worker turns to other work.
     """
     taken = {f.name.lower() for f in new}
     kept = [c for c in (df.columns if carry is None else carry) if c.lower() not in taken]
@@ -46,12 +63,10 @@ def add_columns(
     schema = T.StructType([*inner.schema.fields[:-1], *new])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        try:
-            compute = rows()
-            for batch in pieces(batches, own):
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *compute(batch.column(own))], names=schema.names)
-        finally:
-            release()
+        keep_only(release)
+        compute = rows()
+        for batch in pieces(batches, own):
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *compute(batch.column(own))], names=schema.names)
 
     return inner.mapInArrow(run, schema)
 

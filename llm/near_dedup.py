@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from llm.frames import column, semi_join, stored
+from llm.frames import column, keep_only, semi_join, stored
 from llm.words import NOT_SPACE, Words, mix, pieces, text_buffers
 
 SHINGLE = 5
@@ -98,6 +98,7 @@ def sketches(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFr
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_only(None)
         for batch in pieces(batches, "text"):
             found = _words(batch.column("text"))
             hashes, first = shingles(found)

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from llm.frames import column, unused_name
+from llm.frames import column, keep_only, unused_name
 from llm.words import pieces
 
 LIMIT = 1024
@@ -121,6 +121,10 @@ def coder(path: str) -> Ids:
     return Ids(path)
 
 
+def release() -> None:
+    coder.cache_clear()
+
+
 def assign(lengths: np.ndarray, limit: int = LIMIT, linear: float = LINEAR, quadratic: float = QUADRATIC) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pieces of documents of these lengths, one row each: document, start, length, sequence, offset; then the length and
     cost of each sequence.
@@ -196,6 +200,7 @@ def pack(
     end = np.array([END], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_only(release)
         ids_of = coder(tokenizer).of
         first = TaskContext.get().partitionId() * NUMBERS
         held: list[pa.RecordBatch] = []
