@@ -52,10 +52,42 @@ BODY = f"""coalesce(
   nullif(array_to_string(regexp_extract_all({VISIBLE}, '(?is)<p(?:\\s[^>]*)?>(.*?)</p>', 1), chr(10)), ''))"""
 BODY = f"trim({cleaned(BODY)}, {space()})"
 
-WORDS = replaced(replaced("lower(article_title)", V.SENTENCE_ENDS), V.TREEBANK_BEFORE_PADDING)
+# Every period that may end a sentence is followed by a character that no headline has; the list is cut there.
+PARTS = "string_split(regexp_replace(lower(article_title), '([^.\\s])\\.(\\s)', '\\1.' || chr(57344) || '\\2', 'g'), chr(57344))"
+LAST_WORD = "regexp_extract(p, '(?:^|[^\\p{L}\\p{N}_.''’])([\\p{L}\\p{N}_]+(?:\\.[\\p{L}\\p{N}_]+)*)\\.$', 1)"
+
+
+def ended(listed: str) -> str:
+    """Headlines with sentence ends parted, from ``parts``; ``listed`` tells an abbreviation."""
+    stays = f"i = len(parts) OR {listed} OR regexp_full_match({LAST_WORD}, '\\p{{L}}')"
+    return f"array_to_string(list_transform(parts, lambda p, i: CASE WHEN {stays} THEN p ELSE substr(p, 1, length(p) - 1) || ' .' END), '')"
+
+
+WORDS = replaced("ended", V.TREEBANK_BEFORE_PADDING)
 WORDS = replaced(f"(' ' || {WORDS} || ' ')", V.TREEBANK_AFTER_PADDING)
 WORDS = f"list_filter(regexp_split_to_array({WORDS}, '\\s+'), lambda t: t <> '')"
-T_SQL = f"{H_SQL}, T AS (SELECT article_url, lang, {WORDS} AS tokens FROM H)"
+
+
+def tokens_of(table: str, listed: str) -> str:
+    return f"""T1 AS (SELECT *, {PARTS} AS parts FROM {table}), T2 AS (SELECT *, {ended(listed)} AS ended FROM T1),
+T AS (SELECT article_url, lang, {WORDS} AS tokens FROM T2)"""
+
+
+T_SQL = f"{H_SQL}, {tokens_of('H', f'{LAST_WORD} IN ({listed(V.ABBREVIATIONS)})')}"
+
+# Words with and without a period; Kiss and Strunk's measure from their counts.
+_MANY, _FEW = "with_period", "(n - with_period)"
+ABBREVIATION_SQL = f"""{H_SQL},
+PW AS (SELECT lang, unnest(regexp_extract_all(replace(regexp_replace(lower(article_title), '\\.\\.+', ' .. ', 'g'), ' .. ', chr(57344)), {quote(V.PERIOD_WORD.replace("(?!" + chr(92) + ".)", ""))})) AS found FROM H),
+PC AS (SELECT lang, regexp_replace(found, '\\.$', '') AS word, CAST(count(*) FILTER (found LIKE '%.') AS BIGINT) AS with_period, count(*) AS n
+       FROM PW GROUP BY ALL),
+PT AS (SELECT lang, sum(with_period) / sum(n) AS p FROM PC GROUP BY lang),
+PS AS (SELECT lang, word, {_MANY}, {_FEW} AS without_period, length(word) - length(replace(word, '.', '')) AS inside,
+         -2 * ({_MANY} * ln(p) + CASE WHEN {_FEW} > 0 THEN {_FEW} * ln(1 - p) ELSE 0 END - {_MANY} * ln(CAST({V.ABBREVIATION_CHANCE} AS DOUBLE))
+               - {_FEW} * ln(1 - CAST({V.ABBREVIATION_CHANCE} AS DOUBLE))) AS ratio
+       FROM PC JOIN PT USING (lang) WHERE with_period > 0),
+PX AS (SELECT lang, word, with_period, without_period,
+         ratio * exp(-(length(word) - inside)) * (inside + 1) * pow(length(word) - inside, -without_period) AS score FROM PS)"""
 
 TERMS_SQL = f"""{H_SQL},
 W AS (SELECT article_url, unnest(regexp_extract_all(lower(article_title), {quote(V.TERM_PATTERN)})) AS term FROM H),
@@ -204,6 +236,12 @@ ORACLE = {
     "normalize_headline": f"""WITH {H_SQL} SELECT article_url,
         trim(regexp_replace(lower(article_title), {PUNCT}, '', 'g'), {space()}) AS clean FROM H""",
     "word_tokens": f"WITH {T_SQL} SELECT article_url, array_to_string(tokens, '|') AS tokens FROM T",
+    "abbreviation_scores": f"""WITH {ABBREVIATION_SQL}
+        SELECT lang, word, with_period, without_period, round(score, 6) AS score FROM PX""",
+    "learned_word_tokens": f"""WITH {ABBREVIATION_SQL}, AB AS (SELECT lang, list(word) AS words FROM PX WHERE score >= {V.ABBREVIATION_SCORE} GROUP BY lang),
+        HA AS (SELECT H.*, coalesce(words, []) AS words FROM H LEFT JOIN AB USING (lang)),
+        {tokens_of("HA", f"list_contains(words, {LAST_WORD})")}
+        SELECT article_url, array_to_string(tokens, '|') AS tokens FROM T""",
     "remove_stopwords": f"""WITH {T_SQL} SELECT article_url,
         array_to_string(list_filter(tokens, lambda t: NOT list_contains({STOP}, t)), '|') AS kept,
         array_to_string(list_filter(tokens, lambda t: NOT list_contains({STOP_BY_LANG}, t)), '|') AS kept_by_lang FROM T""",

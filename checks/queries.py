@@ -13,7 +13,7 @@ from checks.views import (
     visits,
 )
 from newsfold.functions import html, labels, text
-from newsfold.operators import crawl, features, kernels, metrics, reports, rows, split, svm, tokens
+from newsfold.operators import abbreviations, crawl, features, kernels, metrics, reports, rows, split, svm, tokens
 from newsfold.plans import dataset, experiments
 
 QUERIES = {}
@@ -199,6 +199,19 @@ def word_tokens(spark, sf_dir):
     return _tokens(spark, sf_dir).select("article_url", _joined("tokens").alias("tokens"))
 
 
+@query
+def abbreviation_scores(spark, sf_dir):
+    return abbreviations.abbreviation_scores(headlines(spark, sf_dir)).withColumn("score", F.round("score", 6))
+
+
+@query
+def learned_word_tokens(spark, sf_dir):
+    h = headlines(spark, sf_dir).select("article_url", "lang", "article_title")
+    named = abbreviations.with_abbreviations(h, abbreviations.learned_abbreviations(h))
+    found = text.word_tokens(F.lower("article_title"), F.col("abbreviations"))
+    return named.select("article_url", _joined(found).alias("tokens"))
+
+
 @query
 def remove_stopwords(spark, sf_dir):
     kept = text.remove_stopwords(F.col("tokens"), ALL_STOP_WORDS)

@@ -47,6 +47,9 @@ OK_STATUS = (200, 201)
 # Tags and lower-case entities removed from page text.
 MARKUP_PATTERN = "<.*?>|&([a-z0-9]+|#[0-9]{1,6}|#x[0-9a-f]{1,6});"
 
+# A paragraph, closed, or ended by the next one or by the end of a block or of the page.
+PARAGRAPH = r"(?is)<p(?:\s[^>]*)?>(.*?)(?=</?p[\s>]|</(?:div|td|li|section|main|body|html)\s*>|\z)"
+
 # The 32 ASCII punctuation marks, and every character Python's strip() removes.
 ASCII_PUNCTUATION = string.punctuation
 WHITE_SPACE = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
@@ -102,12 +105,15 @@ ABBREVIATIONS = (
     "mr", "mrs", "ms", "dr", "prof", "sr", "jr", "st", "gov", "capt", "lt", "sgt", "rev",
     "vs", "etc", "inc", "ltd", "corp", "vol", "fig", "approx", "dept", "u.s", "u.k", "e.g", "i.e", "a.m", "p.m",
 )
-# Sentence ends: periods that stay are marked, the others are parted from their words, the marked ones come back.
-SENTENCE_ENDS = (
-    (r"(?i)(^|[^\p{L}\p{N}_.])(" + "|".join(a.replace(".", r"\.") for a in ABBREVIATIONS) + r"|\p{L})\.(\s)", "\\1\\2\x01\\3"),
-    (r"([^.\s])\.(\s)", r"\1 .\2"),
-    ("\x01", "."),
-)
+# A period that may end a sentence stands behind a character that is neither white space nor a period, and before white
+# space. The word in front of it: letters and digits, with single periods inside.
+SENTENCE_END = r"[^.\s]\.\s"
+AFTER_SENTENCE_END = r"(?<=[^.\s]\.)(?=\s)"
+LAST_WORD = r"(?:^|[^\p{L}\p{N}_.'’])([\p{L}\p{N}_]+(?:\.[\p{L}\p{N}_]+)*)\.\z"
+# Words with the period behind them, for the measure of abbreviations; its published constants.
+PERIOD_WORD = r"\p{L}[\p{L}\p{N}'’-]*(?:\.\p{L}[\p{L}\p{N}'’-]*)*(?:\.(?!\.))?"
+ABBREVIATION_CHANCE = 0.99
+ABBREVIATION_SCORE = 0.3
 TREEBANK_CONTRACTIONS = (
     (r"(?i)([^\p{L}\p{N}_])(can)(not)(?=[^\p{L}\p{N}_])", r"\1\2 \3"),
     (r"(?i)([^\p{L}\p{N}_])(d)('ye)(?=[^\p{L}\p{N}_])", r"\1\2 \3"),

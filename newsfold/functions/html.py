@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from newsfold import fixed_values as V
-from newsfold.functions.text import contains_any, strip
+from newsfold.functions.text import bound, contains_any, strip
 
 
 def clean_html(text: Column) -> Column:
@@ -20,17 +20,72 @@ def extract_title(html: Column) -> Column:
     return F.when(raw != "", strip(clean_html(raw)))
 
 
+def _balanced_parts(html: Column, element: str) -> Column:
+    """Pieces of a page between the tags of one element: struct of ``text``, ``depth`` (of elements that the piece is
+    inside of), ``outer`` (number of the outermost one) and ``inner`` (number of the innermost one), both counted from 1.
+
+    A closing tag without an opening one is skipped; elements that are never closed end with the page.
+    """
+    pieces = F.split(F.regexp_replace(html, rf"(?i)</{element}\s*>", f"</{element}>"), rf"(?i)(?=<{element}[\s>])|(?=</{element}>)")
+    start = F.struct(
+        F.array().cast("array<int>").alias("open"),
+        F.lit(0).alias("outer"),
+        F.lit(0).alias("seen"),
+        F.array().cast("array<struct<text:string,depth:int,outer:int,inner:int>>").alias("parts"),
+    )
+
+    def step(state: Column, piece: Column) -> Column:
+        opens = piece.rlike(rf"(?i)\A<{element}[\s>]")
+        closes = piece.rlike(rf"(?i)\A</{element}>") & (F.size(state["open"]) > 0)
+        seen = state["seen"] + opens.cast("int")
+        outer = state["outer"] + (opens & (F.size(state["open"]) == 0)).cast("int")
+        now = F.when(opens, F.array_append(state["open"], seen)).when(closes, F.slice(state["open"], F.lit(1), F.size(state["open"]) - 1)).otherwise(state["open"])
+
+        def kept(now: Column) -> Column:
+            part = F.struct(piece.alias("text"), F.size(now).alias("depth"), outer.alias("outer"), F.coalesce(F.get(now, F.size(now) - 1), F.lit(0)).alias("inner"))
+            return F.struct(now.alias("open"), outer.alias("outer"), seen.alias("seen"), F.array_append(state["parts"], part).alias("parts"))
+
+        return bound(now, kept)
+
+    return F.aggregate(pieces, start, step, lambda state: state["parts"])
+
+
+def _longest(parts: Column, number: str) -> Column:
+    """The cleaned text of the element (by its number) that has most of it; the first of equal ones; null without any text."""
+    inside = F.filter(parts, lambda p: p["depth"] > 0)
+
+    def texts(inside: Column) -> Column:
+        numbers = F.array_distinct(F.transform(inside, lambda p: p[number]))
+        return F.transform(numbers, lambda k: strip(clean_html(F.array_join(F.transform(F.filter(inside, lambda p: p[number] == k), lambda p: p["text"]), ""))))
+
+    def best(texts: Column) -> Column:
+        most = F.array_max(F.transform(texts, F.length))
+        return F.get(F.filter(texts, lambda t: (F.length(t) == most) & (most > 0)), F.lit(0))
+
+    return bound(bound(inside, texts), best)
+
+
 def extract_body(html: Column) -> Column:
-    """Text of the article element, or of all paragraphs where there is none."""
+    """The text of an article page, without comments, scripts and styles.
+
+    Of several articles, that with most text is taken, whole: articles inside it belong to it. Without a non-empty article,
+    it is the text of all paragraphs; one that is not closed ends where the next begins or its block ends. Without
+    paragraphs, it is the text of the division that has most text of its own, outside of divisions within it. Null if there
+    is none of these.
+    """
+
+    def visible_text(page: Column) -> Column:
+        paragraphs = F.filter(
+            F.transform(F.regexp_extract_all(page, F.lit(V.PARAGRAPH), F.lit(1)), lambda p: strip(clean_html(p))), lambda p: p != ""
+        )
+        article = F.when(page.rlike(r"(?i)<article[\s>]"), _longest(_balanced_parts(page, "article"), "outer"))
+        division = F.when(page.rlike(r"(?i)<div[\s>]"), _longest(_balanced_parts(page, "div"), "inner"))
+        return F.coalesce(article, F.nullif(strip(F.array_join(paragraphs, "\n")), F.lit("")), division)
+
     visible = html
     for hidden in (r"(?s)<!--.*?-->", r"(?is)<script[^>]*>.*?</script>", r"(?is)<style[^>]*>.*?</style>"):
         visible = F.regexp_replace(visible, hidden, "")
-    article = F.regexp_extract(visible, r"(?is)<article[^>]*>(.*?)</article>", 1)
-    paragraphs = F.array_join(
-        F.regexp_extract_all(visible, F.lit(r"(?is)<p(?:\s[^>]*)?>(.*?)</p>"), F.lit(1)), "\n"
-    )
-    raw = F.when(article != "", article).otherwise(paragraphs)
-    return F.when(raw != "", strip(clean_html(raw)))
+    return bound(visible, visible_text)
 
 
 def trim_media_credit(text: Column, words: Sequence[str] = V.MEDIA_CREDIT_WORDS) -> Column:

@@ -1,6 +1,6 @@
 """Text functions on string and token-array columns. All are built-in expressions."""
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 from operator import or_
 
@@ -37,16 +37,42 @@ def contains_any(text: Column, words: Sequence[str]) -> Column:
     return reduce(or_, [F.contains(text, F.lit(w)) for w in words])
 
 
-def word_tokens(text: Column) -> Column:
+def bound(value: Column, of: Callable[[Column], Column]) -> Column:
+    """``of(value)`` with the value computed once, however often ``of`` names it."""
+    return F.get(F.transform(F.array(value), of), F.lit(0))
+
+
+def split_sentence_ends(text: Column, abbreviations: Column | Sequence[str] = V.ABBREVIATIONS) -> Column:
+    """Part the period of each sentence end from its word by a blank.
+
+    A single period before white space ends a sentence, unless its word is a single letter or one of the abbreviations
+    (lower case, without the last period): a list for all rows, or a column with the row's own array.
+    """
+
+    def parted(part: Column) -> Column:
+        word = F.regexp_extract(F.lower(part), V.LAST_WORD, 1)
+        listed = F.array_contains(abbreviations, word) if isinstance(abbreviations, Column) else word.isin(list(abbreviations))
+        stays = (word != "") & (listed | word.rlike(r"^\p{L}\z"))
+        return F.when(stays, part).otherwise(F.concat(F.substring(part, F.lit(1), F.length(part) - 1), F.lit(" .")))
+
+    def all_parted(parts: Column) -> Column:
+        last = F.size(parts) - 1
+        return F.concat(F.array_join(F.transform(F.slice(parts, F.lit(1), last), parted), ""), F.get(parts, last))
+
+    return F.when(text.rlike(V.SENTENCE_END), bound(F.split(text, V.AFTER_SENTENCE_END), all_parted)).otherwise(text)
+
+
+def word_tokens(text: Column, abbreviations: Column | Sequence[str] = V.ABBREVIATIONS) -> Column:
     """Split text into words, contractions and punctuation by the Treebank rules.
 
     Most headlines have no mark that the long list of rules looks for; for them
-    three rules give the same words. A period before white space ends a sentence
-    and is a word, except after a listed abbreviation or a single letter.
+    three rules give the same words. A period that ends a sentence is a word.
     """
-    text = _apply_rules(text, V.SENTENCE_ENDS)
-    lowered = F.lower(text)
-    contracted = contains_any(lowered, V.CONTRACTED_WORDS)
+    return bound(split_sentence_ends(text, abbreviations), _treebank_words)
+
+
+def _treebank_words(text: Column) -> Column:
+    contracted = bound(F.lower(text), lambda lowered: contains_any(lowered, V.CONTRACTED_WORDS))
     quoted = F.concat(F.lit(" "), _apply_rules(text, V.TREEBANK_BEFORE_PADDING), F.lit(" "))
     quoted = _apply_rules(quoted, V.TREEBANK_CLOSING_QUOTES)
     spaced = (

@@ -41,6 +41,34 @@ def test_extract_body(spark):
     assert one(spark, html.extract_body, "nothing") is None
 
 
+@pytest.mark.parametrize(
+    ("page", "expected"),
+    [
+        ("<article>before <article>a card</article> and after</article>", "before a card and after"),
+        ("<article><p>teaser</p></article><ARTICLE class='x'><p>the story itself</p></ARTICLE >", "the story itself"),
+        ("<body><p>one<p class='y'>two<p>three</body>", "one\ntwo\nthree"),
+        ("<div>menu</div><div class='main'>first part <div>an aside here</div>second part</div>", "first part second part"),
+        ("<article>never closed <b>text", "never closed text"),
+        ("</article>stray<article>right</article>", "right"),
+        ("<article> </article><p>a paragraph</p>", "a paragraph"),
+        ("<article><article>inner only</article></article><article>x</article>", "inner only"),
+        ("<articles>no</articles><p>yes</p>", "yes"),
+        ("<article>one</article><article>two</article>", "one"),
+        ("<p>closed</p>loose text<p>again</p>", "closed\nagain"),
+        ("<div><div></div></div>", None),
+        ("", None),
+        (None, None),
+    ],
+)
+def test_extract_body_of_balanced_elements(spark, page, expected):
+    assert one(spark, html.extract_body, page) == expected
+
+
+def test_extract_body_of_many_elements(spark):
+    page = "<div>" * 300 + "deep" + "</div>" * 300 + "".join(f"<div>part {i} of many</div>" for i in range(300))
+    assert one(spark, html.extract_body, page) == "part 100 of many"
+
+
 @pytest.mark.parametrize(
     ("value", "expected"),
     [

@@ -56,6 +56,12 @@ def test_strip_site_suffix(spark, value, expected):
         ("well-known state-of-the-art", "well-known state-of-the-art"),
         ("l'été à l'école", "l'été à l'école"),
         ("the dogs' bones", "the dogs ' bones"),
+        ("by j. r. r. tolkien. it ends.", "by j. r. r. tolkien . it ends ."),
+        ("e.g. mr. smith", "e.g. mr. smith"),
+        ("the u.s. dr. no", "the u.s. dr. no"),
+        ("u.s. u.k. e.g. a.m. all of them", "u.s. u.k. e.g. a.m. all of them"),
+        ("it's. that's it. what... a\x01bc. so", "it 's . that 's it . what ... a\x01bc . so"),
+        ("(mr. x.) no.  yes.\tmaybe", "( mr. x. ) no . yes . maybe"),
         ("", ""),
         ("   ", ""),
     ],
