@@ -54,6 +54,9 @@ PARAGRAPH = r"(?is)<p(?:\s[^>]*)?>(.*?)(?=</?p[\s>]|</(?:div|td|li|section|main|
 ASCII_PUNCTUATION = string.punctuation
 WHITE_SPACE = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 
+# One string of a printed Python list of strings.
+RENDERED_TOKEN = r"""(?s)'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*\""""
+
 # Terms of the TF-IDF vocabulary: runs of two or more word characters.
 TERM_PATTERN = r"[\p{L}\p{N}_]{2,}"
 

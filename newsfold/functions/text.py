@@ -125,6 +125,17 @@ def render_tokens(tokens: Column) -> Column:
     return F.concat(F.lit("["), F.array_join(F.transform(tokens, quoted), ", "), F.lit("]"))
 
 
+def parse_tokens(rendered: Column) -> Column:
+    """The token array behind the text that ``render_tokens`` writes; null for null."""
+    quoted = F.regexp_extract_all(rendered, F.lit(V.RENDERED_TOKEN), F.lit(0))
+
+    def plain(token: Column) -> Column:
+        inside = F.substring(token, F.lit(2), F.length(token) - 2)
+        return F.regexp_replace(inside, r"(?s)\\(.)", "$1")
+
+    return F.transform(quoted, plain)
+
+
 def terms(text: Column) -> Column:
     """Lower-cased terms of two or more word characters, in text order."""
     return F.regexp_extract_all(F.lower(text), F.lit(V.TERM_PATTERN), F.lit(0))

@@ -2,10 +2,12 @@
 
 Samples and splits need "the k smallest rows of each group", where a group may
 hold half of the table. Sorting a group in one task does not scale, so the rank
-is turned into a threshold: count rows by hash prefix, find the prefix in which
-the k-th row falls, then find the hash inside that prefix. Each step is one
-aggregate over the key columns with a small result. Afterwards every row is
-placed by comparing its own hash, without a shuffle of the rows.
+is turned into a threshold by radix selection: a row's code is the md5 of its key
+and, behind it, the md5 of the whole row. Rows are counted by the first digits of
+their codes; then, inside the digits in which the k-th row falls, by the next
+ones, until a limit parts the rows exactly. A step is one aggregate with at most
+65,536 counters for each limit. Afterwards every row is placed by comparing its
+own code, without a shuffle of the rows.
 """
 
 from collections.abc import Callable, Mapping, Sequence
@@ -16,13 +18,13 @@ from pyspark.sql import types as T
 
 from newsfold.session import reliable_checkpoint
 
-# Hash prefix of the first step: 16**4 counters per group.
-PREFIX_DIGITS = 4
+# Digits of a step: 16**4 counters for each limit. Digits of the key's hash, and of the whole code.
+STEP, KEY, CODE = 4, 32, 64
 # Groups are labels, languages and runs; one threshold row each goes through the driver.
-MAX_GROUPS = 10_000
+MAX_GROUPS = 100_000
 
-# Thresholds above and below every md5 text.
-EVERY_ROW, NO_ROW = "g", ""
+# Limits above and below every code.
+EVERY_ROW, NO_ROW = "g", "!"
 
 Quotas = Mapping[tuple, Sequence[int]]
 
@@ -59,71 +61,38 @@ def mark_smallest(
     and may repeat, once per group. Counting then runs before the rows multiply.
     """
     groups, on = list(groups), list(on)
-    digest = row_digest(df)
+    whole = F.concat(order, row_digest(df))
     rows = df if lookup is None else df.join(F.broadcast(lookup), on)
     fields = [T.StructField(c, rows.schema[c].dataType) for c in groups]
 
-    def counted(value: Column, parent: Column | None, parents: list[str]) -> DataFrame:
-        source = df if parent is None else df.filter(parent.isin(parents))
+    def digits(n: int) -> Column:
+        return F.substring(order if n <= KEY else whole, 1, n)
+
+    def counted(known: int, parents: list[str], n: int) -> DataFrame:
+        """Rows by their first ``n`` digits, of those whose first ``known`` are among the parents."""
+        source = df if not known else df.filter(digits(known).isin(parents))
         base = [c for c in df.columns if c in groups or c in on]
-        parent = F.lit("") if parent is None else parent
-        level = source.groupBy(*base, parent.alias("parent"), value.alias("value")).agg(F.count(F.lit(1)).alias("n"))
+        level = source.groupBy(*base, digits(known).alias("parent"), digits(n).alias("value")).agg(F.count(F.lit(1)).alias("n"))
         if lookup is not None:
             level = level.join(F.broadcast(lookup), on)
             level = level.groupBy(*groups, "parent", "value").agg(F.sum("n").alias("n"))
         return level
 
-    prefix = F.substring(order, 1, PREFIX_DIGITS)
-    first = counted(prefix, None, [])
+    first = counted(0, [], STEP)
     if callable(quotas):
         first = first.persist()
-        quotas = quotas(_group_sizes(first, groups))
-    if len(quotas) > MAX_GROUPS:
-        raise ValueError(f"{len(quotas)} groups; at most {MAX_GROUPS} are supported")
-
-    # wanted[(group, cut)] = (value the cut falls in so far, rows wanted of it)
-    wanted, limits = {}, {}
-    for group, sizes in quotas.items():
-        for cut in range(len(sizes)):
-            rank = sum(sizes[: cut + 1])
-            limits[group, cut] = (NO_ROW, None, None)
-            if rank > 0:
-                wanted[group, cut] = ("", rank)
-
-    copies_split = False
-    for step, (parent, value) in enumerate([(None, prefix), (prefix, order), (order, digest)]):
-        if not wanted:
-            break
-        level = first if step == 0 else counted(value, parent, sorted({v for v, _ in wanted.values()}))
-        hits = _locate(level, fields, wanted)
-        still = {}
-        for key in wanted:
-            if key not in hits:  # the quota is above the size of the group
-                limits[key] = (EVERY_ROW, None, None)
-                continue
-            found, want, size = hits[key]
-            if step == 0:
-                still[key] = (found, want)
-            elif step == 1 and want == size:
-                limits[key] = (found, None, None)
-            elif step == 1:
-                limits[key] = (found, NO_ROW, None)
-                still[key] = (found, want)
-            else:
-                limits[key] = (limits[key][0], found, want if want < size else None)
-                copies_split |= want < size
-        wanted = still
-    first.unpersist()
-
-    limit_type = T.StructType(
-        [
-            T.StructField("hash", T.StringType()),
-            T.StructField("row", T.StringType()),
-            T.StructField("copies", T.LongType()),
-        ]
-    )
-    needs_digest = any(row is not None for _, row, _ in limits.values())
-    placed = rows.withColumns({"_hash": order, "_row": digest if needs_digest else F.lit("")})
+    try:
+        if callable(quotas):
+            quotas = quotas(_group_sizes(first, groups))
+        if len(quotas) > MAX_GROUPS:
+            raise ValueError(f"{len(quotas)} groups; at most {MAX_GROUPS} are supported")
+        limits = _limits(df, quotas, fields, order, first, counted)
+    finally:
+        first.unpersist()
+
+    limit_type = T.StructType([T.StructField("upto", T.StringType()), T.StructField("copies", T.LongType())])
+    needs_row = any(len(upto) > KEY for upto, _ in limits.values())
+    placed = rows.withColumn("_code", whole if needs_row else order)
     if groups:
         table = df.sparkSession.createDataFrame(
             [(*g, [limits[g, cut] for cut in range(len(sizes))]) for g, sizes in quotas.items()],
@@ -135,21 +104,55 @@ def mark_smallest(
         cells = [F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(x, limit_type)]) for x in limits.values()]
         placed = placed.withColumn("_limits", F.array(*cells))
     width = max((len(sizes) for sizes in quotas.values()), default=0)
-    if not copies_split:
-        return placed.withColumn(out, _part(width)).drop("_hash", "_row", "_limits")
+    if all(copies is None for _, copies in limits.values()):
+        return placed.withColumn(out, _part(width)).drop("_code", "_limits")
 
     # A limit falls among full copies of one row, so these copies need numbers.
     # They stay in their partitions; only counts per partition are summed up.
-    on_copies = F.exists(
-        "_limits",
-        lambda x: x["copies"].isNotNull() & (x["hash"] == F.col("_hash")) & (x["row"] == F.col("_row")),
-    )
+    on_copies = F.exists("_limits", lambda x: x["copies"].isNotNull() & (x["upto"] == F.col("_code")))
     is_copy = F.coalesce(on_copies, F.lit(False))
     copies = reliable_checkpoint(placed.filter(is_copy).withColumn("_slice", F.spark_partition_id()))
-    numbered = _number_copies(copies, [*groups, "_hash"])
+    numbered = _number_copies(copies, [*groups, "_code"])
     marked = numbered.withColumn(out, _part(width, F.col("_copy"))).drop("_copy")
     rest = placed.filter(~is_copy).withColumn(out, _part(width))
-    return rest.unionByName(marked).drop("_hash", "_row", "_limits")
+    return rest.unionByName(marked).drop("_code", "_limits")
+
+
+def _limits(df: DataFrame, quotas: Quotas, fields: list, order: Column, first: DataFrame, counted: Callable) -> dict:
+    """For each (group, cut): the last code inside, by its first digits, and how many copies of the row count if it is one."""
+    limits = {(group, cut): (NO_ROW, None) for group, sizes in quotas.items() for cut in range(len(sizes))}
+    # What a cut is still looking for: the digits it falls in so far, the rows wanted of these, and how many there are.
+    wanted = {}
+    for group, sizes in quotas.items():
+        for cut in range(len(sizes)):
+            if sum(sizes[: cut + 1]) > 0:
+                wanted[group, cut] = ("", sum(sizes[: cut + 1]), None)
+    while wanted:
+        known = min(len(parent) for parent, _, _ in wanted.values())
+        now = {key: x for key, x in wanted.items() if len(x[0]) == known}
+        n = min(known + STEP, KEY if known < KEY else CODE)
+        level = counted(known, sorted({parent for parent, _, _ in now.values()}), n) if known else first
+        hits = _locate(level, fields, {key: x[:2] for key, x in now.items()})
+        one_key: dict[str, str | None] = {}
+        for key, (_, _, before) in now.items():
+            del wanted[key]
+            if key not in hits:  # the quota is above the size of the group
+                limits[key] = (EVERY_ROW, None)
+                continue
+            found, want, size = hits[key]
+            if want == size:
+                limits[key] = (found, None)
+            elif len(found) == CODE:
+                limits[key] = (found, want)
+            else:
+                # Digits that part nothing may be those of a single key with many rows: go on behind it at once.
+                if size == before and len(found) < KEY:
+                    if found not in one_key:
+                        ends = df.filter(F.substring(order, 1, len(found)) == found).agg(F.min(order), F.max(order)).first()
+                        one_key[found] = ends[0] if ends[0] == ends[1] else None
+                    found = one_key[found] or found
+                wanted[key] = (found, want, size)
+    return limits
 
 
 def _group_sizes(level: DataFrame, groups: list[str]) -> dict[tuple, int]:
@@ -189,12 +192,9 @@ def _part(width: int, copy: Column | None = None) -> Column:
     part = F.size("_limits")
     for cut in reversed(range(width)):
         limit = F.get("_limits", F.lit(cut))
-        on_row = F.col("_row") == limit["row"]
-        if copy is not None:
-            on_row = on_row & (limit["copies"].isNull() | (copy <= limit["copies"]))
-        inside = (F.col("_hash") < limit["hash"]) | (
-            (F.col("_hash") == limit["hash"]) & (limit["row"].isNull() | (F.col("_row") < limit["row"]) | on_row)
-        )
+        digits = F.substring(F.col("_code"), F.lit(1), F.length(limit["upto"]))
+        on_limit = limit["copies"].isNull() if copy is None else limit["copies"].isNull() | (copy <= limit["copies"])
+        inside = (digits < limit["upto"]) | ((digits == limit["upto"]) & on_limit)
         part = F.when((F.size("_limits") > cut) & inside, F.lit(cut)).otherwise(part)
     return F.when(F.col("_limits").isNotNull(), part).cast("int")
 
@@ -209,5 +209,5 @@ def _number_copies(copies: DataFrame, groups: list[str]) -> DataFrame:
     )
     match = [F.col(c).eqNullSafe(F.col(f"_of{c}")) for c in keys]
     joined = copies.join(F.broadcast(offsets), match).drop(*[f"_of{c}" for c in keys])
-    local = Window.partitionBy(*keys).orderBy("_row")
+    local = Window.partitionBy(*keys).orderBy("_code")
     return joined.withColumn("_copy", F.col("_ahead") + F.row_number().over(local)).drop("_ahead", "_slice")

@@ -28,16 +28,17 @@ def length_band(
     return df.filter((F.col(length) > low) & (F.col(length) < high))
 
 
-def dedup_by(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
+def dedup_by(df: DataFrame, key: str, order: Sequence[str], title: str = "article_title") -> DataFrame:
     """One row per key: the smallest by ``order``, then by the other columns; nulls come last.
 
-    So a row whose title was not fetched never replaces one with a title. Null keys form one group. A partial minimum runs before the shuffle, so a
-    key with many copies sends one row per task.
+    A row whose title was not fetched never replaces one with a title, whatever the order. Null keys form one group. A
+    partial minimum runs before the shuffle, so a key with many copies sends one row per task.
     """
     rest = [c for c in df.columns if c != key and c not in order]
     ranked = [c for c in order if c != key] + rest
+    no_title = [F.col(title).isNull().alias("no_title")] if title in df.columns and title != key else []
     places = [F.struct(F.col(c).isNull().alias("missing"), F.col(c).alias("value")).alias(c) for c in ranked]
-    first = df.groupBy(key).agg(F.min(F.struct(*places)).alias("_first"))
+    first = df.groupBy(key).agg(F.min(F.struct(*no_title, *places)).alias("_first"))
     return first.select(*[F.col(key) if c == key else F.col("_first")[c]["value"].alias(c) for c in df.columns])
 
 

@@ -152,14 +152,20 @@ def score_external(
     make_predict: Callable[[], Callable[[np.ndarray], np.ndarray]],
     batch_size: int = 64,
     out: str = "scores",
+    max_tokens: int | None = V.MAX_TOKENS,
 ) -> DataFrame:
     """Add ``out``: the two scores of a model of the caller, as an array.
 
     ``make_predict`` loads the model once per Python worker and returns a
-    function from a batch of texts to an array of shape (rows, 2).
+    function from a batch of texts to an array of shape (rows, 2). It sees the
+    first ``max_tokens`` words (between white space) of a text, as a model sees no
+    more tokens than that (None: whole texts); the column itself stays whole. Rows
+    are sorted by length inside each task, so the texts of a batch are of about
+    one length and padding stays small; nothing is shuffled.
     """
     predict = predict_batch_udf(make_predict, return_type=T.ArrayType(T.DoubleType()), batch_size=batch_size)
-    return df.withColumn(out, predict(F.col(text)))
+    seen = F.col(text) if max_tokens is None else F.regexp_extract(text, rf"^\s*(?:\S+\s+){{0,{max_tokens - 1}}}+\S*", 0)
+    return df.sortWithinPartitions(F.length(seen)).withColumn(out, predict(seen))
 
 
 def parameters(model: SvmModel) -> dict[str, str]:

@@ -13,10 +13,6 @@ from newsfold.operators.metrics import macro_from_pairs, pair_counts
 from newsfold.operators.split import class_quotas, label_counts_by, train_val_test_quotas
 
 
-class InvalidLanguageInput(ValueError):
-    """No known language among the given names."""
-
-
 @dataclass(frozen=True)
 class Run:
     """One experiment. With ``held_out`` all other languages form the test part."""
@@ -37,7 +33,7 @@ def resolve_run(
     """Run of the named languages; unknown names are ignored, none left is an error."""
     langs = tuple(codes[n] for n in names if n in codes)
     if not langs:
-        raise InvalidLanguageInput(f"no language found in {list(names)}")
+        raise ValueError(f"no language found in {list(names)}")
     if not multilingual and len(langs) == 1:
         name = f"{langs[0]}-{family}"
     elif set(langs) == set(codes.values()):

@@ -7,9 +7,11 @@ from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LinearSVCModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.types import StructType
 
 from newsfold import schemas
+from newsfold.functions.text import parse_tokens
 from newsfold.operators.kernels import Kernel
 from newsfold.operators.svm import SvmModel, Trial
 
@@ -27,9 +29,12 @@ def _csv(spark: SparkSession, schema: StructType, path: str, multi_line: bool =
     )
 
 
-def read_article_csv(spark: SparkSession, path: str) -> DataFrame:
-    """All article CSV files of a directory."""
-    return _csv(spark, schemas.RAW_ARTICLE, path)
+def read_article_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """All article CSV files of a directory.
+
+    Article texts hold line breaks, so a file is one task. Files written without any (``multi_line`` False) are split.
+    """
+    return _csv(spark, schemas.RAW_ARTICLE, path, multi_line)
 
 
 def read_renamed_csv(
@@ -59,9 +64,15 @@ def read_dataset(spark: SparkSession, path: str, langs: Sequence[str] | None = N
     return df if langs is None else df.filter(F.col("lang").isin(list(langs)))
 
 
-def read_dataset_csv(spark: SparkSession, path: str, schema: StructType = schemas.HEADLINE) -> DataFrame:
-    """The headline table from CSV."""
-    return _csv(spark, schema, path)
+def read_dataset_csv(spark: SparkSession, path: str, schema: StructType = schemas.HEADLINE, multi_line: bool = True) -> DataFrame:
+    """The headline table from CSV, with ``schemas.PREPARED`` also that with prepared words.
+
+    Word arrays are the list text that ``write_dataset_csv`` writes; other columns of the file are an error.
+    """
+    arrays = {f.name for f in schema.fields if isinstance(f.dataType, T.ArrayType)}
+    as_text = T.StructType([T.StructField(f.name, T.StringType() if f.name in arrays else f.dataType) for f in schema.fields])
+    df = _csv(spark, as_text, path, multi_line)
+    return df.select(*[parse_tokens(F.col(c)).alias(c) if c in arrays else F.col(c) for c in schema.names])
 
 
 def read_sitemaps(spark: SparkSession, path: str) -> DataFrame:

@@ -56,6 +56,13 @@ def test_leaderboard_and_gap(spark):
     assert gaps["m-bert-it"]["gap"] == pytest.approx(0.9023 - 0.7017, abs=1e-3)
 
 
+def test_gap_is_that_of_one_record(spark):
+    rows = [("r", {"C": "1"}, "eval", 0.9), ("r", {"C": "1"}, "test", 0.2), ("r", {"C": "2"}, "eval", 0.5), ("r", {"C": "2"}, "test", 0.8), ("s", None, "eval", 0.4)]
+    runs = spark.createDataFrame(rows, "run string, parameters map<string,string>, split string, f1 double")
+    gaps = {r["run"]: (r["f1_trained"], r["f1_unseen"]) for r in metrics.transfer_gap(runs).collect()}
+    assert gaps == {"r": (0.9, 0.2), "s": (0.4, None)}
+
+
 def test_transfer_matrix(spark):
     df = spark.createDataFrame([("r", "en", 0, 0), ("r", "en", 1, 1), ("r", "it", 1, 0)], "run string, lang string, y_true int, y_pred int")
     scores = {r["lang"]: r["f1"] for r in experiments.transfer_matrix(df).collect()}

@@ -140,6 +140,26 @@ def test_external_model_is_loaded_per_worker(spark):
     assert {r["t"]: r["scores"] for r in scored} == {"aa": [2.0, 1.0], "b": [1.0, 1.0], "": [0.0, 1.0]}
 
 
+def test_external_model_sees_a_bounded_text(spark):
+    rng = random.Random(3)
+    texts = [" ".join("w" * rng.randrange(1, 9) for _ in range(rng.randrange(0, 400))) for _ in range(300)] + [None, "  lead  two ", "a\n b\tc"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, t string").repartition(3)
+
+    def load():
+        def predict(batch):
+            words = np.array([len((t or "").split()) for t in batch])
+            return np.stack([words, np.full(len(batch), words.max() - words.min())], axis=1).astype(float)
+
+        return predict
+
+    found = {r["id"]: r for r in svm.score_external(df, "t", load, batch_size=8, max_tokens=50).collect()}
+    assert {i: r["t"] for i, r in found.items()} == dict(enumerate(texts))
+    assert all(r["scores"][0] == min(50, len((r["t"] or "").split())) for r in found.values())
+    assert sum(r["scores"][1] for r in found.values()) / len(found) < 8  # in the order of rows, it is over 40
+    whole = svm.score_external(df, "t", load, max_tokens=None).collect()
+    assert max(r["scores"][0] for r in whole) > 300
+
+
 def corpus(spark):
     rows = []
     for i in range(300):

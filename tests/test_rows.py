@@ -25,6 +25,13 @@ def test_dedup(spark):
     assert rows.dedup_by(once, "article_url", ["seen"]).count() == 3
 
 
+def test_dedup_prefers_titles_whatever_the_order(spark):
+    df = spark.createDataFrame([("u", None, 1), ("u", "good", 2), ("v", None, 5), ("v", None, 4)], "article_url string, article_title string, seen int")
+    assert {tuple(r) for r in rows.dedup_by(df, "article_url", ["seen"]).collect()} == {("u", "good", 2), ("v", None, 4)}
+    by_title = rows.dedup_by(df, "article_title", ["seen"])
+    assert {tuple(r) for r in by_title.collect()} == {("u", None, 1), ("u", "good", 2)}
+
+
 def test_drop_image_urls(spark):
     urls = ["a.png", "a.jpeg", "a.jpg", "a.png?x", "axpng", None]
     df = spark.createDataFrame([(u,) for u in urls], "article_url string")

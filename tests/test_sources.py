@@ -63,6 +63,29 @@ def test_prepared_csv_holds_python_lists(spark, tmp_path):
     assert sorted(map(tuple, readers.read_dataset_csv(spark, str(tmp_path / "plain")).collect())) == sorted(map(tuple, headlines(spark).collect()))
 
 
+def test_prepared_csv_can_be_read_back(spark, tmp_path):
+    words = [["it's", 'say "no"', "back\\slash", "'\"both\"'"], [], ["é", "a, b", "", "]['"]]
+    rows = [(f"u{i}", f"title, {i}", i % 2, 7, "en", w) for i, w in enumerate(words)]
+    df = spark.createDataFrame(rows, schemas.PREPARED)
+    writers.write_dataset_csv(df, str(tmp_path / "out"))
+    for multi_line in (True, False):
+        back = readers.read_dataset_csv(spark, str(tmp_path / "out"), schemas.PREPARED, multi_line=multi_line)
+        assert back.schema == schemas.PREPARED
+        assert sorted(map(tuple, back.collect())) == sorted(rows)
+
+
+def test_article_csv_without_line_breaks_is_split(spark, tmp_path):
+    df = spark.range(20000).select(*[F.col("id").cast("string").alias(c) if c.startswith("article") else F.lit(None).cast(schemas.RAW_ARTICLE[c].dataType).alias(c) for c in schemas.RAW_ARTICLE.names])
+    writers.write_dataset_csv(df.coalesce(1), str(tmp_path / "out"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "32k")
+    try:
+        whole, parts = (readers.read_article_csv(spark, str(tmp_path / "out"), multi_line=m) for m in (True, False))
+        assert parts.rdd.getNumPartitions() > whole.rdd.getNumPartitions()
+        assert parts.count() == whole.count() == 20000
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_crawl_batches_append(spark, tmp_path):
     df = spark.createDataFrame([("s", "u", "t")], "source string, article_url string, article_title string")
     for day in ("2024-01-09", "2024-01-10", "2024-01-10"):
