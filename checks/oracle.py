@@ -9,6 +9,7 @@ from checks.queries import (
     RUNS,
     SECTIONS,
     STOP_WORDS,
+    SUFFIX_RULES,
 )
 from checks.views import E_SQL, H_SQL, M_SQL
 from newsfold import fixed_values as V
@@ -261,6 +262,16 @@ ORACLE = {
         CASE is_sarcastic WHEN 1 THEN 'sarcastic' ELSE 'non-sarcastic' END AS article_type,
         CASE is_sarcastic WHEN 1 THEN 'sarcastic' ELSE 'non_sarcastic' END AS file_type FROM H""",
     "registered_domain": f"WITH {HOST_SQL} SELECT page_id, any_domain, domain FROM DOM",
+    "registered_domain_table": f"""WITH HP AS (
+          SELECT page_id, string_split(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)), '.') AS p FROM pages),
+        HT AS (SELECT page_id, p, unnest(range(1, len(p) + 1)) AS k FROM HP),
+        HR AS (SELECT page_id, p, array_to_string(p[len(p) - k + 1:], '.') AS rule, 0 AS exception, k AS n FROM HT
+               UNION ALL SELECT page_id, p, '*.' || array_to_string(p[len(p) - k + 2:], '.'), 0, k FROM HT WHERE k > 1
+               UNION ALL SELECT page_id, p, '!' || array_to_string(p[len(p) - k + 1:], '.'), 1, k - 1 FROM HT),
+        HB AS (SELECT page_id, p, n, row_number() OVER (PARTITION BY page_id ORDER BY exception DESC, n DESC) AS i
+               FROM HR WHERE rule IN ({listed(SUFFIX_RULES)}))
+        SELECT pages.page_id, CASE WHEN len(p) > n THEN array_to_string(p[len(p) - n:], '.') END AS domain
+        FROM pages LEFT JOIN HB ON pages.page_id = HB.page_id AND i = 1""",
     "label_counts": f"WITH {H_SQL} SELECT is_sarcastic, count(*) AS n FROM H GROUP BY is_sarcastic",
     "length_stats": f"""WITH {H_SQL} SELECT lang, is_sarcastic, {MEDIAN_MEAN} FROM H
         WHERE title_length > 45 AND title_length < 185 GROUP BY lang, is_sarcastic""",

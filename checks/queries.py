@@ -13,7 +13,7 @@ from checks.views import (
     visits,
 )
 from newsfold.functions import html, labels, text
-from newsfold.operators import abbreviations, crawl, features, kernels, metrics, reports, rows, split, svm, tokens
+from newsfold.operators import abbreviations, crawl, domains, features, kernels, metrics, reports, rows, split, svm, tokens
 from newsfold.plans import dataset, experiments
 
 QUERIES = {}
@@ -258,6 +258,17 @@ def _domains(spark, sf_dir):
     )
 
 
+#: Rules of a suffix table, with a wildcard and an exception to it.
+SUFFIX_RULES = ("org", "com", "*.net", "!ththan.example.net", "example.com", "*.example.net")
+
+
+@query
+def registered_domain_table(spark, sf_dir):
+    rules = spark.createDataFrame([(r,) for r in SUFFIX_RULES], "rule string")
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return domains.with_registered_domain(pages, "url", rules).drop("url")
+
+
 @query
 def registered_domain(spark, sf_dir):
     return _domains(spark, sf_dir).select("page_id", "any_domain", "domain")

@@ -42,10 +42,11 @@ def registered_domain(
     """Domain and public suffix of a URL's host, by the longest listed suffix.
 
     Null for hosts without a listed suffix, for bare suffixes and, where
-    ``allow`` is given, for domains outside it.
+    ``allow`` is given, for domains outside it. The lists are part of the plan;
+    for long ones there is ``operators.domains.with_registered_domain``.
     """
     if max(len(suffixes), len(allow or ())) > MAX_LIST:
-        raise ValueError(f"at most {MAX_LIST} entries")
+        raise ValueError(f"at most {MAX_LIST} entries; use operators.domains for more")
     host = F.lower(F.try_parse_url(url, F.lit("HOST")))
     parts = F.split(F.when(~host.isin(list(suffixes)), host), r"\.")
     tails = F.transform(

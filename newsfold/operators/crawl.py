@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from newsfold import fixed_values as V
 from newsfold.functions import html as H
+from newsfold.session import lookup_join
 
 
 @dataclass(frozen=True)
@@ -61,9 +62,14 @@ def ok_responses(df: DataFrame, codes: Sequence[int] = V.OK_STATUS) -> DataFrame
 
 
 def drop_section_pages(
-    df: DataFrame, titles: Sequence[str] = V.SECTION_TITLES, title: str = "article_title"
+    df: DataFrame, titles: Sequence[str] | DataFrame = V.SECTION_TITLES, title: str = "article_title"
 ) -> DataFrame:
-    """Drop pages whose title is the name of a site section; rows without a title stay."""
+    """Drop pages whose title is the name of a site section; rows without a title stay.
+
+    A long list is a table with the titles in its first column; it is anti-joined.
+    """
+    if isinstance(titles, DataFrame):
+        return lookup_join(df, titles.select(F.col(titles.columns[0]).alias(title)).distinct(), [title], "left_anti")
     return df.filter(~F.coalesce(F.col(title).isin(list(titles)), F.lit(False)))
 
 

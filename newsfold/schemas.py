@@ -23,6 +23,8 @@ HEADLINE_JSON = _struct(article_link=_S, headline=_S, is_sarcastic=_I)
 HEADLINE = _struct(article_url=_S, article_title=_S, is_sarcastic=_I, title_length=_I, lang=_S)
 #: The headline table with prepared words.
 PREPARED = T.StructType([*HEADLINE.fields, T.StructField("article_title_preprocessed", T.ArrayType(_S))])
+#: Which attempt at writing a crawl batch counts.
+CRAWL_MANIFEST = _struct(batch=_S, attempt=_S, columns=T.ArrayType(_S))
 RUN_RECORD = _struct(
     family=_S,
     run=_S,

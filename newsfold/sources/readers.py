@@ -14,6 +14,7 @@ from newsfold import schemas
 from newsfold.functions.text import parse_tokens
 from newsfold.operators.kernels import Kernel
 from newsfold.operators.svm import SvmModel, Trial
+from newsfold.session import lookup_join
 
 
 def _csv(spark: SparkSession, schema: StructType, path: str, multi_line: bool = True) -> DataFrame:
@@ -82,6 +83,18 @@ def read_sitemaps(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def read_crawl_batches(spark: SparkSession, path: str, schema: StructType = schemas.RAW_ARTICLE, batches: Sequence[str] | None = None) -> DataFrame:
+    """Article rows of the committed batches (or of the named ones), with ``source``, ``crawl_date`` and ``batch``.
+
+    Only folders of attempts that the manifest names are read. ``schema``: the columns of the rows but ``source``.
+    """
+    manifest = spark.read.schema(schemas.CRAWL_MANIFEST).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").json(f"{path}/manifest")
+    named = manifest if batches is None else manifest.filter(F.col("batch").isin(list(batches)))
+    places = T.StructType([T.StructField(c, T.StringType()) for c in ("batch", "attempt", "source", "crawl_date")])
+    rows = spark.read.schema(T.StructType([*[f for f in schema.fields if f.name not in places.names], *places.fields])).parquet(f"{path}/articles")
+    return lookup_join(rows, named.select("batch", "attempt").distinct(), ["batch", "attempt"], "inner").drop("attempt")
+
+
 def read_run_records(spark: SparkSession, path: str) -> DataFrame:
     """Run records written by ``write_run_record``."""
     return spark.read.schema(schemas.RUN_RECORD).json(path)

@@ -1,6 +1,8 @@
 """Writers."""
 
+import hashlib
 import json
+import uuid
 from dataclasses import asdict
 
 from pyspark.ml import PipelineModel
@@ -8,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from newsfold import schemas
 from newsfold.functions.text import render_tokens
 from newsfold.operators.crawl import with_crawl_date
 from newsfold.operators.svm import SvmModel
@@ -44,6 +47,22 @@ def write_crawl_batch(df: DataFrame, path: str, run_time=None) -> None:
     stamped.write.mode("append").partitionBy("source", "crawl_date").parquet(path)
 
 
+def commit_crawl_batch(df: DataFrame, path: str, batch: str, run_time=None) -> None:
+    """Write article rows (with ``source``) as the whole content of one batch; doing it again replaces the batch.
+
+    Rows go to a folder of this attempt first, under source and crawl date. Then the batch's entry in the manifest names the
+    attempt. ``readers.read_crawl_batches`` reads what the manifest names: of a write that was killed, or repeated, nothing
+    is seen but its last whole attempt. Batches may be written at the same time.
+    """
+    attempt = uuid.uuid4().hex
+    stamped = with_crawl_date(df, F.current_timestamp() if run_time is None else run_time)
+    marked = stamped.withColumns({"batch": F.lit(batch), "attempt": F.lit(attempt)})
+    marked.write.mode("append").partitionBy("batch", "attempt", "source", "crawl_date").parquet(f"{path}/articles")
+    entry = df.sparkSession.createDataFrame([(batch, attempt, stamped.columns)], schemas.CRAWL_MANIFEST)
+    folder = hashlib.sha256(batch.encode()).hexdigest()
+    entry.coalesce(1).write.mode("overwrite").json(f"{path}/manifest/{folder}")
+
+
 def write_run_record(df: DataFrame, path: str) -> None:
     """Append run records under their model family."""
     df.write.mode("append").partitionBy("family").json(path)
