@@ -41,6 +41,10 @@ LINEAR, QUADRATIC = 1.0, 1 / 4096
 PARTS = 800_000
 #: Characters of a part that is kept.
 LONG = 100
+#: New parts that are tokenized as one text.
+LINES = 100
+#: In place of the ids of a word that can't be told apart from its neighbours.
+UNSAFE = False
 #: Sequences of a partition have numbers from its own multiple of this on.
 NUMBERS = 1 << 40
 
@@ -60,32 +64,32 @@ class Ids:
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.encode_special_tokens = True
         #: Ids of words at the start of a text, of those behind a blank (with it), and of parts behind others in a word.
-        self._first: dict[str, bytes | None] = {}
-        self._later: dict[str, bytes | None] = {}
-        self._behind: dict[str, bytes | None] = {}
+        self._first: dict[str, bytes | bool] = {}
+        self._later: dict[str, bytes | bool] = {}
+        self._behind: dict[str, bytes | bool] = {}
         self._line = np.frombuffer(self._coded(["\n"])[0], dtype="<u4")[0]
 
     def _coded(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _add(self, known: dict[str, bytes | None], stems: set[str], blank: str) -> None:
+    def _add(self, known: dict[str, bytes | bool], stems: set[str], blank: str) -> None:
         """Stems without line breaks go as lines of a text, whose breaks are tokens of their own."""
         new = list(stems.difference(known))
         broken = [x for x in new if "\n" in x]
         if broken:
             known.update(zip(broken, self._coded([blank + x for x in broken])))
             new = [x for x in new if x not in known]
-        for i, ids in enumerate(self._coded([blank + ("\n" + blank).join(new[i : i + 500]) for i in range(0, len(new), 500)])):
+        for i, ids in enumerate(self._coded([blank + ("\n" + blank).join(new[i : i + LINES]) for i in range(0, len(new), LINES)])):
             ends = np.append(4 * np.flatnonzero(np.frombuffer(ids, dtype="<u4") == self._line), len(ids)).tolist()
-            known.update(zip(new[500 * i : 500 * i + 500], [ids[a:b] for a, b in zip([0, *(e + 4 for e in ends)], ends)]))
+            known.update(zip(new[LINES * i : LINES * i + LINES], [ids[a:b] for a, b in zip([0, *(e + 4 for e in ends)], ends)]))
 
-    def _learn(self, known: dict[str, bytes | None], words: set[str], blank: str) -> None:
+    def _learn(self, known: dict[str, bytes | bool], words: set[str], blank: str) -> None:
         stems = {w for w in words if w.isalpha() and len(w) <= LONG}
         split, behind = {}, set()
         for w in words.difference(stems):
             # White space at an edge, or nothing: the blank beside it is no safe place.
             if len(w) > LONG or _EDGE.search(w):
-                known[w] = None
+                known[w] = UNSAFE
             else:
                 split[w] = parts = _CUT.split(w)
                 stems.add(parts[0])
@@ -102,11 +106,19 @@ class Ids:
                 known.clear()
         split = [t.split(" ") for t in texts]
         self._learn(self._first, {w[0] for w in split}.difference(self._first), "")
-        self._learn(self._later, set(chain.from_iterable([w[1:] for w in split])).difference(self._later), " ")
-        out, later = [], self._later.__getitem__
-        for text, words in zip(texts, split):
+        # One look-up for each word; what is missing is learned for all texts at once, and looked up where it was missing.
+        found = [list(map(self._later.get, words)) for words in split]
+        gaps = [[i for i, x in enumerate(ids) if x is None] for ids in found]
+        new = {words[i] for words, missing in zip(split, gaps) for i in missing if i}
+        self._learn(self._later, new, " ")
+        out, later = [], self._later
+        for text, words, ids, missing in zip(texts, split, found, gaps):
+            for i in missing:
+                if i:
+                    ids[i] = later[words[i]]
+            ids[0] = self._first[words[0]]
             try:
-                out.append(b"".join([self._first[words[0]], *map(later, words[1:])]))
+                out.append(b"".join(ids))
             except TypeError:  # a word at an unsafe place
                 out.append(self._parts(text))
         return out
