@@ -3,6 +3,7 @@
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass
+import math
 import random
 
 import numpy as np
@@ -126,6 +127,83 @@ def search(
         val.unpersist()
 
 
+@dataclass(frozen=True)
+class Round:
+    """One round of a halving search: the share of the training rows, how many there were, and the score of each trial."""
+
+    share: float
+    n_rows: int
+    scores: tuple[tuple[Trial, float], ...]
+
+    @property
+    def row_passes(self) -> int:
+        """Rows that were fitted on, once for each trial."""
+        return self.n_rows * len(self.scores)
+
+
+def nested_sample(df: DataFrame, share: float, key: str | Sequence[str], seed: int = V.SEED) -> DataFrame:
+    """About ``share`` of the rows, by a hash of the key: a smaller share of the same seed is a part of a larger one."""
+    keys = [key] if isinstance(key, str) else list(key)
+    place = F.pmod(F.xxhash64(F.lit(seed), *[F.col(k) for k in keys]), F.lit(1 << 30))
+    return df if share >= 1 else df.filter(place < F.lit(int(share * (1 << 30))))
+
+
+def halving_search(
+    train: DataFrame,
+    val: DataFrame,
+    key: str,
+    trials: Sequence[Trial] | None = None,
+    keep: float = 0.5,
+    threads: int = 2,
+    n_landmarks: int = 200,
+    label: str = "is_sarcastic",
+    seed: int = V.SEED,
+) -> tuple[SvmModel, list[Round]]:
+    """Successive halving: all trials start on a small sample, the better part goes on to a larger one that contains it.
+
+    With ``keep`` 0.5, each round has half the trials on twice the rows, so that every round costs about the same and the
+    last one takes the whole table; a full search reads it once for each trial. Trials are ranked by macro F1 on ``val``,
+    the first on ties. A sample without two classes sends all its trials on. Returns the model of the best trial, fitted on
+    all of ``train``, and what each round found.
+    """
+    trials = draw_trials(seed=seed) if trials is None else list(trials)
+    if not trials or not 0 < keep < 1:
+        raise ValueError("need trials, and a part of them to keep")
+    rounds = 1
+    while len(trials) * keep ** (rounds - 1) > 1:
+        rounds += 1
+    history: list[Round] = []
+    left, model = trials, None
+    train, val = train.persist(), val.persist()
+    try:
+        for i in range(rounds):
+            share = keep ** (rounds - 1 - i)
+            rows = nested_sample(train, share, key, seed)
+            counts = rows.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(label).alias("classes")).first()
+            if counts["classes"] < 2 and i < rounds - 1:
+                continue
+            gamma = scale_gamma(rows) if any(t.kernel != "linear" for t in left) else None
+
+            def fit(trial, rows=rows, n=counts["n"], gamma=gamma):
+                return fit_trial(rows, trial, n, key, gamma, n_landmarks, label, seed)
+
+            def score(trial, fit=fit):
+                fitted = fit(trial)
+                return fitted, macro_f1(fitted, val, label)
+
+            with ThreadPoolExecutor(threads) as pool:
+                jobs = [pool.submit(inheritable_thread_target(train.sparkSession)(score), t) for t in left]
+                found = [job.result() for job in jobs]
+            history.append(Round(share, counts["n"], tuple((t, f1) for t, (_, f1) in zip(left, found))))
+            ranked = sorted(range(len(left)), key=lambda j: (-found[j][1], j))
+            model = found[ranked[0]][0]
+            left = [left[j] for j in ranked[: max(1, math.ceil(len(left) * keep))]]
+        return model, history
+    finally:
+        train.unpersist()
+        val.unpersist()
+
+
 def softmax_columns(score_0: Column, score_1: Column) -> tuple[Column, Column]:
     """Predicted label (0 on ties) and its softmax probability, from two scores."""
     gap = F.abs(score_1 - score_0)

@@ -115,6 +115,40 @@ def test_search_takes_the_best_trial(spark):
     assert model.trial == next(t for t, s in scores if s == best) and best > 0.9
 
 
+def test_halving_finds_the_same_trial_with_fewer_rows(spark):
+    rng = np.random.default_rng(11)
+    points = rng.normal(size=(600, 2))
+    rows = [(f"k{i}", Vectors.dense(p), int(p @ p > 1.4)) for i, p in enumerate(points)]
+    df = spark.createDataFrame(rows, ["key", "features", "is_sarcastic"]).coalesce(1)
+    val, train = df.filter(F.crc32("key") % 4 == 0), df.filter(F.crc32("key") % 4 != 0)
+    trials = [svm.Trial("linear", 0.1, 1), svm.Trial("linear", 5.0, 1), svm.Trial("rbf", 5.0, 1)]
+    full, scores = svm.search(train, val, "key", trials, n_landmarks=12)
+    model, rounds = svm.halving_search(train, val, "key", trials, n_landmarks=12)
+    assert model.trial == full.trial == trials[2]
+    assert [len(r.scores) for r in rounds] == [3, 2, 1] and [r.share for r in rounds] == [0.25, 0.5, 1.0]
+    assert rounds[-1].scores[0][1] == pytest.approx(dict(scores)[trials[2]])
+    assert sum(r.row_passes for r in rounds) < train.count() * len(trials)
+
+
+def test_nested_samples(spark):
+    df = spark.range(4000).select(F.col("id").cast("string").alias("key"))
+    sets = [{r[0] for r in svm.nested_sample(df, s, "key", 3).collect()} for s in (0.1, 0.3, 1.0)]
+    assert sets[0] < sets[1] < sets[2] and len(sets[2]) == 4000
+    assert 300 < len(sets[0]) < 500 and 1050 < len(sets[1]) < 1350
+
+
+def test_halving_of_one_trial_and_of_a_table_of_one_class_at_first(spark):
+    rows = [(f"k{i}", Vectors.dense([float(i % 2), 1.0]), i % 2) for i in range(12)]
+    df = spark.createDataFrame(rows, ["key", "features", "is_sarcastic"]).coalesce(1)
+    model, rounds = svm.halving_search(df, df, "key", [svm.Trial("linear", 1.0, 1)])
+    assert len(rounds) == 1 and rounds[0].scores[0][1] == 1.0
+    many = [svm.Trial("linear", c, 1) for c in (1.0, 2.0)]
+    model, rounds = svm.halving_search(df, df, "key", many)
+    assert rounds[-1].share == 1.0 and model.trial in many
+    with pytest.raises(ValueError):
+        svm.halving_search(df, df, "key", [])
+
+
 def test_trials_are_repeatable():
     assert svm.draw_trials() == svm.draw_trials() and len(svm.draw_trials()) == 10
     for t in svm.draw_trials(50, 1):
