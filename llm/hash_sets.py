@@ -20,7 +20,7 @@ from llm.frames import stored
 from llm.words import pieces
 
 #: Rows of a map task's tables before it sends them on.
-HELD = 1_000_000
+HELD = 1_500_000
 #: Bytes of text for each shard, and most of a piece that is counted at a time.
 SHARD_BYTES, PIECE_BYTES = 16 << 20, 1 << 20
 
