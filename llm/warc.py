@@ -35,7 +35,11 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 def capture_key(url: Column, page: Column) -> Column:
     """Reversed-host key and page, in an order that strings keep; a null page comes first."""
     number = F.lpad((page.cast("decimal(20,0)") + F.lit("9223372036854775808").cast("decimal(20,0)")).cast("string"), 20, "0")
-    return F.concat(reversed_host_key(url), F.lit("\u0001"), F.coalesce(number, F.lit("")))
+    whole = F.concat(reversed_host_key(url), F.lit("\u0001"), F.coalesce(number, F.lit("")))
+    # Without the characters that separate entries, so that keys are sorted as they are searched for.
+    for character, escape in (("%", "%25"), ("\n", "%0A"), ("\t", "%09")):
+        whole = F.replace(whole, F.lit(character), F.lit(escape))
+    return whole
 
 
 def _name(page: int | None) -> str:
@@ -140,7 +144,7 @@ def write(pages: DataFrame, key: str = "page_id", url: str = "url", html: str =
                 if archive is None:
                     archive, index, index_place = _open(base + ".warc.gz", True), _open(base + ".cdx", True), 0
                 member = record(row["page"], row["url"], row["payload"], row["original"], row["revisit"])
-                name = _escaped(row["key"])
+                name = row["key"].encode()
                 lines.append(b"%s\t%d\t%d" % (name, place, len(member)))
                 archive.write(member)
                 place, count, first, last = place + len(member), count + 1, first or name, name
@@ -159,11 +163,6 @@ def write(pages: DataFrame, key: str = "page_id", url: str = "url", html: str =
     return stored(rows.select("page", "url", "payload", "original", "revisit", "key").mapInArrow(task, "archive string, first_key binary, last_key binary, records long"))
 
 
-def _escaped(key: str) -> bytes:
-    """The key without the characters that separate entries; keeps the order of all but keys with such characters."""
-    return key.encode().replace(b"%", b"%25").replace(b"\n", b"%0A").replace(b"\t", b"%09")
-
-
 class Archive:
     """One archive with its index."""
 
@@ -215,7 +214,7 @@ def look_up(wanted: DataFrame, manifest: DataFrame, key: str = "page_id", url: s
         for batch in batches:
             found: list[dict] = []
             size = 0
-            for name in map(_escaped, batch.column("key").to_pylist()):
+            for name in map(str.encode, batch.column("key").to_pylist()):
                 for n in range(bisect.bisect_left(lasts, name), bisect.bisect_right(firsts, name)):
                     for member in archive(parts[n][2]).find(name):
                         found.append({k: v for k, v in parsed(member).items() if k in names})

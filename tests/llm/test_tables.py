@@ -195,6 +195,15 @@ def brute_components(docs):
     return Counter((name, len(sets[i]), least[root(i)]) for i, (name, _) in enumerate(docs))
 
 
+def test_single_look_ups_of_odd_urls(spark):
+    urls_ = [f"http://h.example/a{x}" for x in ("\tx", "$x", " b", "!c", "\ny", "#z", "", "\tz", "%09x", "%", "\n", "%0A")]
+    pages = spark.createDataFrame([(i, u, f"page {i}") for i, u in enumerate(urls_)], "page_id long, url string, html string").coalesce(1)
+    manifest = warc.write(pages)
+    for i in range(len(urls_)):
+        found = warc.look_up(pages.filter(F.col("page_id") == i).select("page_id", "url"), manifest).collect()
+        assert [r.page_id for r in found] == [i], urls_[i]
+
+
 @pytest.mark.parametrize("chunk,large", [(8, 1 << 18), (8, 5), (4096, 1 << 18)])
 def test_near_duplicates_equal_brute_force(spark, monkeypatch, chunk, large):
     monkeypatch.setattr(near_dedup, "CHUNK", chunk)
