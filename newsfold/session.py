@@ -26,6 +26,14 @@ def reliable_checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def unused_name(name: str, taken: list[str]) -> str:
+    """The name, lengthened until no column has it."""
+    lower = {c.lower() for c in taken}
+    while name.lower() in lower:
+        name += "_"
+    return name
+
+
 def lookup_join(df: DataFrame, table: DataFrame, on: list[str], how: str = "left", salts: int = 32) -> DataFrame:
     """Equi join with a lookup table whose size is checked before it is broadcast.
 
@@ -35,9 +43,10 @@ def lookup_join(df: DataFrame, table: DataFrame, on: list[str], how: str = "left
     """
     if table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         return df.join(F.broadcast(table), on, how)
-    salted = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    spread = df.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(salts)).cast("int"))
-    return spread.join(salted, [*on, "_salt"], how).drop("_salt")
+    salt = unused_name("salt", [*df.columns, *table.columns])
+    salted = table.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    spread = df.withColumn(salt, F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(salts)).cast("int"))
+    return spread.join(salted, [*on, salt], how).drop(salt)
 
 
 def local_session(cpus: int | str = "*", name: str = "newsfold") -> SparkSession:

@@ -114,10 +114,41 @@ def test_lemmatize(spark):
 def test_lemmatize_with_a_large_table_gives_the_same(spark, monkeypatch):
     df = spark.createDataFrame([(i, "en", ["was", "x", "was"]) for i in range(50)], "id long, lang string, t array<string>")
     table = spark.createDataFrame([("en", "was", "n", "be"), ("en", "y", "n", "z")], "lang string, word string, pos string, lemma string")
-    small = {r["id"]: r["lemmas"] for r in tokens.lemmatize(df, ["id", "lang"], "t", table).collect()}
+
+
+    def found():
+        return {r["id"]: r["lemmas"] for r in tokens.lemmatize(df, ["id", "lang"], "t", table).collect()}
+
+    small = found()
+    monkeypatch.setattr(tokens, "DICTIONARY_ROWS", 1)  # the words that occur fit
+    fitting = found()
+    monkeypatch.setattr(tokens, "DICTIONARY_ROWS", 0)  # they don't
+    joined = found()
     monkeypatch.setattr("newsfold.session.BROADCAST_ROWS", 1)
-    large = {r["id"]: r["lemmas"] for r in tokens.lemmatize(df, ["id", "lang"], "t", table).collect()}
-    assert small == large == {i: ["be", "x", "be"] for i in range(50)}
+    assert small == fitting == joined == found() == {i: ["be", "x", "be"] for i in range(50)}
+
+
+def test_lemmatize_of_odd_rows(spark, monkeypatch):
+    """Null and empty arrays, null tokens, other lengths of tags, repeated rows and names that might clash."""
+    rows = [(1, "en", ["was", None, "is"], ["VBD"], "a"), (1, "en", ["was", None, "is"], ["VBD"], "a"), (2, None, ["was"], ["N", "V"], "b"), (3, "en", None, None, "c"), (4, "en", [], ["V"], "d"), (5, "en", ["is"], None, "e")]
+    df = spark.createDataFrame(rows, "row long, lang string, t array<string>, tags array<string>, lemma string")
+    table = spark.createDataFrame([("en", "was", "v", "be"), ("en", "is", "n", "be'\"\\"), (None, "was", "n", "no")], "lang string, word string, pos string, lemma string")
+    expected = [(1, "a", ["be", None, "be'\"\\"])] * 2 + [(2, "b", ["was"]), (3, "c", []), (4, "d", []), (5, "e", ["be'\"\\"])]
+
+    def found():
+        return sorted((r["row"], r["lemma"], r["lemmas"]) for r in tokens.lemmatize(df, ["row", "lang", "lemma"], "t", table, tags="tags").collect())
+
+    assert found() == expected
+    monkeypatch.setattr(tokens, "DICTIONARY_ROWS", 0)
+    assert found() == expected
+    assert tokens.lemmatize(df.limit(0), ["row", "lang"], "t", table).count() == 0
+
+
+def test_lemmatize_shuffles_no_tokens(spark):
+    df = spark.createDataFrame([(1, "en", ["was"])], "id long, lang string, t array<string>")
+    table = spark.createDataFrame([("en", "was", "n", "be")], "lang string, word string, pos string, lemma string")
+    plan = tokens.lemmatize(df, ["id", "lang"], "t", table)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan and "Generate" not in plan
 
 
 @pytest.mark.parametrize(
