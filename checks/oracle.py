@@ -13,6 +13,7 @@ from checks.queries import (
 )
 from checks.views import E_SQL, H_SQL, M_SQL
 from newsfold import fixed_values as V
+from newsfold.operators.features import max_features_for
 
 
 def quote(value: str) -> str:
@@ -125,6 +126,9 @@ SP AS (
 _runs = ", ".join(
     f"({quote(r.name)}, [{listed(r.langs)}], {str(r.held_out).lower()})" for r in RUNS
 )
+_numbered = ", ".join(f"({quote(r.name)}, {i}, {1 << i})" for i, r in enumerate(RUNS))
+NUMBERED_RUNS_SQL = f"BITS AS (SELECT * FROM (VALUES {_numbered}) AS v(run, i, bit))"
+_sizes = ", ".join(f"({quote(r.name)}, {max_features_for(r.langs)})" for r in RUNS)
 RUNS_SQL = f"RUNS AS (SELECT * FROM (VALUES {_runs}) AS v(run, langs, held_out))"
 GRID_SQL = f"""{H_SQL}, {RUNS_SQL},
 RH AS (SELECT run, held_out, list_contains(langs, lang) AS pool, H.* FROM RUNS, H
@@ -302,6 +306,21 @@ ORACLE = {
     "train_val_test": f"WITH {SPLIT_SQL} SELECT article_url, is_sarcastic, split FROM SP",
     "split_sizes": f"WITH {SPLIT_SQL} SELECT split, count(*) AS n FROM SP GROUP BY split",
     "experiment_grid": f"WITH {GRID_SQL}",
+    "split_masks": f"""WITH GRID AS (WITH {GRID_SQL}), {NUMBERED_RUNS_SQL}
+        SELECT article_url, {", ".join(f"CAST(sum(CASE WHEN split = '{s}' THEN bit ELSE 0 END) AS BIGINT) AS {s}_of" for s in ("train", "val", "test"))}
+        FROM GRID JOIN BITS USING (run) GROUP BY article_url""",
+    "run_label_counts": f"""WITH GRID AS (WITH {GRID_SQL}), {H_SQL}
+        SELECT run, split, is_sarcastic, count(*) AS n FROM GRID JOIN H USING (article_url) GROUP BY ALL""",
+    "run_vocabularies": f"""WITH GRID AS (WITH {GRID_SQL}), {TERMS_SQL},
+        RC AS (SELECT run, term, CAST(sum(tf) AS BIGINT) AS n, count(*) AS docs
+               FROM GRID JOIN DT USING (article_url) WHERE split = 'train' GROUP BY ALL),
+        SIZES AS (SELECT * FROM (VALUES {_sizes}) AS v(run, size))
+        SELECT run, term, n, docs FROM RC JOIN SIZES USING (run)
+        QUALIFY row_number() OVER (PARTITION BY run ORDER BY n DESC, term) <= size""",
+    "run_transfer": f"""WITH GRID AS (WITH {GRID_SQL}), {NUMBERED_RUNS_SQL}, {H_SQL},
+        MR AS (SELECT run, lang, is_sarcastic AS y_true, CAST((title_length + i) % 2 AS INTEGER) AS y_pred
+               FROM GRID JOIN BITS USING (run) JOIN H USING (article_url) WHERE split = 'test' AND is_sarcastic IS NOT NULL),
+        {macro('MR', ('run', 'lang'), 1.0)} SELECT run, lang, {SCORES} FROM MAC""",
     "term_counts": f"WITH {TERMS_SQL} SELECT term, n, docs FROM TC",
     "vocabulary": f"WITH {TERMS_SQL} SELECT term, n FROM VOC",
     "tfidf": f"""WITH {TERMS_SQL}, N AS (SELECT count(*) AS total FROM H),

@@ -14,7 +14,7 @@ from checks.views import (
 )
 from newsfold.functions import html, labels, text
 from newsfold.operators import abbreviations, crawl, domains, features, kernels, metrics, reports, rows, split, svm, tokens
-from newsfold.plans import dataset, experiments
+from newsfold.plans import dataset, experiments, run_masks
 
 QUERIES = {}
 
@@ -354,6 +354,34 @@ def experiment_grid(spark, sf_dir):
     return experiments.experiment_grid(h, RUNS).select("run", "article_url", "split")
 
 
+def _masked(spark, sf_dir):
+    h = headlines(spark, sf_dir).select("article_url", "article_title", "is_sarcastic", "lang")
+    return run_masks.split_masks(h, RUNS)
+
+
+@query
+def split_masks(spark, sf_dir):
+    return _masked(spark, sf_dir).select("article_url", run_masks.TRAIN, run_masks.VAL, run_masks.TEST)
+
+
+@query
+def run_label_counts(spark, sf_dir):
+    return run_masks.label_counts_by_run(_masked(spark, sf_dir), RUNS)
+
+
+@query
+def run_vocabularies(spark, sf_dir):
+    return run_masks.vocabularies(_masked(spark, sf_dir), RUNS)
+
+
+@query
+def run_transfer(spark, sf_dir):
+    """Given predictions: runs with an even number flag titles of odd length, the others those of even length."""
+    given = [F.shiftleft(((F.length("article_title") + i) % 2).cast("long"), i) for i in range(len(RUNS))]
+    masked = _masked(spark, sf_dir).withColumn("predicted_of", sum(given[1:], given[0]))
+    return _rounded(run_masks.transfer_of_runs(masked, RUNS, 1.0), ["run", "lang"])
+
+
 # Features, models, scoring
 
 @query

@@ -12,8 +12,8 @@ from newsfold import fixed_values as V
 from newsfold.functions.text import terms
 
 
-def term_counts(df: DataFrame, text: str = "article_title") -> DataFrame:
-    """Occurrences (``n``) and documents (``docs``) of each term.
+def term_counts(df: DataFrame, text: str = "article_title", by: Sequence[str] = ()) -> DataFrame:
+    """Occurrences (``n``) and documents (``docs``) of each term (for each value of ``by``).
 
     Both come from one pass: a document sends each occurrence once and each
     distinct term once. Hot terms are summed per task before the shuffle.
@@ -25,8 +25,8 @@ def term_counts(df: DataFrame, text: str = "article_title") -> DataFrame:
             F.array_distinct(found), lambda t: F.struct(t.alias("term"), F.lit(0).alias("n"), F.lit(1).alias("docs"))
         ),
     )
-    rows = df.select(terms(F.col(text)).alias("_terms")).select(F.inline(events))
-    return rows.groupBy("term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    rows = df.select(*by, terms(F.col(text)).alias("_terms")).select(*by, F.inline(events))
+    return rows.groupBy(*by, "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
 def vocabulary(df: DataFrame, max_features: int, text: str = "article_title") -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from newsfold.session import reliable_checkpoint
+from newsfold.session import reliable_checkpoint, unused_name
 
 # Digits of a step: 16**4 counters for each limit. Digits of the key's hash, and of the whole code.
 STEP, KEY, CODE = 4, 32, 64
@@ -61,9 +61,52 @@ def mark_smallest(
     and may repeat, once per group. Counting then runs before the rows multiply.
     """
     groups, on = list(groups), list(on)
-    whole = F.concat(order, row_digest(df))
+    fields, quotas, limits = find_limits(df, groups, quotas, order, lookup, on)
     rows = df if lookup is None else df.join(F.broadcast(lookup), on)
-    fields = [T.StructField(c, rows.schema[c].dataType) for c in groups]
+    whole = F.concat(order, row_digest(df))
+    limit_type = T.StructType([T.StructField("upto", T.StringType()), T.StructField("copies", T.LongType())])
+    needs_row = any(len(upto) > KEY for upto, _ in limits.values())
+    placed = rows.withColumn("_code", whole if needs_row else order)
+    if groups:
+        table = df.sparkSession.createDataFrame(
+            [(*g, [limits[g, cut] for cut in range(len(sizes))]) for g, sizes in quotas.items()],
+            T.StructType([*fields, T.StructField("_limits", T.ArrayType(limit_type))]),
+        )
+        match = [placed[c].eqNullSafe(table[c]) for c in groups]
+        placed = placed.join(F.broadcast(table), match, "left").select(*[placed[c] for c in placed.columns], "_limits")
+    else:
+        cells = [F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(x, limit_type)]) for x in limits.values()]
+        placed = placed.withColumn("_limits", F.array(*cells))
+    width = max((len(sizes) for sizes in quotas.values()), default=0)
+    if all(copies is None for _, copies in limits.values()):
+        return placed.withColumn(out, _part(width)).drop("_code", "_limits")
+
+    # A limit falls among full copies of one row, so these copies need numbers.
+    # They stay in their partitions; only counts per partition are summed up.
+    on_copies = F.exists("_limits", lambda x: x["copies"].isNotNull() & (x["upto"] == F.col("_code")))
+    is_copy = F.coalesce(on_copies, F.lit(False))
+    numbered = copy_numbers(placed.filter(is_copy), [*groups, "_code"], "_copy")
+    marked = numbered.withColumn(out, _part(width, F.col("_copy"))).drop("_copy")
+    rest = placed.filter(~is_copy).withColumn(out, _part(width))
+    return rest.unionByName(marked).drop("_code", "_limits")
+
+
+def find_limits(
+    df: DataFrame,
+    groups: Sequence[str],
+    quotas: Quotas | Callable[[Mapping[tuple, int]], Quotas],
+    order: Column,
+    lookup: DataFrame | None = None,
+    on: Sequence[str] = (),
+) -> tuple[list[T.StructField], Quotas, dict]:
+    """Fields of the groups, their quotas, and for each (group, number of the quota) the last code inside.
+
+    A code is told by its first digits; if full copies of the row stand there, also by how many of these are inside.
+    """
+    groups, on = list(groups), list(on)
+    whole = F.concat(order, row_digest(df))
+    types = {f.name: f.dataType for f in [*df.schema.fields, *(lookup.schema.fields if lookup is not None else [])]}
+    fields = [T.StructField(c, types[c]) for c in groups]
 
     def digits(n: int) -> Column:
         return F.substring(order if n <= KEY else whole, 1, n)
@@ -89,33 +132,7 @@ def mark_smallest(
         limits = _limits(df, quotas, fields, order, first, counted)
     finally:
         first.unpersist()
-
-    limit_type = T.StructType([T.StructField("upto", T.StringType()), T.StructField("copies", T.LongType())])
-    needs_row = any(len(upto) > KEY for upto, _ in limits.values())
-    placed = rows.withColumn("_code", whole if needs_row else order)
-    if groups:
-        table = df.sparkSession.createDataFrame(
-            [(*g, [limits[g, cut] for cut in range(len(sizes))]) for g, sizes in quotas.items()],
-            T.StructType([*fields, T.StructField("_limits", T.ArrayType(limit_type))]),
-        )
-        match = [placed[c].eqNullSafe(table[c]) for c in groups]
-        placed = placed.join(F.broadcast(table), match, "left").select(*[placed[c] for c in placed.columns], "_limits")
-    else:
-        cells = [F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(x, limit_type)]) for x in limits.values()]
-        placed = placed.withColumn("_limits", F.array(*cells))
-    width = max((len(sizes) for sizes in quotas.values()), default=0)
-    if all(copies is None for _, copies in limits.values()):
-        return placed.withColumn(out, _part(width)).drop("_code", "_limits")
-
-    # A limit falls among full copies of one row, so these copies need numbers.
-    # They stay in their partitions; only counts per partition are summed up.
-    on_copies = F.exists("_limits", lambda x: x["copies"].isNotNull() & (x["upto"] == F.col("_code")))
-    is_copy = F.coalesce(on_copies, F.lit(False))
-    copies = reliable_checkpoint(placed.filter(is_copy).withColumn("_slice", F.spark_partition_id()))
-    numbered = _number_copies(copies, [*groups, "_code"])
-    marked = numbered.withColumn(out, _part(width, F.col("_copy"))).drop("_copy")
-    rest = placed.filter(~is_copy).withColumn(out, _part(width))
-    return rest.unionByName(marked).drop("_code", "_limits")
+    return fields, quotas, limits
 
 
 def _limits(df: DataFrame, quotas: Quotas, fields: list, order: Column, first: DataFrame, counted: Callable) -> dict:
@@ -199,15 +216,16 @@ def _part(width: int, copy: Column | None = None) -> Column:
     return F.when(F.col("_limits").isNotNull(), part).cast("int")
 
 
-def _number_copies(copies: DataFrame, groups: list[str]) -> DataFrame:
-    """Number the rows of each group 1..n without bringing a group into one task."""
-    keys = [*groups, "_slice"]
-    counts = copies.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    ahead = Window.partitionBy(*groups).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(
-        *[F.col(c).alias(f"_of{c}") for c in keys], F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_ahead")
-    )
-    match = [F.col(c).eqNullSafe(F.col(f"_of{c}")) for c in keys]
-    joined = copies.join(F.broadcast(offsets), match).drop(*[f"_of{c}" for c in keys])
-    local = Window.partitionBy(*keys).orderBy("_code")
-    return joined.withColumn("_copy", F.col("_ahead") + F.row_number().over(local)).drop("_ahead", "_slice")
+def copy_numbers(copies: DataFrame, groups: list[str], out: str) -> DataFrame:
+    """Add ``out``: the rows of each group numbered 1..n, without bringing a group into one task. The rows are written once."""
+    part, n, ahead = (unused_name(c, copies.columns) for c in ("slice", "slice_rows", "slice_ahead"))
+    written = reliable_checkpoint(copies.withColumn(part, F.spark_partition_id()))
+    keys = [*groups, part]
+    counts = written.groupBy(*keys).agg(F.count(F.lit(1)).alias(n))
+    before = Window.partitionBy(*groups).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    named = {c: unused_name(f"of_{c}", copies.columns) for c in keys}
+    offsets = counts.select(*[F.col(c).alias(named[c]) for c in keys], F.coalesce(F.sum(n).over(before), F.lit(0)).alias(ahead))
+    match = [F.col(c).eqNullSafe(F.col(named[c])) for c in keys]
+    joined = written.join(F.broadcast(offsets), match).drop(*named.values())
+    local = Window.partitionBy(*keys).orderBy(groups[-1])
+    return joined.withColumn(out, F.col(ahead) + F.row_number().over(local)).drop(ahead, part)

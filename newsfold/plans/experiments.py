@@ -53,26 +53,15 @@ def standard_runs() -> list[Run]:
     return runs
 
 
-def experiment_grid(
-    df: DataFrame,
-    runs: Sequence[Run],
-    key: str = "article_url",
-    label: str = "is_sarcastic",
-    fraction: float = V.HOLDOUT_FRACTION,
-    seed: int = V.SEED,
-) -> DataFrame:
-    """Rows of every run with their ``run`` and ``split``; a row may be in many runs.
-
-    The rows are counted by language and label before they are repeated per run,
-    and all runs share one hash order, so the grid costs little more than one split.
-    Rows without a language are in no run.
-    """
+def grid_quotas(
+    df: DataFrame, runs: Sequence[Run], label: str = "is_sarcastic", fraction: float = V.HOLDOUT_FRACTION
+) -> tuple[dict, list, dict]:
+    """Rows by language and label, the (run, language, is it trained on) of all runs, and the quotas of (run, True, label)."""
     counts = defaultdict(lambda: defaultdict(int))
     known = {}
     for row in label_counts_by(df.filter(F.col("lang").isNotNull()), ["lang", label]):
         known.setdefault(row["lang"], {})[row[label]] = row["n"]
-    members = []
-    quotas = {}
+    members, quotas = [], {}
     for run in runs:
         for lang, by_label in known.items():
             inside = lang in run.langs
@@ -86,6 +75,24 @@ def experiment_grid(
             quotas.update({(run.name, True, v): [0, n] for v, n in class_quotas(pool, fraction).items()})
         else:
             quotas.update({(run.name, True, v): q for v, q in train_val_test_quotas(pool, fraction).items()})
+    return known, members, quotas
+
+
+def experiment_grid(
+    df: DataFrame,
+    runs: Sequence[Run],
+    key: str = "article_url",
+    label: str = "is_sarcastic",
+    fraction: float = V.HOLDOUT_FRACTION,
+    seed: int = V.SEED,
+) -> DataFrame:
+    """Rows of every run with their ``run`` and ``split``; a row may be in many runs.
+
+    The rows are counted by language and label before they are repeated per run,
+    and all runs share one hash order, so the grid costs little more than one split.
+    Rows without a language are in no run.
+    """
+    _, members, quotas = grid_quotas(df, runs, label, fraction)
     table = df.sparkSession.createDataFrame(members, "run string, lang string, _pool boolean")
     marked = mark_smallest(df, ["run", "_pool", label], quotas, hash_order(seed, key), "_part", table, ["lang"])
     names = F.get(F.array(F.lit("test"), F.lit("val"), F.lit("train")), F.col("_part"))
