@@ -231,6 +231,8 @@ ORACLE = {
     "length_band": f"WITH {H_SQL} SELECT article_url, title_length FROM H WHERE title_length > 45 AND title_length < 185",
     "dedup_by_url": f"""WITH {H_SQL} SELECT article_title, article_url, lang FROM H
         QUALIFY row_number() OVER (PARTITION BY article_title ORDER BY article_url) = 1""",
+    "incremental_dedup": f"""WITH {H_SQL} SELECT article_title, article_url, lang FROM H
+        QUALIFY row_number() OVER (PARTITION BY article_title ORDER BY article_url) = 1""",
     "sample_n": f"WITH {H_SQL} SELECT article_url, is_sarcastic FROM H ORDER BY {ORDER} LIMIT 50",
     "union_sources": f"WITH {H_SQL} SELECT article_url, lang, is_sarcastic FROM H",
     "strip_site_suffix": f"""WITH {H_SQL} SELECT article_url,

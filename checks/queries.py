@@ -1,5 +1,7 @@
 """One Spark query per operator, over whole test tables."""
 
+import uuid
+
 import numpy as np
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
@@ -14,7 +16,8 @@ from checks.views import (
 )
 from newsfold.functions import html, labels, text
 from newsfold.operators import abbreviations, crawl, domains, features, kernels, metrics, reports, rows, split, svm, tokens
-from newsfold.plans import dataset, experiments, run_masks
+from newsfold.plans import dataset, experiments, headline_table, run_masks
+from newsfold.session import checkpoint_folder
 
 QUERIES = {}
 
@@ -146,6 +149,18 @@ def dedup_by_url(spark, sf_dir):
     return rows.dedup_by(h, "article_title", ["article_url"])
 
 
+@query
+def incremental_dedup(spark, sf_dir):
+    """Three batches, one of them twice, merged into a table of their own; what is kept is that of one dedup of all."""
+    h = headlines(spark, sf_dir).select("article_title", "article_url", "lang")
+    path = f"{checkpoint_folder(spark)}/headlines-{uuid.uuid4().hex}"
+    headline_table.create(spark, path, h.schema, "article_title", ["article_url"])
+    for langs in (["fr", "es"], ["en"], ["fr", "es"], ["de"]):
+        headline_table.merge(h.filter(F.col("lang").isin(langs)), path)
+    headline_table.merge(h.filter(~F.col("lang").isin("en", "fr", "de", "es") | F.col("lang").isNull()), path)
+    return headline_table.read(spark, path)
+
+
 @query
 def sample_n(spark, sf_dir):
     return rows.sample_n(headlines(spark, sf_dir), 50, "article_url").select("article_url", "is_sarcastic")

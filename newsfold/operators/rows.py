@@ -34,12 +34,21 @@ def dedup_by(df: DataFrame, key: str, order: Sequence[str], title: str = "articl
     A row whose title was not fetched never replaces one with a title, whatever the order. Null keys form one group. A
     partial minimum runs before the shuffle, so a key with many copies sends one row per task.
     """
-    rest = [c for c in df.columns if c != key and c not in order]
-    ranked = [c for c in order if c != key] + rest
-    no_title = [F.col(title).isNull().alias("no_title")] if title in df.columns and title != key else []
-    places = [F.struct(F.col(c).isNull().alias("missing"), F.col(c).alias("value")).alias(c) for c in ranked]
-    first = df.groupBy(key).agg(F.min(F.struct(*no_title, *places)).alias("_first"))
-    return first.select(*[F.col(key) if c == key else F.col("_first")[c]["value"].alias(c) for c in df.columns])
+    first = df.groupBy(key).agg(F.min(dedup_place(df.columns, key, order, title)).alias("_first"))
+    return first.select(*dedup_columns(df.columns, key, "_first"))
+
+
+def dedup_place(columns: Sequence[str], key: str, order: Sequence[str], title: str = "article_title") -> Column:
+    """What decides between rows of a key: the smallest is kept. It holds all columns but the key."""
+    ranked = [c for c in order if c != key] + [c for c in columns if c != key and c not in order]
+    no_title = [F.col(title).isNull().alias("no_title")] if title in columns and title != key else []
+    places = [F.struct(F.col(c).isNull().alias("missing"), F.col(c).alias("value")).alias(f"of_{c}") for c in ranked]
+    return F.struct(F.lit(0).alias("row"), *no_title, *places)
+
+
+def dedup_columns(columns: Sequence[str], key: str, place: str) -> list[Column]:
+    """The columns again, from the key and the place."""
+    return [F.col(key) if c == key else F.col(place)[f"of_{c}"]["value"].alias(c) for c in columns]
 
 
 def sample_n(df: DataFrame, n: int, key: str | Sequence[str], seed: int = V.SEED) -> DataFrame:

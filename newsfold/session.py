@@ -9,12 +9,11 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 200_000
 
 
-def reliable_checkpoint(df: DataFrame) -> DataFrame:
-    """Checkpoint into the folder named by ``spark.checkpoint.dir``.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder that all executors share, named by ``spark.checkpoint.dir``.
 
     Only a local session without that setting gets a folder of its own.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -23,6 +22,12 @@ def reliable_checkpoint(df: DataFrame) -> DataFrame:
                 raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
             folder = tempfile.mkdtemp(prefix="newsfold-checkpoint-")
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def reliable_checkpoint(df: DataFrame) -> DataFrame:
+    """Checkpoint into the shared folder."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint()
 
 
