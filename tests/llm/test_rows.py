@@ -143,23 +143,53 @@ def test_automaton_holds_all_substrings():
         assert (state is not None) == (word in own)
 
 
-def test_phrases_are_longest_matches():
-    model = language_id.build({"x": ["abcabcd bca"], "y": ["dddd aaaa"]})
-    texts = ["abcdabc", "ddaa", "zz", "", "abc" * 400]
-    count, sizes, has_letter = language_id.phrases(model, pa.array(texts), block=50)
-    for language, sample in enumerate(("abcabcd bca", "dddd aaaa")):
-        for row, text in enumerate(texts):
-            n = 0
-            for low in range(0, len(text), 50):
-                block, at = text[low : low + 50], 0
-                while at < len(block):
-                    end = at + 1
-                    while end < len(block) and block[at : end + 1] in sample:
-                        end += 1
-                    n, at = n + 1, end
-            # A character that no sample has begins a phrase each time.
-            assert abs(count[row, language] - n) <= (len(text) if "z" in text else 0)
-    assert has_letter.tolist() == [True, True, True, False, True]
+def brute_phrases(text, sample):
+    """Phrases of a greedy parse of the whole text."""
+    n = at = 0
+    while at < len(text):
+        end = at + 1
+        while end < len(text) and text[at : end + 1] in sample:
+            end += 1
+        n, at = n + 1, end
+    return n
+
+
+@pytest.mark.parametrize("block", [1, 7, 50, 512])
+def test_phrases_are_longest_matches(block):
+    rng = random.Random(block)
+    samples = {"x": "abcabcd bca" * 3, "y": "dddd aaaa " + "".join(rng.choices("abcd ", k=300)).replace("  ", " "), "z": "".join(rng.choices("ab", k=900))}
+    samples = {k: " ".join(v.split()) for k, v in samples.items()}
+    model = language_id.build({k: [v] for k, v in samples.items()})
+    texts = ["abcdabc", "ddaa", "zz", "", "abc" * 400, samples["z"] * 2, samples["z"][100:800], "a b" * 300, "éa" * 100, "q" + samples["y"] + "q"]
+    texts += [" ".join("".join(rng.choices("abcdz ", k=rng.choice([3, 60, 700, 3000]))).split()) for _ in range(30)]
+    count, sizes, has_letter = language_id.phrases(model, pa.array([*texts, None]), block=block)
+    for language, sample in enumerate(samples.values()):
+        assert count[:, language].tolist() == [brute_phrases(t, sample) for t in texts] + [0]
+    assert sizes.tolist() == [len(t) for t in texts] + [0]
+    assert has_letter.tolist() == [bool(t) for t in texts] + [False]
+
+
+def test_languages_of_eight_scripts(spark):
+    rng = random.Random(8)
+    firsts = {"el": 0x3B1, "ru": 0x430, "hy": 0x561, "he": 0x5D0, "ar": 0x627, "hi": 0x915, "th": 0xE01, "am": 0x1200, "zh": 0x4E00, "ja": 0x3042}
+    spans = {"am": 250, "zh": 3000, "ja": 80}
+
+    def text(lang, words):
+        span = spans.get(lang, 24)
+        letters = [chr(firsts[lang] + i) for i in range(span) if chr(firsts[lang] + i).isalpha()]
+        return " ".join("".join(rng.choices(letters, weights=[1 / (i + 3) for i in range(len(letters))], k=rng.randrange(2, 8))) for _ in range(words))
+
+    learn = [(i, text(lang, 400), lang) for i, lang in enumerate(list(firsts) * 12)]
+    told = [(i, text(lang, 25), lang) for i, lang in enumerate(list(firsts) * 20)]
+    model = language_id.train(spark.createDataFrame(learn, DOCS))
+    found = language_id.identify(spark.createDataFrame(told, DOCS), model).collect()
+    right = {lang: sum(r.lang_pred == lang for r in found if r.lang == lang) for lang in firsts}
+    assert min(right.values()) >= 19, right
+
+
+def test_equal_shares_of_a_sample():
+    assert language_id._equal_shares(["a" * 10, "b" * 100, "c" * 100], 70) == "a" * 10 + " " + "b" * 30 + " " + "c" * 30
+    assert language_id._equal_shares(["ab", ""], 70) == "ab " and language_id._equal_shares([], 9) == ""
 
 
 def test_language_of_held_out_documents(spark):
