@@ -33,7 +33,7 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> Co
     A rule fits its host and all subdomains if the path starts with the rule's. Ties go to the first in the list.
     """
     out = F.lit(None).cast("struct<rule:string,verdict:string>")
-    for rule_host, rule_path, verdict in sorted(rules, key=lambda r: len(r[0] + r[1])):
+    for rule_host, rule_path, verdict in sorted(reversed(rules), key=lambda r: len(r[0] + r[1])):
         fits = ((host == rule_host) | host.endswith("." + rule_host)) & path.startswith(rule_path)
         out = F.when(fits, F.struct(F.lit(rule_host + rule_path).alias("rule"), F.lit(verdict).alias("verdict"))).otherwise(out)
     return out
