@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from llm import byte_bpe, collocations, decontamination, divergence, language_id, lm_scoring, near_dedup, packing, pii, sharding, topk, url_filter, warc
 from llm.digests import sha256, span_text
+from llm.frames import shared_folder
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -19,7 +20,11 @@ def op1_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.shard(_read(spark, sf_dir, "documents").select("doc_id", "text"), carry=["doc_id"])
+    """Writes the shards and tells what lies in them, read back."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    path = shared_folder(spark)
+    sharding.write_shards(sharding.shard(docs), path)
+    return sharding.read_shards(spark, path, docs.schema).drop("text")
 
 
 #: Host, path, verdict.

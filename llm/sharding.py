@@ -9,11 +9,12 @@ Rows with equal keys have equal hashes, and no bit parts them. A bucket at the l
 overflow shards: its rows are numbered off into chunks by a hash of their other columns.
 """
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from llm.frames import BROADCAST_ROWS, column, stored
+from llm.frames import BROADCAST_ROWS, column, stored, unused_name
 
 LIMIT = 1 << 20
 #: Bits decided at once, and bits of a hash.
@@ -86,17 +87,18 @@ def shard(docs: DataFrame, key: str = "doc_id", text: str = "text", limit: int =
     new = ("shard", "depth", "n_bytes", "shard_bytes")
     kept = [c for c in (docs.columns if carry is None else carry) if c.lower() not in new]
     size = F.coalesce(F.octet_length(column(text)), F.lit(0)).cast("long")
-    rows = docs.select(*[column(c) for c in kept], F.substring(hash_bits(column(key)), 1, bits).alias("_bits"), size.alias("n_bytes"))
-    levels = directory(rows.select(F.col("_bits").alias("bits"), F.col("n_bytes").alias("bytes")), limit, bits=bits)
+    own, prefix, bucket, found = (unused_name(c, kept) for c in ("bits_of_key", "bits_prefix", "bits_bucket", "bits_bytes"))
+    rows = docs.select(*[column(c) for c in kept], F.substring(hash_bits(column(key)), 1, bits).alias(own), size.alias("n_bytes"))
+    levels = directory(rows.select(F.col(own).alias("bits"), F.col("n_bytes").alias("bytes")), limit, bits=bits)
     rows = rows.withColumn("shard", F.lit(None).cast("string")).withColumn("shard_bytes", F.lit(0).cast("long"))
     for depth, entries in levels:
-        named = entries.select(F.col("prefix").alias("_prefix"), F.col("bucket").alias("_bucket"), F.col("bucket_bytes").alias("_bytes"))
-        rows = rows.withColumn("_prefix", F.substring("_bits", 1, depth)).join(_small(named), "_prefix", "left")
-        rows = rows.withColumn("shard", F.coalesce("_bucket", "shard")).withColumn("shard_bytes", F.coalesce("_bytes", "shard_bytes")).drop("_prefix", "_bucket", "_bytes")
-    rows = rows.withColumn("depth", F.length("shard").cast("int")).drop("_bits")
+        named = entries.select(F.col("prefix").alias(prefix), F.col("bucket").alias(bucket), F.col("bucket_bytes").alias(found))
+        rows = rows.withColumn(prefix, F.substring(own, 1, depth)).join(_small(named), prefix, "left")
+        rows = rows.withColumn("shard", F.coalesce(bucket, "shard")).withColumn("shard_bytes", F.coalesce(found, "shard_bytes")).drop(prefix, bucket, found)
+    rows = rows.withColumn("depth", F.length("shard").cast("int")).drop(own)
     if levels and levels[-1][0] == bits and not levels[-1][1].filter("open").isEmpty():
         return _overflow(rows, kept, limit, bits)
-    return rows.select(*kept, *new)
+    return rows.select(*[column(c) for c in kept], *new)
 
 
 def _overflow(rows: DataFrame, kept: list[str], limit: int, bits: int) -> DataFrame:
@@ -107,19 +109,40 @@ def _overflow(rows: DataFrame, kept: list[str], limit: int, bits: int) -> DataFr
     new = ("shard", "depth", "n_bytes", "shard_bytes")
     full = (F.col("depth") == bits) & (F.col("shard_bytes") > limit)
     # Chunk numbers are per part, so that a part's rows fill their own chunks.
-    parts = stored(rows.filter(full).withColumn("_part", F.spark_partition_id()))
-    lying = parts.withColumn("_row", F.monotonically_increasing_id())
-    order = Window.partitionBy("shard", "_part").orderBy("_row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    running = lying.withColumn("_running", F.sum("n_bytes").over(order))
+    names = [column(c) for c in kept]
+    part, row, upto = (unused_name(c, kept) for c in ("part_of_row", "row_of_part", "upto_row"))
+    parts = stored(rows.filter(full).withColumn(part, F.spark_partition_id()))
+    lying = parts.withColumn(row, F.monotonically_increasing_id())
+    order = Window.partitionBy("shard", part).orderBy(row).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    running = lying.withColumn(upto, F.sum("n_bytes").over(order))
     # A chunk is what ends in the same half limit; with one row of up to half the limit more it still fits.
     half = max(1, limit // 2)
     large = F.col("n_bytes") > half
-    chunk = F.concat_ws("-", "shard", F.col("_part").cast("string"), F.when(large, F.concat(F.lit("r"), F.col("_row").cast("string"))).otherwise(F.floor((F.col("_running") - F.col("n_bytes")) / half).cast("string")))
-    chunked = stored(running.withColumn("shard", chunk).select(*kept, "shard", "depth", "n_bytes"))
+    chunk = F.concat_ws("-", "shard", F.col(part).cast("string"), F.when(large, F.concat(F.lit("r"), F.col(row).cast("string"))).otherwise(F.floor((F.col(upto) - F.col("n_bytes")) / half).cast("string")))
+    chunked = stored(running.withColumn("shard", chunk).select(*names, "shard", "depth", "n_bytes"))
     sizes = chunked.groupBy("shard").agg(F.sum("n_bytes").alias("shard_bytes"))
-    return rows.filter(~full).select(*kept, *new).unionByName(chunked.join(sizes, "shard").select(*kept, *new))
+    return rows.filter(~full).select(*names, *new).unionByName(chunked.join(sizes, "shard").select(*names, *new))
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:
-    """The shards as Parquet folders ``shard=...``; rows of a shard are brought together and written by one task each."""
+    """The shards as Parquet folders ``shard=...``; rows of a shard are brought together and written by one task each.
+
+    What comes together is at most the byte limit of a shard, or one longer row.
+    """
     sharded.repartition("shard").sortWithinPartitions("shard").write.partitionBy("shard").mode("overwrite").parquet(path)
+
+
+def read_shards(spark: SparkSession, path: str, schema: T.StructType, text: str = "text") -> DataFrame:
+    """Rows of written shards: the columns of ``schema`` (those of the written rows but ``shard``), and ``shard``.
+
+    ``depth``, ``n_bytes`` and ``shard_bytes`` are found anew: from the folder's name, the text as read, and all the rows
+    of the folder. The names of the root and of its overflow shards have no bits.
+    """
+    found = ("shard", "depth", "n_bytes", "shard_bytes")
+    kept = [f for f in schema.fields if f.name.lower() not in found]
+    rows = spark.read.schema(T.StructType([*kept, T.StructField("shard", T.StringType())])).parquet(path)
+    size = F.coalesce(F.octet_length(column(text)), F.lit(0)).cast("long")
+    rows = rows.withColumn("shard", F.coalesce("shard", F.lit(""))).withColumn("n_bytes", size)
+    sizes = rows.groupBy("shard").agg(F.sum("n_bytes").alias("shard_bytes"))
+    depth = F.length(F.substring_index("shard", "-", 1)).cast("int")
+    return rows.join(_small(sizes), "shard").withColumn("depth", depth).select(*[column(f.name) for f in kept], *found)

@@ -83,6 +83,25 @@ def test_equal_keys_overflow(spark):
     assert sharding.shard(df.limit(0)).count() == 0
 
 
+def test_written_shards_hold_what_they_say(spark, tmp_path):
+    """The byte limit of the files themselves, all rows back, null and empty texts, clashing names, the root alone."""
+    docs = [(i % 40, None if i % 9 == 0 else "" if i % 10 == 0 else "té" * (i % 70)) for i in range(400)] + [(7, "w" * 90)] * 60 + [(None, None), (90, "z" * 900)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").withColumns({c: F.lit("clash") for c in ("bits_of_key", "part_of_row", "Depth", "_row")})
+    for limit in (700, 10**9):
+        path = str(tmp_path / str(limit))
+        sharding.write_shards(sharding.shard(df, limit=limit, bits=10), path)
+        rows = sharding.read_shards(spark, path, df.schema).collect()
+        assert Counter((r.doc_id, r.text) for r in rows) == Counter(docs)
+        sizes = Counter()
+        for r in rows:
+            assert r.n_bytes == len((r.text or "").encode()) and (r.bits_of_key, r.part_of_row, r._row) == ("clash",) * 3
+            sizes[r.shard] += r.n_bytes
+        assert all(r.shard_bytes == sizes[r.shard] and r.depth == len(r.shard.split("-")[0]) for r in rows)
+        assert all(n <= limit or n == 900 for n in sizes.values()) and (len(sizes) > 40 if limit == 700 else list(sizes) == [""])
+    labels = sharding.shard(df, limit=700, bits=10).groupBy("shard").agg(F.sum("n_bytes").alias("n")).collect()
+    assert sum(r.n for r in labels) == sum(len((t or "").encode()) for _, t in docs)
+
+
 def test_url_parts(spark):
     cases = [None, "", "no scheme/x", "http://A.net", "HTTP://a.b/c?d://e", "x://h?q/r", "x://H#f/", "http://u@h:80/p/", "://a/b"]
     got = spark.createDataFrame([(c,) for c in cases], "url string").select(urls.host(F.col("url")), urls.path(F.col("url"))).collect()
@@ -90,6 +109,73 @@ def test_url_parts(spark):
     assert [tuple(r) for r in got] == want
 
 
+def plain_templates(pages, apart=3.0, least=20, smoothing=10.0):
+    """The tree of ``url_filter.templates`` with dictionaries: (host, segments) to template and share."""
+    leaves = defaultdict(lambda: [0, 0])
+    for host, parts, bad in pages:
+        leaves[host, tuple(parts)][0] += bad is not None
+        leaves[host, tuple(parts)][1] += bad or 0
+    total = (sum(b for _, b in leaves.values()) + 0.5) / (sum(n for n, _ in leaves.values()) + 1)
+    template, share = dict.fromkeys(leaves, ""), dict.fromkeys(leaves, total)
+    deepest = max(len(parts) for _, parts in leaves)
+    for level in range(max(url_filter.ROUNDS, deepest) + 1):
+        active = [x for x in leaves if level <= url_filter.ROUNDS or len(x[1]) >= level - 1]
+        if level:
+            part = {x: x[1][level - 1] if len(x[1]) >= level else None for x in active}
+            branch, node = defaultdict(lambda: [0, 0]), defaultdict(lambda: [0, 0])
+            for x in active:
+                for group in (branch[x[0], template[x], part[x]], node[x[0], template[x]]):
+                    group[0] += leaves[x][0]
+                    group[1] += leaves[x][1]
+            for x in active:
+                (n, b), (all_n, all_b) = branch[x[0], template[x], part[x]], node[x[0], template[x]]
+                part[x] = part[x], n, b, all_n, all_b
+            for x in active:
+                name, n, b, all_n, all_b = part[x]
+                if name is None:
+                    continue
+                rest_n, rest_b, pooled = all_n - n, all_b - b, (all_b + 1) / (all_n + 2)
+                error = math.sqrt(pooled * (1 - pooled) * (1 / max(n, 1) + 1 / max(rest_n, 1)))
+                differs = n >= least and rest_n >= least and abs(b / n - rest_b / rest_n) > apart * error
+                template[x] += "/" + (name if name.startswith("{v}") or name == "/" or differs else "*")
+        sums = defaultdict(lambda: [0, 0, 0.0])
+        for x in active:
+            group = sums[x[0], template[x]]
+            group[0] += leaves[x][0]
+            group[1] += leaves[x][1]
+            group[2] = max(group[2], share[x])
+        for x in active:
+            n, b, parent = sums[x[0], template[x]]
+            if len(x[1]) >= level or level <= url_filter.ROUNDS:
+                share[x] = (b + smoothing * parent) / (n + smoothing)
+    return {x: (template[x], share[x]) for x in leaves}
+
+
+def test_templates_equal_plain_tree(spark):
+    """Random trees with deep paths, ties between branches, hosts without labels and empty paths."""
+    rng = random.Random(3)
+    pages = []
+    for _ in range(3000):
+        host = rng.choice(["a", "a", "b", "c", ""])
+        parts = rng.choices(["x", "y", "{v}", "{v}.html", "z"], k=rng.choice([0, 1, 2, 3, 4])) + ["deep"] * rng.choice([0] * 20 + [5, 9])
+        bad = None if host == "c" or rng.random() < 0.3 else int(rng.random() < (0.8 if "y" in parts[:2] else 0.1))
+        pages.append((host, parts + ["/"] * (rng.random() < 0.2), bad))
+    df = spark.createDataFrame(pages, "host string, segments array<string>, bad int")
+    found = {(r.host, tuple(r.segments)): (r.template, r.share) for r in url_filter.templates(df).collect()}
+    expected = plain_templates(pages)
+    assert found.keys() == expected.keys()
+    for x, (template, share) in expected.items():
+        assert found[x] == (template, pytest.approx(share, rel=1e-9)), x
+    assert len({t for t, _ in expected.values()}) > 8
+
+
+def test_rules_of_equal_length_go_to_the_first(spark):
+    host, path = F.lit("a.b.net"), F.lit("/x/y")
+    rules = [("net", "/x/y", "allow"), ("b.net", "/x", "block"), ("b.net", "/", "block")]
+    got = [spark.range(1).select(url_filter.rule_of(host, path, r)["verdict"]).first()[0] for r in (rules, [rules[1], rules[0]])]
+    assert [len(a + b) for a, b, _ in rules[:2]] == [7, 7] and got == ["allow", "block"]
+
+
 def test_url_rules_and_templates(spark):
     good = [(i, f"http://h.com/good/{i}.html") for i in range(100)]
     bad = [(200 + i, f"http://h.com/bad/{i}.html") for i in range(100)]
