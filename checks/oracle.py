@@ -328,6 +328,11 @@ ORACLE = {
     "tfidf": f"""WITH {TERMS_SQL}, N AS (SELECT count(*) AS total FROM H),
         X AS (SELECT article_url, DT.term, tf * (ln((total + 1.0) / (docs + 1.0)) + 1.0) AS w FROM DT JOIN VOC USING (term), N)
         SELECT article_url, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY article_url)), 6) AS tfidf FROM X""",
+    "scale_gamma": f"""WITH {TERMS_SQL}, N AS (SELECT count(*) AS total FROM H),
+        X AS (SELECT article_url, tf * (ln((total + 1.0) / (docs + 1.0)) + 1.0) AS w FROM DT JOIN VOC USING (term), N),
+        U AS (SELECT w / sqrt(sum(w * w) OVER (PARTITION BY article_url)) AS v FROM X),
+        S AS (SELECT sum(v) AS s, sum(v * v) AS q, (SELECT count(*) FROM VOC) AS width, (SELECT total FROM N) AS n FROM U)
+        SELECT round(1 / (width * (q / (n * width) - pow(s / (n * width), 2))), 6) AS gamma FROM S""",
     "score_softmax": """
         SELECT vec_id, CASE WHEN b > a THEN 1 ELSE 0 END AS is_sarcastic,
           round(greatest(exp(a), exp(b)) / (exp(a) + exp(b)), 6) AS confidence

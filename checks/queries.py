@@ -17,7 +17,7 @@ from checks.views import (
 from newsfold.functions import html, labels, text
 from newsfold.operators import abbreviations, crawl, domains, features, kernels, metrics, reports, rows, split, svm, tokens
 from newsfold.plans import dataset, experiments, headline_table, run_masks
-from newsfold.session import checkpoint_folder
+from newsfold.session import checkpoint_folder, reliable_checkpoint
 
 QUERIES = {}
 
@@ -416,7 +416,8 @@ def tfidf(spark, sf_dir):
 
 
 def _vectors(spark, sf_dir):
-    h = split.train_val_test(headlines(spark, sf_dir), "article_url")
+    narrow = headlines(spark, sf_dir).select("article_url", "article_title", "is_sarcastic")
+    h = reliable_checkpoint(split.train_val_test(narrow, "article_url"))  # read by the count, the vocabulary, fit and score
     train = h.filter((F.col("split") == "train") & F.col("is_sarcastic").isNotNull())
     model = features.fit_tfidf_vectors(train, MAX_FEATURES)
     vectors = model.transform(h).select("article_url", "is_sarcastic", "split", "features")
@@ -430,6 +431,13 @@ def svm_predictions(spark, sf_dir):
     return svm.score(vectors, model).select("article_url", "split", "is_sarcastic", "prediction", "confidence")
 
 
+@query
+def scale_gamma(spark, sf_dir):
+    h = headlines(spark, sf_dir).select("article_title")
+    gamma = kernels.scale_gamma(features.fit_tfidf_vectors(h, MAX_FEATURES).transform(h))
+    return spark.createDataFrame([(gamma,)], "gamma double").select(F.round("gamma", 6).alias("gamma"))
+
+
 @query
 def kernel_features(spark, sf_dir):
     vectors, train = _vectors(spark, sf_dir)
