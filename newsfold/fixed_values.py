@@ -111,7 +111,7 @@ ABBREVIATIONS = (
 # A period that may end a sentence stands behind a character that is neither white space nor a period, and before white
 # space. The word in front of it: letters and digits, with single periods inside.
 SENTENCE_END = r"[^.\s]\.\s"
-AFTER_SENTENCE_END = r"(?<=[^.\s]\.)(?=\s)"
+PERIOD_OF_SENTENCE_END = r"\.(?<=[^.\s]\.)(?=\s)"
 LAST_WORD = r"(?:^|[^\p{L}\p{N}_.'’])([\p{L}\p{N}_]+(?:\.[\p{L}\p{N}_]+)*)\.\z"
 # Words with the period behind them, for the measure of abbreviations; its published constants.
 PERIOD_WORD = r"\p{L}[\p{L}\p{N}'’-]*(?:\.\p{L}[\p{L}\p{N}'’-]*)*(?:\.(?!\.))?"

@@ -49,17 +49,21 @@ def split_sentence_ends(text: Column, abbreviations: Column | Sequence[str] = V.
     (lower case, without the last period): a list for all rows, or a column with the row's own array.
     """
 
-    def parted(part: Column) -> Column:
-        word = F.regexp_extract(F.lower(part), V.LAST_WORD, 1)
+    def stays(word: Column) -> Column:
         listed = F.array_contains(abbreviations, word) if isinstance(abbreviations, Column) else word.isin(list(abbreviations))
-        stays = (word != "") & (listed | word.rlike(r"^\p{L}\z"))
-        return F.when(stays, part).otherwise(F.concat(F.substring(part, F.lit(1), F.length(part) - 1), F.lit(" .")))
+        return (word != "") & (listed | word.rlike(r"^\p{L}\z"))
+
+    def parted(part: Column) -> Column:
+        # No word has a blank in it, so only what is behind the last one is searched.
+        tail = F.lower(F.concat(F.substring_index(part, " ", -1), F.lit(".")))
+        word = F.regexp_extract(tail, V.LAST_WORD, 1)
+        return F.concat(part, F.when(bound(word, stays), F.lit(".")).otherwise(F.lit(" .")))
 
     def all_parted(parts: Column) -> Column:
         last = F.size(parts) - 1
         return F.concat(F.array_join(F.transform(F.slice(parts, F.lit(1), last), parted), ""), F.get(parts, last))
 
-    return F.when(text.rlike(V.SENTENCE_END), bound(F.split(text, V.AFTER_SENTENCE_END), all_parted)).otherwise(text)
+    return F.when(text.rlike(V.SENTENCE_END), bound(F.split(text, V.PERIOD_OF_SENTENCE_END), all_parted)).otherwise(text)
 
 
 def word_tokens(text: Column, abbreviations: Column | Sequence[str] = V.ABBREVIATIONS) -> Column:

@@ -1,8 +1,10 @@
+import re
 import string
 
 import pytest
 from pyspark.sql import functions as F
 
+from newsfold import fixed_values as V
 from newsfold.functions import labels, text
 from newsfold.operators import tokens
 
@@ -180,3 +182,23 @@ def test_names(spark):
     assert one(spark, labels.lang_code, "Klingon") is None
     assert one(spark, labels.lang_name, "it") == "Italian"
     assert one(spark, labels.domain_name, "nos.nl") == "NOS (nl)"
+
+
+def test_each_part_is_searched_once_and_only_its_last_word(spark):
+    texts = ["He saw Mr. Smith. Then l'etc. came", "a\tmr. x", "x  vs. y. Z", "é. b. c.d. e", "(mr. a", "..mr. a", "\u00a0mr. a", "no. end.", ". x", "A.  B", "MR. A"]
+    df = spark.createDataFrame([(i, t, ["mr", "x", "c.d"]) for i, t in enumerate(texts)], "id int, t string, own array<string>")
+
+    def by_hand(t, words):
+        out = re.split(r"(?<=[^.\s]\.)(?=\s)", t)
+        for i, part in enumerate(out[:-1]):
+            found = re.search(r"(?:^|[^\w.'’])(\w+(?:\.\w+)*)\.\Z", part.lower())
+            word = found[1] if found else ""
+            out[i] = part if word and (word in words or re.fullmatch(r"[^\W\d_]", word)) else part[:-1] + " ."
+        return "".join(out)
+
+    rows = df.select("t", "own", text.split_sentence_ends(F.col("t")).alias("listed"), text.split_sentence_ends(F.col("t"), F.col("own")).alias("named")).collect()
+    for r in rows:
+        assert r["listed"] == by_hand(r["t"], V.ABBREVIATIONS), r["t"]
+        assert r["named"] == by_hand(r["t"], r["own"]), r["t"]
+    plan = df.select(text.split_sentence_ends(F.col("t")).alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract(") == 1
