@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsfold import fixed_values as V
-from newsfold.session import lookup_join
+from newsfold.session import lookup_join, reliable_checkpoint
 
 
 def period_words(text: Column) -> Column:
@@ -55,6 +55,10 @@ def learned_abbreviations(df: DataFrame, text: str = "article_title", lang: str
 
 
 def with_abbreviations(df: DataFrame, table: DataFrame, out: str = "abbreviations", lang: str = "lang") -> DataFrame:
-    """Add the array of the row's language; empty where the table has none. The table is broadcast if it is small."""
-    named = table.select(F.col("lang").alias(lang), F.col("abbreviations").alias(out))
+    """Add the array of the row's language; empty where the table has none. The table is broadcast if it is small.
+
+    It has a row a language, but a pass over all texts may be behind it: it is written first, so that its size check and
+    the join don't make that pass each.
+    """
+    named = reliable_checkpoint(table.select(F.col("lang").alias(lang), F.col("abbreviations").alias(out)))
     return lookup_join(df, named, [lang]).withColumn(out, F.coalesce(F.col(out), F.array().cast("array<string>")))

@@ -82,3 +82,17 @@ def test_nothing_learned(spark):
     assert [r.abbreviations for r in abbreviations.with_abbreviations(df, table).collect()] == [[], []]
     every = spark.createDataFrame([("en", "ab. cd. ef.")], "lang string, article_title string")
     assert all(r.score <= V.ABBREVIATION_SCORE for r in abbreviations.abbreviation_scores(every).collect())
+
+
+def test_learned_table_is_made_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    table = spark.createDataFrame([("en", ["mr"])], "lang string, abbreviations array<string>").mapInArrow(count, "lang string, abbreviations array<string>")
+    df = spark.createDataFrame([("en",), ("de",), (None,)], "lang string")
+    found = {r["lang"]: r["abbreviations"] for r in abbreviations.with_abbreviations(df, table).collect()}
+    assert found == {"en": ["mr"], "de": [], None: []} and made.value == 1
