@@ -29,21 +29,31 @@ from llm.frames import add_columns, keep_only
 RANKS = "byte_bpe_multi_50k.tiktoken"
 ROOT, NONE = 0, -1
 #: Entries of a worker's tables; a full table is emptied, which only costs time.
-MOST_STATES, MOST_PAIRS, MOST_PIECES, MOST_STEPS = 300_000, 400_000, 450_000, 300_000
+MOST_STATES, MOST_PAIRS, MOST_PIECES, MOST_STEPS = 300_000, 400_000, 250_000, 300_000
 #: Positions kept before final tokens are emitted.
 FLUSH = 4096
+#: A place is one number: a trie node, and behind it the token before this place, plus one.
+SHIFT = 32
+MASK = (1 << SHIFT) - 1
 
 
-class State(dict):
-    """A determinised state: from a byte to the next state and the last token. ``places``: trie node and token before it."""
+def place(node: int, before: int) -> int:
+    return node << SHIFT | before + 1
 
-    __slots__ = ("owner", "places")
 
-    def __init__(self, owner: "Transducer", places: tuple[tuple[int, int], ...]):
-        self.owner, self.places = owner, places
+class Steps(dict):
+    """Of a transducer: from a state's number, shifted by a byte, with a byte in its place, to the next state's and the last token.
+
+    One flat table for all states takes a third of the memory that a table in each state would.
+    """
+
+    __slots__ = ("owner",)
 
-    def __missing__(self, byte: int) -> tuple["State", int]:
-        out = self[byte] = self.owner.move(self.places, byte)
+    def __init__(self, owner: "Transducer"):
+        self.owner = owner
+
+    def __missing__(self, key: int) -> tuple[int, int]:
+        out = self[key] = self.owner.move(self.owner.places[key >> 8], key & 0xFF)
         return out
 
 
@@ -67,13 +77,15 @@ class Transducer:
                     self.ends.append(NONE)
                 node = after
             self.ends[node] = rank
-        self.side_by_side: dict[tuple[int, int], bool] = {}
+        self.side_by_side: dict[int, bool] = {}
         self.forget()
 
     def forget(self) -> None:
-        start = ((ROOT, NONE),)
-        self.states = {start: State(self, start)}
-        self.start = self.states[start]
+        """Only the state at the start of a piece, number 0, stays."""
+        start = (place(ROOT, NONE),)
+        #: Open places of each state; of the states, their numbers shifted by a byte and their last tokens.
+        self.places, self.states = [start], {start: (0, NONE)}
+        self.steps = Steps(self)
 
     def merged(self, data: bytes) -> list[int]:
         """The merges done one by one, lowest rank first, then leftmost."""
@@ -88,7 +100,7 @@ class Transducer:
 
     def stays(self, left: int, token: int) -> bool:
         """Do the merges leave ``token`` whole beside ``left`` (NONE: at the start)?"""
-        key = (left, token)
+        key = place(left, token)
         known = self.side_by_side.get(key)
         if known is None:
             if len(self.side_by_side) >= MOST_PAIRS:
@@ -100,22 +112,25 @@ class Transducer:
             self.side_by_side[key] = known
         return known
 
-    def move(self, places: tuple[tuple[int, int], ...], byte: int) -> tuple[State, int]:
+    def move(self, places: tuple[int, ...], byte: int) -> tuple[int, int]:
         """The next state and the last token after ``byte``."""
         open_places, last = [], NONE
-        for node, before in places:
-            after = self.trie.get(node << 8 | byte)
+        for packed in places:
+            after = self.trie.get(packed >> SHIFT << 8 | byte)
             if after is None:
                 continue
-            open_places.append((after, before))
+            before = (packed & MASK) - 1
+            if self.grows(after):
+                open_places.append(place(after, before))
             token = self.ends[after]
             if last == NONE and token != NONE and self.stays(before, token):
                 last = token
-        places = (*(p for p in open_places if self.grows(p[0])), (ROOT, last))
-        state = self.states.get(places)
-        if state is None:
-            state = self.states[places] = State(self, places)
-        return state, last
+        places = (*open_places, place(ROOT, last))
+        out = self.states.get(places)
+        if out is None:
+            out = self.states[places] = len(self.places) << 8, last
+            self.places.append(places)
+        return out
 
     def grows(self, node: int) -> bool:
         known = self.inner.get(node)
@@ -133,16 +148,16 @@ class Transducer:
             gc.collect()
         out: list[int] = []
         lasts: list[int] = []
-        state = self.start
+        state, steps, places = 0, self.steps, self.places
         if len(data) < FLUSH:
             for byte in data:
-                state, last = state[byte]
+                state, last = steps[state | byte]
                 lasts.append(last)
             return self.final(lasts)
         for byte in data:
-            state, last = state[byte]
+            state, last = steps[state | byte]
             lasts.append(last)
-            if len(state.places) == 1 and len(lasts) >= FLUSH:  # what follows depends on the last token only
+            if len(lasts) >= FLUSH and len(places[state >> 8]) == 1:  # what follows depends on the last token only
                 out += self.final(lasts)
                 lasts = []
         return out + self.final(lasts)
@@ -198,13 +213,13 @@ class Decoder:
 
     def forget(self) -> None:
         self.known = 0
-        self.steps: dict[bytes, Steps] = {}
+        self.steps: dict[bytes, Decoded] = {}
         self.now = self.after(b"")
 
-    def after(self, pending: bytes) -> "Steps":
+    def after(self, pending: bytes) -> "Decoded":
         steps = self.steps.get(pending)
         if steps is None:
-            steps = self.steps[pending] = Steps(self, pending)
+            steps = self.steps[pending] = Decoded(self, pending)
         return steps
 
     @classmethod
@@ -246,7 +261,7 @@ class Decoder:
         return out
 
 
-class Steps(dict):
+class Decoded(dict):
     """From a token to the next steps and the completed characters, given the incomplete sequence ``pending``."""
 
     __slots__ = ("owner", "pending")
@@ -254,7 +269,7 @@ class Steps(dict):
     def __init__(self, owner: Decoder, pending: bytes):
         self.owner, self.pending = owner, pending
 
-    def __missing__(self, token: int) -> tuple["Steps", str]:
+    def __missing__(self, token: int) -> tuple["Decoded", str]:
         pending, characters = Decoder.advance(self.pending, self.owner.tokens[token])
         self.owner.known += 1
         out = self[token] = self.owner.after(pending), characters

@@ -2,6 +2,7 @@
 
 import random
 import re
+import sys
 
 import public_tokenizers
 import pyarrow as pa
@@ -68,6 +69,25 @@ def test_bpe_frames(spark, theirs):
     assert byte_bpe.encode(df.limit(0)).count() == 0
 
 
+def test_bpe_tables_are_compact(theirs):
+    fresh = byte_bpe.Transducer(theirs._mergeable_ranks)
+    rng = random.Random(4)
+    for _ in range(3000):
+        fresh.encode("".join(rng.choice("abcdeinorst") for _ in range(12)).encode())
+    n = len(fresh.states)
+    tables = [fresh.states, fresh.steps, fresh.places]
+    seen = {id(x): sys.getsizeof(x) for t in tables for x in [t, *t, *(t.values() if isinstance(t, dict) else ())]}
+    assert n > 10_000 and sum(seen.values()) < 400 * n
+
+
+def test_a_carried_text_is_sent_once(spark):
+    df = spark.createDataFrame([(1, "hé"), (2, None)], "doc_id long, text string")
+    coded = byte_bpe.encode(df, decoded=True)
+    assert "text_of_row" not in coded._jdf.queryExecution().executedPlan().toString()
+    assert [(r.text, r.decoded) for r in coded.orderBy("doc_id").collect()] == [("hé", "hé"), (None, "")]
+    assert [r.decoded for r in byte_bpe.encode(df, carry=["doc_id"], decoded=True).orderBy("doc_id").collect()] == ["hé", ""]
+
+
 def brute_hits(text, items, window):
     words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     hit, found = set(), set()
