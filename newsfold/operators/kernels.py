@@ -87,6 +87,61 @@ def _storage_arrays(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return offsets, np.concatenate(picked).astype(int), flat
 
 
+@dataclass(frozen=True)
+class LandmarkTerms:
+    """The terms of m landmarks: those of many landmarks as rows of a matrix, the others with a list of their landmarks.
+
+    A product over a matrix row costs m steps, of which few count if the term is in few landmarks, as most are.
+    """
+
+    m: int
+    common: np.ndarray  # matrix of the common terms
+    column: np.ndarray  # row of a term in it, or -1
+    first: np.ndarray  # where the list of a term begins, and where it ends
+    landmark: np.ndarray
+    weight: np.ndarray
+
+    @classmethod
+    def of(cls, matrix: np.ndarray) -> "LandmarkTerms":
+        """From a matrix (terms, landmarks). A term in n of m landmarks is in about n / m of the rows, with n steps each."""
+        terms, m = matrix.shape
+        n_landmarks = np.count_nonzero(matrix, axis=1)
+        is_common = n_landmarks**2 > 4 * m
+        column = np.where(is_common, np.cumsum(is_common) - 1, -1)
+        term, landmark = np.nonzero(np.where(is_common[:, None], 0, matrix))
+        first = np.concatenate([[0], np.cumsum(np.bincount(term, minlength=terms))]).astype(int)
+        return cls(m, matrix[is_common], column, first, landmark, matrix[term, landmark])
+
+    def products(self, rows: np.ndarray, place: np.ndarray, values: np.ndarray, n_rows: int) -> np.ndarray:
+        """Dot products of all rows with all landmarks, from the rows' cells in row order."""
+        dots = np.zeros((n_rows, self.m))
+        flat = dots.reshape(-1)
+        column = self.column[place]
+        is_common = column >= 0
+        row, column, value = rows[is_common], column[is_common], values[is_common]
+        step = max(1, BLOCK_NUMBERS // max(1, len(self.common)))
+        for start in range(0, n_rows, step):
+            stop = min(start + step, n_rows)
+            part = slice(*np.searchsorted(row, [start, stop]))
+            cells = np.zeros((stop - start, len(self.common)))
+            cells[row[part] - start, column[part]] = value[part]
+            dots[start:stop] = cells @ self.common
+        lengths = self.first[place + 1] - self.first[place]
+        listed = lengths > 0
+        row, place, value, lengths = rows[listed], place[listed], values[listed], lengths[listed]
+        step = max(1, BLOCK_NUMBERS // max(1, lengths.max(initial=0)))
+        for start in range(0, len(row), step):
+            part = slice(start, start + step)
+            n = lengths[part]
+            entry = np.arange(n.sum()) + np.repeat(self.first[place[part]] - np.cumsum(n) + n, n)
+            low, high = row[part][0], row[part][-1] + 1
+            cell = np.repeat((row[part] - low) * self.m, n) + self.landmark[entry]
+            flat[low * self.m : high * self.m] += np.bincount(
+                cell, np.repeat(value[part], n) * self.weight[entry], (high - low) * self.m
+            )
+        return dots
+
+
 def kernel_features(
     df: DataFrame,
     landmarks: DataFrame,
@@ -108,33 +163,26 @@ def kernel_features(
     used = np.unique(np.concatenate([i for i, _ in cells]))
     if (len(used) + 1) * m > MAX_SHARED_NUMBERS:
         raise ValueError(f"{m} landmarks over {len(used)} terms are too many to send to all tasks; take fewer")
-    matrix = np.zeros((len(used) + 1, m))  # the last row stands for all other terms
+    matrix = np.zeros((len(used), m))
     for column, (indices, values) in enumerate(cells):
         matrix[np.searchsorted(used, indices), column] = values
     squares = (matrix**2).sum(axis=0)
     eigenvalues, eigenvectors = np.linalg.eigh(kernel(matrix.T @ matrix, squares, squares))
     kept = eigenvalues > max(eigenvalues.max(), 0) * 1e-10
     root = (eigenvectors[:, kept] / np.sqrt(eigenvalues[kept])) @ eigenvectors[:, kept].T
-    shared = df.sparkSession.sparkContext.broadcast((used, matrix, squares, root, kernel))
-    block_rows = max(1, BLOCK_NUMBERS // m)
+    shared = df.sparkSession.sparkContext.broadcast((used, LandmarkTerms.of(matrix), squares, root, kernel))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        used, matrix, squares, root, kernel = shared.value
+        used, table, squares, root, kernel = shared.value
         for batch in batches:
             if batch.num_rows == 0:
                 continue
             offsets, indices, values = _storage_arrays(batch.column("_vector"))
-            place = np.searchsorted(used, indices)
-            place = np.where((place < len(used)) & (used[np.minimum(place, len(used) - 1)] == indices), place, len(used))
-            dots = np.zeros((batch.num_rows, m))
+            place = np.minimum(np.searchsorted(used, indices), max(len(used) - 1, 0))
+            known = used[place] == indices if len(used) else np.zeros(len(indices), bool)
             rows = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
             row_squares = np.bincount(rows, values**2, batch.num_rows)
-            known = place < len(used)
-            rows, place, weights = rows[known], place[known], values[known]
-            for start in range(0, len(rows), block_rows):
-                part = slice(start, start + block_rows)
-                row, first = np.unique(rows[part], return_index=True)
-                dots[row] += np.add.reduceat(weights[part, None] * matrix[place[part]], first, axis=0)
+            dots = table.products(rows[known], place[known], values[known], batch.num_rows)
             mapped = kernel(dots, row_squares, squares) @ root
             lists = pa.ListArray.from_arrays(
                 pa.array(np.arange(0, mapped.size + 1, m), pa.int32()), pa.array(mapped.ravel())
