@@ -420,7 +420,8 @@ def _vectors(spark, sf_dir):
     h = reliable_checkpoint(split.train_val_test(narrow, "article_url"))  # read by the count, the vocabulary, fit and score
     train = h.filter((F.col("split") == "train") & F.col("is_sarcastic").isNotNull())
     model = features.fit_tfidf_vectors(train, MAX_FEATURES)
-    vectors = model.transform(h).select("article_url", "is_sarcastic", "split", "features")
+    # Read by the solver's summary, its blocks and the score, or by gamma, the landmarks and the map.
+    vectors = reliable_checkpoint(model.transform(h).select("article_url", "is_sarcastic", "split", "features"))
     return vectors, vectors.filter((F.col("split") == "train") & F.col("is_sarcastic").isNotNull())
 
 

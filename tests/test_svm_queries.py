@@ -1,8 +1,11 @@
 import numpy as np
 import pytest
 
+from checks import queries
 from newsfold.operators import kernels
 
+DATA = "/root/testdata/sf0.001"
+
 
 @pytest.mark.parametrize("terms, m, n", [(0, 3, 4), (1, 1, 5), (5, 3, 7), (300, 40, 500)])
 def test_landmark_products(terms, m, n, monkeypatch):
@@ -23,3 +26,10 @@ def test_a_term_of_one_landmark_costs_one_step_and_not_one_for_each_landmark():
     table = kernels.LandmarkTerms.of(matrix)
     assert table.common.shape == (1, 200) and len(table.weight) == 999
     assert (np.diff(table.first) == [0] + [1] * 999).all()
+
+
+def test_svm_queries_turn_titles_into_vectors_once(spark, capsys):
+    for frame in queries._vectors(spark, DATA):
+        frame.explain()
+        plan = capsys.readouterr().out
+        assert "ExistingRDD" in plan and "UDF" not in plan and "regexp_extract_all" not in plan
